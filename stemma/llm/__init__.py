@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op3_bpe_encode": "op03_bpe",
     "op4_simhash_dedup": "op04_simhash",
+    "op5_quality_rules": "op05_quality",
     "op7_token_counts": "op07_tokens",
     "op8_embedding_dedup": "op08_embeddings",
 }

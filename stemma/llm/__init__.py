@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that holds it.
 MODULES = {
+    "op1_suffix_dedup": "op01_suffix",
     "op3_bpe_encode": "op03_bpe",
     "op4_simhash_dedup": "op04_simhash",
     "op5_quality_rules": "op05_quality",
+    "op6_substring_dedup": "op06_substrings",
     "op7_token_counts": "op07_tokens",
     "op8_embedding_dedup": "op08_embeddings",
 }

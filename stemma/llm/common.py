@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies beside the driver's program and is not installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def width(spark: SparkSession) -> int:
     """Partitions that the session gives to a shuffle; the cluster sizes it to its data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, int(importable(spark).conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,8 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``. Only where it is unset and everything runs in
     one process (tests) is a temporary folder used.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = importable(df.sparkSession).sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
@@ -58,6 +65,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
             if batch.num_rows:
                 yield from step(batch)
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -3,9 +3,9 @@
 The engine inserts one symbol of every sequence each round, from the right: after round ``j`` the files hold
 the Burrows-Wheeler transform, the longest common prefixes and the tail pointers of all suffixes of up to
 ``j`` symbols, in order. A round reads the files of the round before from front to back and writes new ones.
-A symbol is eight bytes, so each segment gives eight sequences, one for each phase, and a 400-byte string is
-exactly fifty symbols of one of them; a string is repeated if its suffix has a common prefix of fifty symbols
-with a neighbour. How segments of all documents come together is described in ``repeats``.
+A symbol is forty bytes (exactly ranked, never hashed), so each segment gives forty sequences, one for each
+phase, and a 400-byte string is exactly ten symbols of one of them; a string is repeated if its suffix has a
+common prefix of ten symbols with a neighbour. How segments of all documents come together is described in ``repeats``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .repeats import bytes_of, merge, repeated
 LENGTH = 400
 #: Bytes of an anchor: about half a string, so that hardly any anchor is shared by chance.
 ANCHOR = 160
+#: Bytes of a symbol: the largest of these that divides the length.
+UNITS = (40, 16, 8, 4, 2, 1)
 LOW = (1 << 32) - 1
 
 
@@ -135,30 +137,50 @@ def column_wise(sequences: np.ndarray, bounds: np.ndarray, folder: str) -> tuple
     return lcp, where
 
 
+def ranks(data: np.ndarray, unit: int) -> np.ndarray:
+    """Dense ranks of the ``unit`` bytes at each place where so many are left; equal ranks mean equal bytes."""
+    out, size = data.astype(np.uint64), 1
+    while size < min(unit, 8):
+        out = (out[:-size] << np.uint64(8 * size)) | out[size:]
+        size *= 2
+    out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+    while size < unit:
+        more = min(unit, 3 * size)
+        n, many = len(data) - more + 1, int(out.max()) + 1
+        middle = min(size, more - size)
+        if many < 1 << 21:
+            key = (out[:n] * many + out[middle : middle + n]) * many + out[more - size : more - size + n]
+        else:
+            key = np.unique(out[:n] * many + out[middle : middle + n], return_inverse=True)[1] * many + out[more - size : more - size + n]
+        out, size = np.unique(key, return_inverse=True)[1].astype(np.int64), more
+    return out
+
+
 def engine(rows: list[np.ndarray], window: int) -> list[np.ndarray]:
     """For each row of bytes, whether the string of ``window`` bytes at each start also starts elsewhere."""
-    unit = next(u for u in (8, 4, 2, 1) if window % u == 0)
+    unit = next(u for u in UNITS if window % u == 0)
     need = window // unit
-    parts, bounds, owner = [], [0], []
-    for r, row in enumerate(rows):
-        for phase in range(unit):
-            n = (len(row) - phase) // unit
-            if n >= need:
-                parts.append(np.ascontiguousarray(row[phase : phase + n * unit]).view(f">u{unit}").astype(np.uint64))
-                bounds.append(bounds[-1] + n)
-                owner.append((r, phase))
-    flags = [np.zeros(max(0, len(row) - window + 1), bool) for row in rows]
-    if not parts:
-        return flags
-    symbols = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int64)
+    size = np.array([len(r) for r in rows], np.int64)
+    start = np.cumsum(size) - size
+    data = np.concatenate(rows)
+    if size.max() < window:
+        return [np.zeros(0, bool) for _ in rows]
+    symbol = ranks(data, unit)
+    # One sequence for each row and phase that has room for a window.
+    row = np.repeat(np.arange(len(rows)), unit)
+    phase = np.tile(np.arange(unit), len(rows))
+    count = (size[row] - phase) // unit
+    wide = count >= need
+    row, phase, count = row[wide], phase[wide], count[wide]
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    place = np.repeat(start[row] + phase, count) + unit * (np.arange(bounds[-1]) - np.repeat(bounds[:-1], count))
     with tempfile.TemporaryDirectory() as folder:
-        lcp, where = column_wise(symbols, np.array(bounds), folder)
+        lcp, where = column_wise(symbol[place], bounds, folder)
     hit = lcp >= need
     hit[:-1] |= hit[1:]
-    for d, (r, phase) in enumerate(owner):
-        starts = hit[where[bounds[d] : bounds[d + 1] - need + 1]]
-        flags[r][phase::unit][: len(starts)] = starts
-    return flags
+    flags = np.zeros(len(data), bool)
+    flags[place] = hit[where]
+    return [flags[a : a + max(0, n - window + 1)] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
 def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:

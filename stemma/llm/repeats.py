@@ -62,39 +62,49 @@ def prefix_hash(units: np.ndarray, powers: Powers) -> np.ndarray:
     return out
 
 
-def stretch_hash(sums: np.ndarray, at: np.ndarray, size, powers: Powers) -> np.ndarray:
+def stretch_hash(sums: np.ndarray, at: np.ndarray | slice, size, powers: Powers) -> np.ndarray:
+    """Hashes of the stretches of ``size`` units that begin at ``at``; a slice stands for all its places."""
     _, down = powers.get(len(sums))
-    return mix64((sums[at + size] - sums[at]) * down[at] + np.asarray(size, np.uint64))
+    ends = sums[at.start + size : at.stop + size] if isinstance(at, slice) else sums[at + size]
+    return mix64((ends - sums[at]) * down[at] + np.asarray(size, np.uint64))
+
+
+#: Windows worked on at once; a place must fit beside the leading bits of its hash.
+STRIDE = 1 << 19
+PLACE = np.uint64((1 << 20) - 1)
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the leftmost minimum in each run of ``w`` values: doubling, so log2(w) passes."""
-    best = np.arange(len(h), dtype=np.int32)
+    """Place of the least leading bits in each run of ``w`` hashes, leftmost at ties: doubling, so log2(w) passes."""
+    best = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
     reach = 1
     while reach * 2 <= w:
-        a, b = best[:-reach], best[reach:]
-        best = np.where(h[b] < h[a], b, a)
+        best = np.minimum(best[:-reach], best[reach:])
         reach *= 2
-    rest = w - reach
-    if rest:
-        a, b = best[: len(best) - rest], best[rest:]
-        best = np.where(h[b] < h[a], b, a)
-    return best
+    if rest := w - reach:
+        best = np.minimum(best[:-rest], best[rest:])
+    return (best & PLACE).astype(np.int64)
 
 
 def segments(units: np.ndarray, window: int, anchor: int, powers: Powers) -> tuple[np.ndarray, ...] | None:
-    """Anchor hash, content hash, first window start, number of starts, anchor place in the segment; None for a short text."""
+    """Anchor hash, content hash, first window start, number of starts, anchor place in the segment; None for a short text.
+
+    A segment also ends where a stride of windows ends: that splits it in two, which changes nothing else.
+    """
     n = len(units) - window + 1
     if n <= 0:
         return None
     sums = prefix_hash(units, powers)
-    places = np.arange(len(units) - anchor + 1)
-    h = stretch_hash(sums, places, anchor, powers)
-    best = sliding_argmin(h, window - anchor + 1)
-    first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    count = np.diff(first, append=n)
-    content = stretch_hash(sums, first, count + window - 1, powers)
-    return h[best[first]].view(np.int64), content.view(np.int64), first, count, best[first] - first
+    out = []
+    for at in range(0, n, STRIDE):
+        many = min(STRIDE, n - at)
+        h = stretch_hash(sums, slice(at, at + many + window - anchor), anchor, powers)
+        best = sliding_argmin(h, window - anchor + 1)
+        first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+        count = np.diff(first, append=many)
+        content = stretch_hash(sums, first + at, count + window - 1, powers)
+        out.append((h[best[first]].view(np.int64), content.view(np.int64), first + at, count, best[first] - first))
+    return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_units: Callable[[], Callable[[bytes], np.ndarray]], engine: Engine) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that holds it.
 MODULES = {
+    "op10_lm_scores": "op10_lm",
     "op1_suffix_dedup": "op01_suffix",
     "op3_bpe_encode": "op03_bpe",
     "op4_simhash_dedup": "op04_simhash",

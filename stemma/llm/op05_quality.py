@@ -17,10 +17,10 @@ from .common import WORD, cut, table
 LANGUAGES = ("de", "en", "es", "fr")
 #: Common function words of those languages: fixed values.
 COMMON = {
-    "de": ("der", "die", "und", "das", "ist", "nicht", "ein", "zu"),
-    "en": ("the", "of", "and", "to", "in", "that", "is", "it"),
-    "es": ("que", "el", "los", "en", "no", "una", "por", "se"),
-    "fr": ("le", "la", "les", "et", "un", "des", "est", "de"),
+    "de": ("der", "die", "und", "das", "ist"),
+    "en": ("the", "of", "and", "to", "in"),
+    "es": ("que", "el", "los", "en", "no"),
+    "fr": ("le", "la", "les", "et", "un"),
 }
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30
@@ -30,10 +30,19 @@ MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE = 0.30, 0.45
 BINS = tuple(sorted({w for words in COMMON.values() for w in words}))
 
 
-def _repeat_words(n: Column, windows: Column) -> Column:
+#: Upper case, other letters, digits, sentence points, symbols, blanks, the rest.
+CLASSES = 7
+#: A common word as written: in small letters, with a capital, in capitals.
+SPELLED = tuple(sorted({f(w) for w in BINS for f in (str.lower, str.capitalize, str.upper)}))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda over an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _repeat_words(windows: Column) -> Column:
     """Words covered by windows that occur twice or more, from the windows' hashes in order."""
-    del n
-    marked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def covered(s: Column) -> Column:
         last = F.size(s) - 1
@@ -41,46 +50,57 @@ def _repeat_words(n: Column, windows: Column) -> Column:
         places = F.array_sort(F.filter(flagged, lambda x: x.isNotNull()))
         return F.aggregate(places, F.struct(F.lit(0).alias("sum"), F.lit(-WINDOW).alias("end")), lambda a, p: F.struct((a["sum"] + F.least(F.lit(WINDOW), p + F.lit(WINDOW) - a["end"])).alias("sum"), (p + F.lit(WINDOW)).alias("end")), lambda a: a["sum"])
 
-    # The sorted array is bound once: a lambda over a one-element array.
-    found = F.element_at(F.transform(F.array(marked), covered), 1)
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(found).cast("long")
+    def count(h: Column) -> Column:
+        marked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_bound(marked, covered))
 
+    return _bound(windows, count).cast("long")
 
-def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """One row a document: the base counts and verdict, and the two histograms (``chars``, ``common``)."""
-    t = docs.select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"), F.coalesce(text_column, F.lit("")).alias("t"))
-    t = t.select("*", F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+
+def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", whole: bool = False) -> DataFrame:
+    """One row a document: the base counts and verdict, and the two histograms (``chars``, ``common``).
+
+    ``doc_id`` is the id, or, with ``whole``, a struct of all columns.
+    """
+    t = docs.select((F.struct(*docs.columns) if whole else F.col(id_column)).alias("doc_id"), F.col(lang_column).alias("lang"), F.coalesce(text_column, F.lit("")).alias("t"))
+    trimmed = F.btrim("t", F.lit(" \t\n\x0b\x0c\r"))
+    t = t.select("doc_id", "lang", "t", _bound(trimmed, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, r"[\x20\x09-\x0D]+"))).alias("w"))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
+    common_words = F.transform(F.filter("w", lambda x: x.isin(*SPELLED)), lambda x: F.lower(x))
+    marks = F.regexp_replace("t", r"[\p{L}\x20\x09-\x0D]+", "")
     t = t.select(
-        "*",
+        "doc_id",
+        "lang",
         F.size("w").cast("long").alias("n_words"),
-        F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("windows"),
-        F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(*BINS)).alias("cw"),
-        F.length("t").cast("long").alias("n_chars_"),
-        F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.length("t") - F.length(F.regexp_replace("t", r"\p{Ll}+", ""))).cast("long").alias("lower"),
+        F.when(F.size("w") > WINDOW, _repeat_words(hashes)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _bound(common_words, lambda c: F.array(*[F.size(c) - F.size(F.array_remove(c, w)) for w in BINS])).alias("counts"),
+        F.length("t").cast("long").alias("n_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}+", ""))).cast("long").alias("upper"),
-        F.regexp_count("t", F.lit(r"\p{Nd}")).cast("long").alias("digits"),
-        F.regexp_count("t", F.lit(r"[.,;:!?]")).cast("long").alias("points"),
+        _bound(marks, lambda x: F.array(F.length(x), F.regexp_count(x, F.lit(r"\p{Nd}")), F.regexp_count(x, F.lit(r"[.,;:!?]")), F.regexp_count(x, F.lit(r"[#*$%&|<>]")))).alias("marks"),
     )
-    t = t.select("*", _repeat_words(F.col("n_words"), F.col("windows")).alias("n_repeat_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
-    blank = F.col("n_chars_") - F.col("word_chars")
-    known = [F.col(c) for c in ("lower", "upper", "digits", "points", "n_symbols")]
-    chars = F.array(*known, blank, F.col("n_chars_") - blank - sum(known[1:], known[0]))
-    counts = [F.size("cw") - F.size(F.array_remove("cw", w)) for w in BINS]
-    common = F.array(*[c.cast("long") for c in counts], F.col("n_words") - F.size("cw"))
+    t = t.select("*", *[F.get("marks", F.lit(i)).cast("long").alias(c) for i, c in enumerate(("n_marks", "digits", "points", "n_symbols"))])
+    chars = F.array(F.col("upper"), F.col("word_chars") - F.col("n_marks") - F.col("upper"), F.col("digits"), F.col("points"), F.col("n_symbols"), F.col("n_chars") - F.col("word_chars"), F.col("n_marks") - F.col("digits") - F.col("points") - F.col("n_symbols"))
+    rest = F.col("n_words") - F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    common = F.concat(F.col("counts").cast("array<bigint>"), F.array(rest))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return t.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("n_chars_").alias("n_chars"), failed.alias("base_failed"), chars.alias("chars"), common.alias("common"))
+    return t.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", failed.alias("base_failed"), chars.alias("chars"), common.alias("common"))
 
 
 def references(found: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> dict[str, tuple[list[float], list[float]]]:
     """Shares of each language's two histograms over all its documents that pass the base rule: one row a language."""
-    fine = found.where(F.col("lang").isin(*languages) & ~F.col("base_failed"))
-    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"a{i}") for i in range(7)] + [F.sum(F.get("common", F.lit(i))).alias(f"b{i}") for i in range(len(BINS) + 1)]
+    # Conditional sums: a filter on the verdict would be pushed below the counts and compute them once more.
+    fine = ~F.col("base_failed")
+    rows = found.where(F.col("lang").isin(*languages)).select("lang", fine.alias("fine"), "chars", "common", F.monotonically_increasing_id().alias("row"))
+    pick = lambda name, i: F.sum(F.when(F.col("fine") & (F.col("row") >= 0), F.get(name, F.lit(i))))
+    sums = [pick("chars", i).alias(f"a{i}") for i in range(CLASSES)] + [pick("common", i).alias(f"b{i}") for i in range(len(BINS) + 1)]
     out = {}
-    for row in fine.groupBy("lang").agg(*sums).collect():
-        a, b = [row[f"a{i}"] for i in range(7)], [row[f"b{i}"] for i in range(len(BINS) + 1)]
-        out[row.lang] = ([x / sum(a) for x in a], [x / sum(b) for x in b])
+    for row in rows.groupBy("lang").agg(*sums).collect():
+        a, b = [row[f"a{i}"] for i in range(CLASSES)], [row[f"b{i}"] for i in range(len(BINS) + 1)]
+        if a[0] is not None:
+            out[row.lang] = ([x / sum(a) for x in a], [x / sum(b) for x in b])
     return out
 
 
@@ -112,13 +132,21 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return judge(found, references(found))
 
 
+def passing(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Two passes over the texts, and nothing moves."""
+    known = references(features(docs, id_column, text_column, lang_column))
+    judged = judge(features(docs, id_column, text_column, lang_column, whole=True), known)
+    # The row number keeps the filter above the counts: pushed below, it would compute them all once more.
+    return judged.withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").select("doc_id.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``; an empty table gives an empty result, repeated rows each give a row."""
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:
-    bins = ", ".join(f"'{w}'" for w in BINS)
+    spelled = ", ".join(f"'{w}'" for w in SPELLED)
     hist = ", ".join(f"len(list_filter(cw, lambda x: x = '{w}'))" for w in BINS)
     k = len(BINS) + 1
     langs = ", ".join(f"'{x}'" for x in LANGUAGES)
@@ -148,13 +176,13 @@ WITH t AS (
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(again.n, 0)::BIGINT AS n_repeat_words,
-         length(t) - length(regexp_replace(t, '\\p{{Ll}}+', '', 'g')) AS lo, length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS up,
+         length(t) - length(regexp_replace(t, '\\p{{Lu}}+', '', 'g')) AS up, length(regexp_replace(t, '[\\p{{L}}\\x20\\x09-\\x0D]+', '', 'g')) AS mk,
          length(t) - length(regexp_replace(t, '\\p{{Nd}}+', '', 'g')) AS dg, length(regexp_replace(t, '[^.,;:!?]+', '', 'g')) AS pt,
-         list_filter(list_transform(w, lambda x: lower(x)), lambda x: x IN ({bins})) AS cw
+         list_transform(list_filter(w, lambda x: x IN ({spelled})), lambda x: lower(x)) AS cw
   FROM w LEFT JOIN again USING (rid)
 ), f AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
-         [lo, up, dg, pt, n_symbols, n - word_chars, word_chars - lo - up - dg - pt - n_symbols] AS chars,
+         [up, word_chars - mk - up, dg, pt, n_symbols, n - word_chars, mk - dg - pt - n_symbols] AS chars,
          [{hist}, n_words - len(cw)] AS common FROM c
 ), r AS (
   SELECT lang, list_transform(range(1, 8), lambda i: a[i] / list_sum(a)::DOUBLE) AS ra, list_transform(range(1, {k + 1}), lambda i: b[i] / list_sum(b)::DOUBLE) AS rb

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op10_lm_scores": "op10_lm",
     "op1_suffix_dedup": "op01_suffix",
+    "op2_mix_sources": "op02_mix",
     "op3_bpe_encode": "op03_bpe",
     "op4_simhash_dedup": "op04_simhash",
     "op5_quality_rules": "op05_quality",
     "op6_substring_dedup": "op06_substrings",
     "op7_token_counts": "op07_tokens",
     "op8_embedding_dedup": "op08_embeddings",
+    "op9_language_id": "op09_language",
 }
 
 

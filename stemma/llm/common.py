@@ -6,6 +6,7 @@ Words are always ``[^\\x20\\x09-\\x0D]+``: exactly what ``bytes.split()`` yields
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -33,13 +34,9 @@ def width(spark: SparkSession) -> int:
     return max(1, int(importable(spark).conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
-
-    The folder comes from ``spark.checkpoint.dir``. Only where it is unset and everything runs in
-    one process (tests) is a temporary folder used.
-    """
-    sc = importable(df.sparkSession).sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset and everything runs in one process (tests), a temporary one."""
+    sc = importable(spark).sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
@@ -47,9 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def content_key(text: Column) -> list[Column]:
     """128 bits of SHA-256 of a text as two longs; null counts as empty."""
     h = F.sha2(F.coalesce(text, F.lit("")), 256)

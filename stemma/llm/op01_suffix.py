@@ -196,12 +196,13 @@ def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text", with_text: bool = False) -> DataFrame:
-    """One row a distinct text: ``k1, k2`` (its content key), ``n_bytes, n_removed, n_spans, kept_sha256``, and, if asked for, ``kept``.
+def kept_bytes(text: bytes, runs: np.ndarray) -> bytes:
+    edges = [0, *runs.ravel().tolist(), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
-    ``kept`` must stay valid UTF-8: where a removed run begins or ends inside a character, that character stays.
-    The counts and the hash are of the exact bytes.
-    """
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
+    """One row a distinct text: ``k1, k2`` (its content key), ``n_bytes, n_removed, n_spans, kept_sha256``."""
     texts, found = repeated(docs, text_column, length, min(ANCHOR, length), bytes_of, engine)
     joined = texts.join(found.hint("shuffle_hash"), ["k1", "k2"], "left")
 
@@ -209,21 +210,41 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "t
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(2), batch.column(3), strict=True):
-                t = text.as_py()
-                runs = merge(spans.as_py() or [])
-                edges = [0, *runs.ravel().tolist(), len(t)]
-                kept = b"".join([t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                shown = None
-                if with_text:
-                    edges = [0, *whole_characters(t, runs).ravel().tolist(), len(t)]
-                    shown = b"".join([t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]).decode()
-                rows.append((len(t), len(t) - len(kept), len(runs), sha256(kept).hexdigest(), shown))
-            n, removed, spans, sha, shown = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(shown, pa.string())], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    out = joined.select("k1", "k2", "t", "spans").mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+                t, runs = text.as_py(), merge(spans.as_py() or [])
+                kept = kept_bytes(t, runs)
+                rows.append((len(t), len(t) - len(kept), len(runs), sha256(kept).hexdigest()))
+            n, removed, spans, sha = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = joined.select("k1", "k2", "t", "spans").mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # Copies of a text from several partitions give equal rows.
-    return (out if with_text else out.drop("kept")).dropDuplicates(["k1", "k2"])
+    return out.dropDuplicates(["k1", "k2"])
+
+
+def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with repeated strings taken out of their texts, all other columns unchanged.
+
+    Texts stay valid UTF-8: where a removed run begins or ends inside a character, that character stays. A
+    null text stays null.
+    """
+    _, found = repeated(docs, text_column, length, min(ANCHOR, length), bytes_of, engine)
+    keys = content_key(F.col(text_column))
+    named = found.select(F.col("k1").alias("__f1"), F.col("k2").alias("__f2"), F.col("spans").alias("__spans"))
+    joined = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(named, (F.col("__k1") == F.col("__f1")) & (F.col("__k2") == F.col("__f2")), "left")
+
+    @F.pandas_udf("string")
+    def strip(texts, spans):
+        import pandas as pd
+
+        out = []
+        for text, some in zip(texts, spans, strict=True):
+            if text is not None and some is not None and len(some):
+                raw = text.encode()
+                text = kept_bytes(raw, whole_characters(raw, merge(some))).decode()
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return joined.withColumn(text_column, strip(F.col(text_column), F.col("__spans"))).select(*docs.columns)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

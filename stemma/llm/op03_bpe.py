@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -75,16 +76,20 @@ class Encoder:
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Ids and decoded text of every row: ``doc_id, token_ids array<int>, decoded``. Null text: empty."""
+    """Every row encoded and decoded again: ``doc_id, token_ids array<int>, decoded``. Null text: empty."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def make():
         encoder = Encoder(path)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for first, texts in pieces(batch.column(1)):
-                ids = [encoder.encode(t.decode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in ids])], names=["doc_id", "token_ids", "decoded"])
+            for first, texts in pieces(batch.column(1), 1 << 20):
+                found = [encoder.words(t.decode()) for t in texts]
+                flat = np.array(" ".join([w[0] for words in found for w in words]).split(), np.int32)
+                ends = np.concatenate([[0], np.cumsum([sum([w[2] for w in words]) for words in found])]).astype(np.int32)
+                decoded = [" ".join([w[1] for w in words]) for words in found]
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), ids, pa.array(decoded, pa.string())], names=["doc_id", "token_ids", "decoded"])
 
         return step
 

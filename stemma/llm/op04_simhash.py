@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, pieces, table, width
+from .common import arrow_map, content_key, cut, pieces, table, width
 from .components import components
 
 RADIUS = 3
@@ -211,6 +211,21 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_colu
     return marked.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest id (null last), then of the smallest content key.
+
+    Of repeated rows one stays.
+    """
+    keys = content_key(F.col(text_column))
+    rows = docs.select(F.struct(F.col(id_column).isNull().alias("no"), F.col(id_column).alias("id"), *keys).alias("row"), F.col(text_column).alias("t"))
+    found = near_groups(rows, shingle, radius, "row", "t")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
+    stay = stay.select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    mine = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).alias("d").join(stay.alias("s"), (F.col("d.__k1") == F.col("s.__k1")) & (F.col("d.__k2") == F.col("s.__k2")) & F.col(f"d.{id_column}").eqNullSafe(F.col("s.__id")))
+    nth = F.row_number().over(Window.partitionBy("d.__k1", "d.__k2", f"d.{id_column}").orderBy(F.col("d.__k1")))
+    return mine.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``: 3-word shingles, three bits. Empty and null texts share fingerprint zero."""
     found = near_groups(table(spark, sf_dir, "documents"))

@@ -3,9 +3,9 @@
 The engine inserts one symbol of every sequence each round, from the right: after round ``j`` the files hold
 the Burrows-Wheeler transform, the longest common prefixes and the tail pointers of all suffixes of up to
 ``j`` symbols, in order. A round reads the files of the round before from front to back and writes new ones.
-A symbol is forty bytes (exactly ranked, never hashed), so each segment gives forty sequences, one for each
-phase, and a 400-byte string is exactly ten symbols of one of them; a string is repeated if its suffix has a
-common prefix of ten symbols with a neighbour. How segments of all documents come together is described in ``repeats``.
+A symbol is eighty bytes (exactly numbered, never hashed), so each segment gives eighty sequences, one for
+each phase, and a 400-byte string is exactly five symbols of one of them; a string is repeated if its suffix
+has a common prefix of five symbols with a neighbour. How segments of all documents come together is described in ``repeats``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ LENGTH = 400
 #: Bytes of an anchor: about half a string, so that hardly any anchor is shared by chance.
 ANCHOR = 160
 #: Bytes of a symbol: the largest of these that divides the length.
-UNITS = (40, 16, 8, 4, 2, 1)
+UNITS = (80, 40, 16, 8, 4, 2, 1)
 LOW = (1 << 32) - 1
 
 
@@ -37,13 +38,19 @@ class Files:
     def __init__(self, folder: str):
         self.folder, self.turn = folder, 0
 
+    def _path(self, name: str, turn: int) -> str:
+        return os.path.join(self.folder, f"{name}-{turn}")
+
     def write(self, **columns: np.ndarray) -> None:
-        self.turn ^= 1
+        """New files each round: writing over the old ones would make the file system flush them."""
         for name, column in columns.items():
-            column.tofile(os.path.join(self.folder, f"{name}{self.turn}"))
+            column.tofile(self._path(name, self.turn + 1))
+            if self.turn:
+                os.remove(self._path(name, self.turn))
+        self.turn += 1
 
     def read(self, name: str, kind: type) -> np.ndarray:
-        return np.fromfile(os.path.join(self.folder, f"{name}{self.turn}"), kind)
+        return np.fromfile(self._path(name, self.turn), kind)
 
 
 def least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -138,21 +145,20 @@ def column_wise(sequences: np.ndarray, bounds: np.ndarray, folder: str) -> tuple
 
 
 def ranks(data: np.ndarray, unit: int) -> np.ndarray:
-    """Dense ranks of the ``unit`` bytes at each place where so many are left; equal ranks mean equal bytes."""
+    """Dense numbers of the ``unit`` bytes at each place where so many are left; equal numbers mean equal bytes."""
     out, size = data.astype(np.uint64), 1
     while size < min(unit, 8):
         out = (out[:-size] << np.uint64(8 * size)) | out[size:]
         size *= 2
-    out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+    out = pd.factorize(out)[0].astype(np.int64)
     while size < unit:
         more = min(unit, 3 * size)
         n, many = len(data) - more + 1, int(out.max()) + 1
         middle = min(size, more - size)
-        if many < 1 << 21:
-            key = (out[:n] * many + out[middle : middle + n]) * many + out[more - size : more - size + n]
-        else:
-            key = np.unique(out[:n] * many + out[middle : middle + n], return_inverse=True)[1] * many + out[more - size : more - size + n]
-        out, size = np.unique(key, return_inverse=True)[1].astype(np.int64), more
+        key = out[:n] * many + out[middle : middle + n]
+        if more > 2 * size:
+            key = (key if many < 1 << 21 else pd.factorize(key)[0].astype(np.int64)) * many + out[more - size : more - size + n]
+        out, size = pd.factorize(key)[0].astype(np.int64), more
     return out
 
 
@@ -234,8 +240,6 @@ def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -
 
     @F.pandas_udf("string")
     def strip(texts, spans):
-        import pandas as pd
-
         out = []
         for text, some in zip(texts, spans, strict=True):
             if text is not None and some is not None and len(some):

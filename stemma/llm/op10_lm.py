@@ -36,8 +36,9 @@ ORDER, CUTOFF, DISCOUNT = 3, 2, 0.4
 #: Tokens of a block; a longer text makes a block of its own.
 BLOCK = 2_000_000
 BITS = 20  # of a token id in an n-gram's key
+TOKEN = "<u4"  # as which tokens are packed
 
-SCHEMA = "kind int, block long, part int, ids array<long>, sizes array<int>, data binary"
+SCHEMA = "block long, part int, ids array<long>, sizes array<int>, data binary"
 
 
 def tokenizer(path: str) -> tiktoken.Encoding:
@@ -68,8 +69,32 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _items(found: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([tagged(k[k >= 0], n) for n, k in enumerate(found, 1)])
+def shrink(values: np.ndarray, kind: str) -> bytes:
+    """Numbers as compressed byte planes."""
+    raw = values.astype(kind)
+    return zstandard.ZstdCompressor(level=3).compress(raw.view(np.uint8).reshape(-1, raw.itemsize).T.tobytes())
+
+
+def grow(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+
+
+def by_part(items: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the items in which those of a part stand together, and the parts' edges in it."""
+    part = part_of(items, parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _row(block: int, part: int, ids: list | None, sizes: list, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "part": pa.array([part], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "data": pa.array([data], pa.binary())})
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
 
 
 def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -81,120 +106,101 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
     spark = importable(docs.sparkSession)
     parts = width(spark)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = tokenizer(path), zstandard.ZstdCompressor(level=3).compress
+    def read_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer(path).encode_ordinary
         block = TaskContext.get().partitionId() << 24
         ids: list = []
         held: list[np.ndarray] = []
         total = 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal block, total
-            tokens, sizes = np.concatenate(held).astype(np.int64), np.fromiter(map(len, held), np.int64, len(held))
-            items, counts = np.unique(_items(grams(tokens, sizes)), return_counts=True)
-            part = part_of(items, parts)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
-            data = []
-            for p in range(parts):
-                at = order[edge[p] : edge[p + 1]]
-                mine = items[at]
-                data.append(pack(np.diff(mine, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()) if len(at) else b"")
-                data.append(pack(counts[at].astype("<u4").tobytes()) if len(at) else b"")
-            n = parts
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([0] * n, pa.int32()), "block": pa.array([block] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "ids": pa.array([None] * n, pa.list_(pa.int64())), "sizes": pa.array([[len(a)] for a in data[::2]], pa.list_(pa.int32())), "data": pa.array([a + b for a, b in zip(data[::2], data[1::2], strict=True)], pa.binary())})
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "block": pa.array([block], pa.int64()), "part": pa.array([-1], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int32())), "data": pa.array([pack(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())})
-            block += 1
-            total = 0
-            held.clear()
-            ids.clear()
-
         for batch in batches:
             names = batch.column(0).to_pylist()
             for first, texts in pieces(batch.column(1)):
                 for i, text in enumerate(texts, first):
-                    held.append(np.array(encode.encode_ordinary(text.decode()), np.uint32))
+                    held.append(np.array(encode(text.decode()), np.uint32))
                     ids.append(names[i])
                     total += len(held[-1])
                     if total >= BLOCK:
-                        yield from close()
+                        yield _row(block, -1, ids, list(map(len, held)), shrink(np.concatenate(held), TOKEN))
+                        block, total = block + 1, 0
+                        held.clear()
+                        ids.clear()
         if held:
-            yield from close()
+            yield _row(block, -1, ids, list(map(len, held)), shrink(np.concatenate(held), TOKEN))
 
-    sent = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("t")).mapInArrow(explode, SCHEMA))
+    blocks = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("t")).mapInArrow(read_in, SCHEMA))
 
-    def read(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-        unpack = zstandard.ZstdDecompressor()
-        if not data:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        keys = np.ascontiguousarray(np.frombuffer(unpack.decompress(data[:size]), np.uint8).reshape(8, -1).T).view("<i8").ravel()
-        return np.cumsum(keys), np.frombuffer(unpack.decompress(data[size:]), "<u4").astype(np.int64)
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, _, sizes, data in _rows(batches):
+            each = [np.unique(k[k >= 0], return_counts=True) for k in grams(grow(data, TOKEN), np.array(sizes, np.int64))]
+            items, counts = np.concatenate([tagged(k, n) for n, (k, _) in enumerate(each, 1)]), np.concatenate([c for _, c in each])
+            order, edge = by_part(items, parts)
+            for p in range(parts):
+                at = order[edge[p] : edge[p + 1]]
+                if len(at):
+                    keys = shrink(np.diff(items[at], prepend=0), "<i8")
+                    yield _row(block, p, None, [len(keys)], keys + shrink(counts[at], "<u4"))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    def keys_of(data: bytes, size: int) -> np.ndarray:
+        return np.cumsum(grow(data[:size], "<i8"))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for part, group in groupby(rows(batches), key=lambda r: r[0]):
-            asked = [(block, data, sizes[0]) for _, block, sizes, data in group if data]
+        for part, group in groupby(_rows(batches), key=lambda r: r[1]):
+            asked = [(block, sizes[0], data) for block, _, _, sizes, data in group]
             keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
             # Blocks are merged a few at a time, so that repeats are combined as they come.
             for at in range(0, len(asked), 16):
-                some = [read(data, size) for _, data, size in asked[at : at + 16]]
-                every = np.concatenate([keys, *(k for k, _ in some)])
+                some = asked[at : at + 16]
+                every = np.concatenate([keys, *(keys_of(data, size) for _, size, data in some)])
+                times = np.concatenate([counts, *(grow(data[size:], "<u4") for _, size, data in some)])
                 keys, where = np.unique(every, return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, *(c for _, c in some)]).astype(np.float64), len(keys)).astype(np.int64)
+                counts = np.zeros(len(keys), np.int64)
+                np.add.at(counts, where, times)
             total = np.where(((keys >> 61) > 1) & (counts < CUTOFF), 0, counts)
-            for block, data, size in asked:
-                mine, _ = read(data, size)
-                answer = total[np.searchsorted(keys, mine)].astype("<u8")
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([0], pa.int32()), "block": pa.array([block], pa.int64()), "part": pa.array([part], pa.int32()), "ids": pa.array([None], pa.list_(pa.int64())), "sizes": pa.array([[len(mine)]], pa.list_(pa.int32())), "data": pa.array([pack(answer.view(np.uint8).reshape(-1, 8).T.tobytes())], pa.binary())})
+            for block, size, data in asked:
+                yield _row(block, part, None, [0], shrink(total[np.searchsorted(keys, keys_of(data, size))], "<u8"))
 
-    asked = sent.where("kind = 0").select("part", "block", "sizes", "data").repartition(parts, "part").sortWithinPartitions("part", "block")
+    asked = blocks.mapInArrow(explode, SCHEMA).repartition(parts, "part").sortWithinPartitions("part", "block")
     answers = asked.mapInArrow(add_up, SCHEMA)
-    n = sent.where("kind = 1").select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 1
+    n = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for _, group in groupby(rows(batches), key=lambda r: r[0]):
-            answered = {}
-            for _, kind, part, ids, sizes, data in group:
-                raw = unpack.decompress(data)
-                if kind == 0:
-                    answered[part] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.float64)
-                    continue
-                size = np.array(sizes, np.int64)
-                tokens = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-                found = grams(tokens, size)
-                items, where = np.unique(_items(found), return_inverse=True)
-                part_no = part_of(items, parts)
-                order = np.argsort(part_no, kind="stable")
-                totals = np.empty(len(items))
-                totals[order] = np.concatenate([answered[p] for p in sorted(answered)]) if len(items) else 0
-                f, at = [], 0
-                for k in found:
-                    here = np.zeros(len(tokens))
-                    there = k >= 0
-                    m = int(there.sum())
-                    here[there] = totals[where[at : at + m]]
-                    at += m
-                    f.append(here)
-                one, two, three = f
-                before = np.concatenate([[0.0], one[:-1]])
-                pair_before = np.concatenate([[0.0], two[:-1]])
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-                steps = np.where(place > 1, 2, np.minimum(place, 1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.where((three > 0) & (pair_before > 0), three / pair_before, np.where(two > 0, two / before * DISCOUNT ** np.maximum(steps - 1, 0), one / n * DISCOUNT**steps))
-                logs = np.concatenate([[0.0], np.cumsum(np.log(s))]) if len(s) else np.zeros(1)
-                stop = np.cumsum(size)
-                total = logs[stop] - logs[stop - size]
-                mean = [t / k if k else None for t, k in zip(total.tolist(), sizes, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(size), "log_score": pa.array(total), "mean_log_score": pa.array(mean, pa.float64())})
-
-    both = answers.select("block", "kind", "part", "ids", "sizes", "data").unionByName(sent.where("kind = 1").select("block", "kind", "part", "ids", "sizes", "data"))
-    return both.repartition(parts, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(score, "doc_id long, n_tokens long, log_score double, mean_log_score double")
+        for _, group in groupby(_rows(batches), key=lambda r: r[0]):
+            # The block's documents come first (part -1), then the answers by part.
+            _, _, ids, sizes, data = next(group)
+            size, tokens = np.array(sizes, np.int64), grow(data, TOKEN)
+            found = grams(tokens, size)
+            items, places = [], []
+            for order, k in enumerate(found, 1):
+                distinct, where = np.unique(k[k >= 0], return_inverse=True)
+                items.append(tagged(distinct, order))
+                places.append(where)
+            edges = np.cumsum([0, *map(len, items)])
+            order, _ = by_part(np.concatenate(items), parts)
+            answered = [grow(row[4], "<u8") for row in group]
+            totals = np.zeros(edges[-1])
+            totals[order] = np.concatenate(answered) if answered else 0
+            del items, answered, order
+            f = []
+            for i, k in enumerate(found):
+                here = np.zeros(len(tokens))
+                here[k >= 0] = totals[edges[i] : edges[i + 1]][places[i]]
+                f.append(here)
+            del found, places, totals
+            one, two, three = f
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            steps = np.minimum(place, 2)
+            before, pair_before = np.concatenate([[0.0], one[:-1]]), np.concatenate([[0.0], two[:-1]])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where((three > 0) & (pair_before > 0), three / pair_before, np.where(two > 0, two / before * DISCOUNT ** np.maximum(steps - 1, 0), one / n * DISCOUNT**steps))
+            logs = np.concatenate([[0.0], np.log(s)])
+            stop = np.cumsum(size)
+            # Sums over stretches that may be empty: an added zero closes the last one.
+            total = np.where(size > 0, np.add.reduceat(np.append(logs[1:], 0.0), np.minimum(stop - size, len(tokens))), 0.0) if len(size) else np.empty(0)
+            mean = [t / k if k else None for t, k in zip(total.tolist(), sizes, strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(size), "log_score": pa.array(total), "mean_log_score": pa.array(mean, pa.float64())})
+
+    both = answers.unionByName(blocks)
+    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(score, "doc_id long, n_tokens long, log_score double, mean_log_score double")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

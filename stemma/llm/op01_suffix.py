@@ -234,9 +234,10 @@ def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -
     null text stays null.
     """
     _, found = repeated(docs, text_column, length, min(ANCHOR, length), bytes_of, engine)
-    keys = content_key(F.col(text_column))
-    named = found.select(F.col("k1").alias("__f1"), F.col("k2").alias("__f2"), F.col("spans").alias("__spans"))
-    joined = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(named, (F.col("__k1") == F.col("__f1")) & (F.col("__k2") == F.col("__f2")), "left")
+    named = found.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "spans")
+    # Other columns travel in a struct, so no name can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *content_key(F.col(text_column)))
+    joined = rows.join(named, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
 
     @F.pandas_udf("string")
     def strip(texts, spans):
@@ -248,7 +249,8 @@ def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text_column, strip(F.col(text_column), F.col("__spans"))).select(*docs.columns)
+    stripped_ = joined.select("row", strip(F.col(f"row.`{text_column}`"), F.col("spans")).alias("text"))
+    return stripped_.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ Everything depends only on the rows and the seed, so reruns agree.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
                 out[i] = share * weight[i]
             break
         for i in full:
-            out[i] = cap[i]
+            out[i] = float(cap[i])
             left -= cap[i]
             open_.discard(i)
         left = max(left, 0.0)
@@ -110,11 +112,8 @@ class Mix:
     def __init__(self, docs: DataFrame, source_column: str = "source", text_column: str = "text", id_column: str = "doc_id", block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
         spark = importable(docs.sparkSession)
         self.block = block
-        marked = docs.select("*", F.col(source_column).alias("__source"), F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), F.xxhash64(F.lit(seed), id_column, text_column).alias("__h"))
-        marked = marked.withColumn("__part", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(PARTS)).cast("int"))
-        self.id_column = id_column
-        slim = marked.select(F.col(id_column).alias("__id"), "__source", "__size", "__h", "__part")
-        slim = cut(slim)
+        marked = docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("__source"), F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("__size"), F.xxhash64(F.lit(seed), id_column, text_column).alias("__h"))
+        slim = cut(marked.withColumn("__part", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(PARTS)).cast("int")))
         # One row a source: sources are names in a catalogue, not data.
         found = slim.groupBy("__source").agg(F.sum("__size").alias("n")).collect()
         rows = sorted(((r["__source"], r["n"]) for r in found), key=lambda r: (r[0] is None, (r[0] or "").encode()))
@@ -180,17 +179,14 @@ def mixed_texts(docs: DataFrame, source_column: str = "source", text_column: str
     # Rows of one id and text are interchangeable: they are told apart by their turn among themselves.
     alike = Window.partitionBy("__id", "__h").orderBy("s", "start")
     keyed = mix.placed.withColumn("__nth", F.row_number().over(alike)).join(spans, ["s", "start"]).select(F.col("__id").alias("__m_id"), F.col("__h").alias("__m_h"), F.col("__nth").alias("__m_nth"), "__spans")
-    rows = docs.withColumn("__h", F.xxhash64(F.lit(settings.get("seed", SEED)), id_column, text_column))
-    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(id_column, "__h").orderBy(F.xxhash64(*plain))))
-    joined = rows.join(keyed, F.col(id_column).eqNullSafe(F.col("__m_id")) & (F.col("__h") == F.col("__m_h")) & (F.col("__nth") == F.col("__m_nth")))
+    plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    # Other columns travel in a struct, so no name can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.lit(settings.get("seed", SEED)), id_column, text_column).alias("h"), F.xxhash64(*plain).alias("all"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "h").orderBy("all")))
+    joined = rows.join(keyed, F.col("id").eqNullSafe(F.col("__m_id")) & (F.col("h") == F.col("__m_h")) & (F.col("nth") == F.col("__m_nth")))
 
     @F.pandas_udf("string")
     def cut_text(texts, spans):
-        import re
-
-        import pandas as pd
-
         word = re.compile(rb"[^\x20\x09-\x0D]+")
         out = []
         for text, pairs in zip(texts, spans, strict=True):
@@ -204,9 +200,10 @@ def mixed_texts(docs: DataFrame, source_column: str = "source", text_column: str
                 else:
                     runs.append([a, b])
             out.append(b"\n".join(raw[edges[a][0] : edges[b - 1][1]] for a, b in runs).decode())
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    return joined.withColumn(text_column, cut_text(F.col(text_column), F.col("__spans"))).select(*docs.columns)
+    cut_ = joined.select("row", cut_text(F.col(f"row.`{text_column}`"), F.col("__spans")).alias("text"))
+    return cut_.select(*[F.col("text").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

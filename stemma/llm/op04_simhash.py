@@ -220,10 +220,11 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_colu
     rows = docs.select(F.struct(F.col(id_column).isNull().alias("no"), F.col(id_column).alias("id"), *keys).alias("row"), F.col(text_column).alias("t"))
     found = near_groups(rows, shingle, radius, "row", "t")
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
-    stay = stay.select(F.col("id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    mine = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).alias("d").join(stay.alias("s"), (F.col("d.__k1") == F.col("s.__k1")) & (F.col("d.__k2") == F.col("s.__k2")) & F.col(f"d.{id_column}").eqNullSafe(F.col("s.__id")))
-    nth = F.row_number().over(Window.partitionBy("d.__k1", "d.__k2", f"d.{id_column}").orderBy(F.col("d.__k1")))
-    return mine.withColumn("__nth", nth).where("__nth = 1").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    stay = stay.select(F.col("id").alias("s_id"), F.col("k1").alias("s1"), F.col("k2").alias("s2"))
+    # Other columns travel in a struct, so no name can clash.
+    mine = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), *keys).join(stay, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")) & F.col("id").eqNullSafe(F.col("s_id")))
+    nth = F.row_number().over(Window.partitionBy("k1", "k2", "id").orderBy("k1"))
+    return mine.withColumn("nth", nth).where("nth = 1").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

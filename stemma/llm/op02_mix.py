@@ -178,7 +178,7 @@ def mixed_texts(docs: DataFrame, source_column: str = "source", text_column: str
     spans = mix.pieces.groupBy("s", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__spans"))
     # Rows of one id and text are interchangeable: they are told apart by their turn among themselves.
     alike = Window.partitionBy("__id", "__h").orderBy("s", "start")
-    keyed = mix.placed.withColumn("__nth", F.row_number().over(alike)).join(spans, ["s", "start"]).select(F.col("__id").alias("__m_id"), F.col("__h").alias("__m_h"), F.col("__nth").alias("__m_nth"), "__spans")
+    keyed = mix.placed.where("__size > 0").withColumn("__nth", F.row_number().over(alike)).join(spans, ["s", "start"]).select(F.col("__id").alias("__m_id"), F.col("__h").alias("__m_h"), F.col("__nth").alias("__m_nth"), "__spans")
     plain = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     # Other columns travel in a struct, so no name can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_column).alias("id"), F.xxhash64(F.lit(settings.get("seed", SEED)), id_column, text_column).alias("h"), F.xxhash64(*plain).alias("all"))

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _marks() -> tuple[str, str]:
@@ -36,7 +37,7 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _WITH, _WITHOUT), r"\p{Mn}", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_exact(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFD", x) if unicodedata.category(ch) != "Mn"))
 
@@ -109,12 +110,12 @@ def strip_tags(c: Column) -> Column:
     return collapse(unescape(F.regexp_replace(c, r"<[^>]*>", "\n")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def wrap(s: pd.Series, width: pd.Series) -> pd.Series:
     """Words packed into lines of at most ``width`` characters; a longer word has its own line."""
 
@@ -130,7 +131,7 @@ def wrap(s: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([lines(t, n) for t, n in zip(s, width, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the argument order matters. Give it distinct pairs that pass ``ratio_bound``."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import content_key, table
-from .repeats import hash_words, merge, repeated
+from .repeats import hash_words, merge, repeated, unpacked
 
 WINDOW = 35
 ANCHOR = 11
@@ -89,7 +89,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text_column: str = "t
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(2), batch.column(3), strict=True):
-                words = text.as_py().split()
+                words = unpacked(text.as_py()).split()
                 edges = [0, *merge(spans.as_py() or []).ravel().tolist(), len(words)]
                 kept = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b]]
                 joined_words = b" ".join(kept)

@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def segments(units: np.ndarray, window: int, anchor: int, powers: Powers) -> tup
 
 
 def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_units: Callable[[], Callable[[bytes], np.ndarray]], engine: Engine) -> tuple[DataFrame, DataFrame]:
-    """``texts``: every distinct text at least once for each partition (``k1, k2, t``); ``found``: ``k1, k2, spans``.
+    """``texts``: every distinct text at least once for each partition (``k1, k2, t``, for ``unpacked``); ``found``: ``k1, k2, spans``.
 
     ``spans`` holds pairs (first unit, unit after the last) of int32, little endian, as binary: stretches
     covered by repeated windows, not yet merged. Texts without repeated windows have no row.
@@ -119,16 +120,19 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
     source = docs.select(F.coalesce(text_column, F.lit("")).cast("binary").alias("t"), *content_key(F.col(text_column)))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text once, packed: texts are what moves most."""
         seen: set[tuple[int, int]] = set()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            new = []
+            new, packed = [], []
             for i, key in enumerate(keys):
                 if key not in seen:
                     seen.add(key)
                     new.append(i)
+                    packed.append(pack(batch.column(0)[i].as_py()))
             if new:
-                yield batch.take(pa.array(new))
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).take(pa.array(new)), batch.column(2).take(pa.array(new))], names=["t", "k1", "k2"])
 
     texts = source.mapInArrow(distinct, "t binary, k1 long, k2 long")
 
@@ -199,7 +203,7 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
                     continue
                 done.add(key)
                 with np.errstate(over="ignore"):
-                    u = units(t.as_py())
+                    u = units(unpacked(t.as_py()))
                     sums = None
                     for x in xs.as_py():
                         lo, n = x["lo"], x["n"]
@@ -271,6 +275,11 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
     return dealt_texts, found
 
 
+def unpacked(packed: bytes) -> bytes:
+    """A text as ``repeated`` hands it out."""
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def merge(spans: list[dict]) -> np.ndarray:
     """Maximal runs (first, after last) of the units covered by the spans of one text, in order."""
     parts = [np.frombuffer(x["spans"], "<i4").reshape(-1, 2).astype(np.int64) + x["lo"] for x in spans]

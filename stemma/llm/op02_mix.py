@@ -156,7 +156,8 @@ class Mix:
         spans = self.placed.where("__size > 0").select("s", "start", "__size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("__size") - 1) / block))).alias("b"))
         low, high = F.greatest(F.col("start"), F.col("b") * block), F.least(F.col("start") + F.col("__size"), (F.col("b") + 1) * block)
         spans = spans.select("s", "start", "b", (low - F.col("start")).alias("from_word"), (high - F.col("start")).alias("to_word"), (low - F.col("b") * block).alias("at"))
-        joined = spans.join(self.slots, ["s", "b"]).where("at < take")
+        # What a map makes of a short table can be long, which the planner does not know: no broadcast.
+        joined = spans.join(self.slots.hint("merge"), ["s", "b"]).where("at < take")
         #: Row (s, start), words from_word .. to_word - 1, and the slot that takes them.
         self.pieces = joined.select("s", "start", "from_word", F.least(F.col("to_word"), F.col("from_word") + F.col("take") - F.col("at")).alias("to_word"), "shard", "slot", "turn")
 

@@ -270,11 +270,9 @@ class TokenCounter:
             powers = np.cumprod(np.full(len(data) + 1, base, np.uint64))
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
-            far = int(size.max())
-            shift = powers[len(data)] if len(data) else base
             # Hashes are brought to one common power: that of the end of the batch.
             h = mix64((total[at + size] - total[at]) * powers[len(data) - at] + size.astype(np.uint64))
-        del powers, total, shift, far
+        del powers, total
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         words = [joined[a : a + n] for a, n in zip(at[first].tolist(), size[first].tolist(), strict=True)]
         known = self.known

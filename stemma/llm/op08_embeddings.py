@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, width
+from .common import cut, importable, table, width
 from .components import components
 
 THRESHOLD = 0.95
@@ -53,10 +53,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> It
         # |x.y - x^.y^| <= |x^||ey| + |ex||y^| + |ex||ey|; single precision steps get a margin of 1e-5.
         product *= sx[rows].astype(kind)[:, None]
         product *= sy.astype(kind)
-        bound = (ex[rows] / np.maximum(lx[rows], 1e-9)).max()
         slack = float((lx[rows].max() * ey.max()) + ex[rows].max() * ly.max() + ex[rows].max() * ey.max()) + 1e-5
         i, j = np.nonzero(product >= threshold - slack)
-        del bound
         i += at
         if same:
             i, j = i[i < j], j[i < j]
@@ -99,18 +97,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
     of rows that share the smallest id, all are kept. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    importable(spark)
     rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("e"))
     fine = F.coalesce(F.forall("e", lambda x: F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False))) & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("fine", fine)
     # Large components are brought to the range in which squares can be summed; cosine does not change.
     most = F.array_max(F.transform("e", lambda x: F.abs(x)))
     rows = rows.withColumn("e", F.when(F.col("fine") & ((most > 1e100) | (most < 1e-100)), F.transform("e", lambda x: x / most)).otherwise(F.col("e")))
-    classes = cut(rows.where("fine").groupBy("e").agg(F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("c", F.xxhash64("e")))
-    # Hashes name classes; a name that two classes share is told apart by the vector itself.
+    classes = cut(rows.where("fine").groupBy("e").agg(F.count("*").alias("m"), F.min("vec_id").alias("least")).withColumn("c", F.monotonically_increasing_id()))
     n = classes.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    some = [r.e for r in classes.orderBy(F.hash("c"), "c").limit(min(PIVOTS, -(-n // BLOCK))).collect()]
+    some = [r.e for r in classes.orderBy(F.xxhash64("e"), "c").limit(min(PIVOTS, -(-n // BLOCK))).collect()]
     by_size: dict[int, np.ndarray] = {}
     for e in some:
         by_size.setdefault(len(e), []).append(e)

@@ -53,16 +53,24 @@ class Bpe:
             self.merge.setdefault(pair_ids, (r, made))
             if made not in self.rank:
                 self.rank[made], self.parts[made] = r, pair_ids
-        self.length = {model["vocab"][t]: len(a) for t, a in spelled.items()}
-        self.automaton = ahocorasick.Automaton()
-        for t, a in spelled.items():
-            self.automaton.add_word(a, model["vocab"][t])
-        self.automaton.make_automaton()
-        self.beside: dict[tuple[int, int], bool] = {}
         self.whole = {a: model["vocab"][t] for t, a in spelled.items()}
-        # An item that its own spelling does not encode to is never emitted.
+        self.length = [0] * (max(self.names) + 1)
+        for a, i in self.whole.items():
+            self.length[i] = len(a)
+        self.beside: dict[int, bool] = {}
+        # An item that its own spelling does not encode to is never emitted, so it is left out.
         self.dead: set[int] = set()
+        self._build()
         self.dead = {i for a, i in self.whole.items() if len(a) > 1 and self._path(a) != [i]}
+        if self.dead:
+            self._build()
+
+    def _build(self) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for a, i in self.whole.items():
+            if i not in self.dead:
+                self.automaton.add_word(a, i)
+        self.automaton.make_automaton()
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border when ``left`` and ``right`` stand side by side.
@@ -70,12 +78,12 @@ class Bpe:
         Both tokens are unfolded backwards in merge order. The border breaks if the two pieces that touch
         it merge before the later of them was swallowed by its own parent.
         """
-        key = (left, right)
+        key = left << 20 | right
         known = self.beside.get(key)
         if known is None:
-            known = self.beside[key] = self._compatible(left, right)
             if len(self.beside) > 1_000_000:
                 self.beside.clear()
+            known = self.beside[key] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -95,14 +103,18 @@ class Bpe:
                 until_right, right = b, parts[right][0]
 
     def _path(self, text: str) -> list[int]:
-        n, length, compatible, dead = len(text), self.length, self.compatible, self.dead
+        n, length, known = len(text), self.length, self.beside.get
         last = [-1] * n
         for at, token in self.automaton.iter(text):
-            if last[at] >= 0 or token in dead:
+            if last[at] >= 0:
                 continue
             before = at - length[token]
-            if before < 0 or ((prior := last[before]) >= 0 and compatible(prior, token)):
+            if before < 0:
                 last[at] = token
+            elif (prior := last[before]) >= 0:
+                fits = known(prior << 20 | token)
+                if self.compatible(prior, token) if fits is None else fits:
+                    last[at] = token
         out, at = [], n - 1
         while at >= 0:
             token = last[at]

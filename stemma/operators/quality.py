@@ -58,3 +58,48 @@ def first_difference(committed: DataFrame, fresh: DataFrame) -> DataFrame:
 def stale_counts(claims: DataFrame, actual: DataFrame) -> DataFrame:
     """Claims (``metric, said``) that differ from computed values (``metric, value``)."""
     return claims.join(actual, "metric").where("said <> value")
+
+
+def longest_existing_prefix(routes: DataFrame, folders: DataFrame) -> DataFrame:
+    """``route, folder``: the longest of a route's own leading folders that exists; null if none does.
+
+    ``routes (route)``, ``folders (folder)``, both with ``/`` between parts.
+    """
+    parts = F.split("route", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    each = routes.select("route").distinct().select("route", F.explode(prefixes).alias("folder")).join(folders.select("folder").distinct(), "folder", "left_semi")
+    best = each.groupBy("route").agg(F.max_by("folder", F.length("folder")).alias("folder"))
+    return routes.join(best, "route", "left")
+
+
+def table_claims(lines: DataFrame) -> DataFrame:
+    """``metric, said``: label and first whole number of two-cell table rows in Markdown ``lines (raw)``."""
+    cells = F.transform(F.split(F.regexp_replace(F.trim("raw"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    rows = lines.where(F.startswith(F.trim("raw"), F.lit("|"))).select(cells.alias("c")).where("size(c) = 2")
+    number = F.regexp_extract(F.replace(F.get("c", F.lit(1)), F.lit(".")), r"(\d+)", 1).try_cast("int")
+    return rows.select(F.get("c", F.lit(0)).alias("metric"), number.alias("said")).where("said IS NOT NULL")
+
+
+def review_kind(rows: DataFrame) -> str:
+    """What a review file holds, from its columns: ``corrections`` (edits), ``parents``, ``records``, ``children`` or ``ids``."""
+    names = set(rows.columns)
+    if "edits" in names:
+        return "corrections"
+    kinds = {r.kind for r in rows.select("kind").distinct().collect()} if "kind" in names else set()
+    if len(kinds) == 1 and kinds <= {"parents", "records", "children"}:
+        return kinds.pop()
+    if {"target", "fsftid"} <= names:
+        return "ids"
+    raise ValueError("entries of one known kind are expected")
+
+
+def forbidden_keys(texts: DataFrame, key: str) -> DataFrame:
+    """Notes (``id, text``) whose heading block has a key that must not be there."""
+    block = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---", 1)
+    return texts.where(block.rlike(rf"(?m)^{key}\s*:")).select("id")
+
+
+def public_binaries(tracked: DataFrame, extensions: tuple[str, ...], private: bool) -> DataFrame:
+    """Tracked files (``id, name``) with a binary extension, which only a private place may hold."""
+    found = tracked.where(F.lower(F.substring_index("name", ".", -1)).isin(*extensions)).select("id")
+    return found.where(F.lit(not private))

@@ -86,3 +86,16 @@ def flattened_places(lines: DataFrame, form: str = "Aldea, Ciutat, Codi Postal,
         raise Refused("the header names another layout of places")
     place = F.col("tag") == "PLAC"
     return lines.withColumn("raw", F.when(place, F.concat(F.col("level").cast("string"), F.lit(" PLAC "), flattened(F.col("value")))).otherwise(F.col("raw")))
+
+
+def fiche_markdown(title: str, fields: dict[str, str], labels: list[tuple[str, str]], kin: list[tuple[str, str, str]], note: str = "") -> str:
+    """An index entry as a note: fields in the order of ``labels``, then kin ``(role, name, birthplace)`` in theirs."""
+    out = [f"# {title}", ""]
+    if note:
+        out += [note, ""]
+    rows = [f"| {label} | {fields[key]} |" for label, key in labels if fields.get(key)]
+    out += ["| | |", "| --- | --- |", *rows, ""]
+    named = [f"| {role} | {name} | {place} |" for role, name, place in kin if name.strip()]
+    if named:
+        out += ["| Vincle | Nom | Lloc de naixement |", "| --- | --- | --- |", *named, ""]
+    return "\n".join(out)

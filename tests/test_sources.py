@@ -138,3 +138,22 @@ def test_sinks(spark, tmp_path):
     assert "accept: null" in sinks.proposals_yaml(spark.createDataFrame([("parents", "I1")], "kind string, target string"))
     got = json.loads(sinks.snapshot_json(spark.createDataFrame([("I1", "X", "ready"), ("I2", None, "ready"), ("I3", "Y", "unknown")], "xref string, fsftid string, status string"), "d", "r"))
     assert list(got["persones"]) == ["I1"]
+
+
+def test_prefixes_claims_and_kinds(spark):
+    from stemma.operators import quality
+
+    routes = spark.createDataFrame([("a/b/c.jpg",), ("x/y",)], "route string")
+    got = {r.route: r.folder for r in quality.longest_existing_prefix(routes, spark.createDataFrame([("a",), ("a/b",)], "folder string")).collect()}
+    assert got == {"a/b/c.jpg": "a/b", "x/y": None}
+    lines = spark.createDataFrame([("| Persones | 1.018 |",), ("| a | b | c |",), ("text 7",), ("| --- | --- |",)], "raw string")
+    assert [tuple(r) for r in quality.table_claims(lines).collect()] == [("Persones", 1018)]
+    assert quality.review_kind(spark.createDataFrame([("I1", "X")], "target string, fsftid string")) == "ids"
+    assert quality.review_kind(spark.createDataFrame([("parents", "I1")], "kind string, target string")) == "parents"
+    with pytest.raises(ValueError):
+        quality.review_kind(spark.createDataFrame([(1,)], "x int"))
+    texts = spark.createDataFrame([(1, "---\ncr_id: 3\n---\n"), (2, "---\na: b\n---\ncr_id: 3")], "id int, text string")
+    assert [r.id for r in quality.forbidden_keys(texts, "cr_id").collect()] == [1]
+    files = spark.createDataFrame([(1, "a.JPG"), (2, "a.md")], "id int, name string")
+    assert [quality.public_binaries(files, ("jpg",), p).count() for p in (False, True)] == [1, 0]
+    assert sinks.fiche_markdown("T", {"book": "B"}, [("Llibre", "book"), ("Foli", "folio")], [("Pare", "Josep", "Agres"), ("Mare", "", "")]).splitlines()[4] == "| Llibre | B |"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import content_key, table
-from .repeats import bytes_of, merge, repeated
+from .repeats import bytes_of, merge, repeated, unpacked
 
 LENGTH = 400
 #: Bytes of an anchor: about half a string, so that hardly any anchor is shared by chance.
@@ -56,30 +56,37 @@ class Files:
 def least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Minimum of ``values[left + 1 .. right]`` for each query, ``left < right``."""
     size, most = 16, np.iinfo(values.dtype).max
-    padded = np.full(-(-len(values) // size) * size, most, values.dtype)
+    padded = np.full((len(values) // size + 2) * size, most, values.dtype)
     padded[: len(values)] = values
+    lane = np.arange(size)
+    reach = right - left
+    # Short ranges: one look at the next values. A range of one is the value itself.
+    out = values[right].copy()
+    short = np.flatnonzero((reach > 1) & (reach <= size))
+    if len(short):
+        at = left[short, None] + 1 + lane
+        out[short] = np.where(lane < reach[short, None], padded[at], most).min(1)
+    wide = np.flatnonzero(reach > size)
+    if not len(wide):
+        return out
+    left, right = left[wide], right[wide]
     levels = [padded.reshape(-1, size).min(1)]
-    while len(levels[-1]) > 1 << (len(levels) - 1):
-        half = 1 << (len(levels) - 1)
-        if len(levels[-1]) <= half:
-            break
+    while len(levels[-1]) > (half := 1 << (len(levels) - 1)):
         levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-    lane = np.arange(size)
     first, last = (left + 1) // size, right // size
 
     def edge(block: np.ndarray) -> np.ndarray:
         at = block[:, None] * size + lane
         return np.where((at > left[:, None]) & (at <= right[:, None]), padded[at], most).min(1)
 
-    out = np.minimum(edge(first), edge(last))
+    got = np.minimum(edge(first), edge(last))
     count = last - first - 1
     inner = np.flatnonzero(count > 0)
-    if len(inner):
-        level = np.frexp(count[inner].astype(np.float64))[1] - 1
-        for k in np.unique(level).tolist():
-            i = inner[level == k]
-            got = np.minimum(levels[k][first[i] + 1], levels[k][last[i] - (1 << k)])
-            out[i] = np.minimum(out[i], got)
+    level = np.frexp(count[inner].astype(np.float64))[1] - 1
+    for k in np.unique(level).tolist():
+        i = inner[level == k]
+        got[i] = np.minimum(got[i], np.minimum(levels[k][first[i] + 1], levels[k][last[i] - (1 << k)]))
+    out[wide] = got
     return out
 
 
@@ -216,7 +223,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "t
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column(2), batch.column(3), strict=True):
-                t, runs = text.as_py(), merge(spans.as_py() or [])
+                t, runs = unpacked(text.as_py()), merge(spans.as_py() or [])
                 kept = kept_bytes(t, runs)
                 rows.append((len(t), len(t) - len(kept), len(runs), sha256(kept).hexdigest()))
             n, removed, spans, sha = zip(*rows, strict=True) if rows else ((),) * 4

@@ -100,7 +100,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", t
     rate = F.lit(None)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * each / n) + 1))).otherwise(rate)
-    chosen = labelled.where(h < rate).select("t", "lang", h.alias("h")).orderBy("h", "t", "lang").limit(sample) if counts else None
+    chosen = labelled.where(h < rate).select("t", "lang", h.alias("h")) if counts else None
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = letters()
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.binary()), pa.array(g, pa.string()), pa.array(o, pa.int64())], names=["b", "lang", "h"])
 
     # At most `sample` rows of four kilobytes.
-    rows = sorted(chosen.mapInArrow(bits, "b binary, lang string, h long").collect(), key=lambda r: (r.h, bytes(r.b), r.lang)) if counts else []
+    rows = chosen.mapInArrow(bits, "b binary, lang string, h long").orderBy("h", "b", "lang").limit(sample).collect() if counts else []
     classes, weights = (["und"], np.zeros((1 << BITS, 1), np.float32)) if not rows else fit(np.unpackbits(np.array([np.frombuffer(r.b, np.uint8) for r in rows]), axis=1), [r.lang for r in rows])
 
     def make():

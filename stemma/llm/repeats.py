@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -294,24 +293,17 @@ def merge(spans: list[dict]) -> np.ndarray:
 
 
 def hash_words() -> Callable[[bytes], np.ndarray]:
-    """Words of a text as 64-bit hashes; hashes of frequent words are kept."""
-    known: dict[bytes, int] = {}
-    digest = xxhash.xxh3_64_intdigest
+    """Words of a text as 64-bit hashes of their bytes, all at once."""
+    powers, blank = Powers(), np.zeros(256, bool)
+    blank[[0x20, *range(0x09, 0x0E)]] = True
 
     def units(text: bytes) -> np.ndarray:
-        words = text.split()
-        get = known.get
-        out = np.empty(len(words), np.uint64)
-        found = [get(w) for w in words]
-        if None in found:
-            for i, h in enumerate(found):
-                if h is None:
-                    w = words[i]
-                    found[i] = h = digest(w)
-                    if len(known) < 100_000:
-                        known[w] = h
-        out[:] = found
-        return out
+        data = np.frombuffer(text, np.uint8)
+        edge = np.flatnonzero(np.diff(blank[data], prepend=True, append=True))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        with np.errstate(over="ignore"):
+            # A byte counts as one more, so that a word of zeros is no empty word.
+            return stretch_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1), powers), start, size, powers)
 
     return units
 

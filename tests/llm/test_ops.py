@@ -346,3 +346,27 @@ def test_lm(docs, monkeypatch, empty):
 @pytest.mark.parametrize("run", [op04_simhash.near_groups, op04_simhash.one_of_each, op05_quality.quality, op05_quality.passing, op01_suffix.stripped, op01_suffix.without_repeats, op06_substrings.without_repeats, op02_mix.mixed_texts])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+@pytest.mark.parametrize("stride", [1 << 19, 37])
+def test_segments_hold_each_window_once(monkeypatch, stride):
+    monkeypatch.setattr(repeats, "STRIDE", stride)
+    powers, units = repeats.Powers(), repeats.hash_words()
+    text = (passage(11, 300) + " " + passage(12, 80) + " " + passage(11, 300)).encode()
+    u = units(text)
+    assert len(u) == len(text.split()) and units(b"") .tolist() == [] and len(set(units(b"a b a \x00").tolist())) == 3
+    with np.errstate(over="ignore"):
+        a, s, lo, n, p = repeats.segments(u, 35, 11, powers)
+        assert repeats.segments(u[:34], 35, 11, powers) is None
+    starts = [x for low, count in zip(lo.tolist(), n.tolist(), strict=True) for x in range(low, low + count)]
+    assert starts == list(range(len(u) - 34))
+    anchors = {}
+    for h, low, count, place in zip(a.tolist(), lo.tolist(), n.tolist(), p.tolist(), strict=True):
+        assert anchors.setdefault(h, u[low + place : low + place + 11].tobytes()) == u[low + place : low + place + 11].tobytes()
+        assert 0 <= place - count + 1 and place + 11 <= count + 34
+    # Equal windows have equal anchors at equal places.
+    where = {x: (h, low + place - x) for h, low, count, place in zip(a.tolist(), lo.tolist(), n.tolist(), p.tolist(), strict=True) for x in range(low, low + count)}
+    seen = {}
+    for x in starts:
+        assert seen.setdefault(u[x : x + 35].tobytes(), where[x]) == where[x]
+    assert len(seen) < len(starts)

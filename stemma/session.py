@@ -20,8 +20,15 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+#: Most bytes of an Arrow batch, where the session has Spark's own default: texts are long rows, and a batch is held several times over.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it lies beside the driver's program and is not installed."""
+    """Let Python workers find this package where it lies beside the driver's program and is not installed; keep Arrow batches small."""
+    key, default, small = BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, small)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 

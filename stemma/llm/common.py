@@ -5,28 +5,22 @@ Words are always ``[^\\x20\\x09-\\x0D]+``: exactly what ``bytes.split()`` yields
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it lies beside the driver's program and is not installed."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return spark
+from ..session import cut, importable, shared_folder, table
 
+__all__ = ["WORD", "arrow_map", "content_key", "cut", "importable", "mix64", "pieces", "table", "tidy", "width", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def width(spark: SparkSession) -> int:
@@ -34,25 +28,6 @@ def width(spark: SparkSession) -> int:
     return max(1, int(importable(spark).conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset and everything runs in one process (tests), a temporary one."""
-    sc = importable(spark).sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
@@ -66,6 +41,23 @@ def content_key(text: Column) -> list[Column]:
     return [F.conv(F.substring(h, at, 15), 16, 10).cast("long").alias(name) for at, name in ((1, "k1"), (16, "k2"))]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map that gives its memory back when it ends: Python workers stay for later tasks, beside the executor's heap."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return tidied
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` with state made once a task. ``make`` runs on the executor."""
 
@@ -76,20 +68,21 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
                 yield from step(batch)
 
     importable(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def pieces(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Rows of a text column as UTF-8 (null: empty), in runs of about ``limit`` bytes; one long text makes its own run."""
     out: list[bytes] = []
     first = size = 0
-    for i, value in enumerate(column.cast(pa.large_binary()).to_pylist()):
-        value = value or b""
-        if out and size + len(value) > limit:
-            yield first, out
-            out, first, size = [], i, 0
-        out.append(value)
-        size += len(value)
+    for at in range(0, len(column), 256):
+        for i, value in enumerate(column.slice(at, 256).cast(pa.large_binary()).to_pylist(), at):
+            value = value or b""
+            if out and size + len(value) > limit:
+                yield first, out
+                out, first, size = [], i, 0
+            out.append(value)
+            size += len(value)
     if out:
         yield first, out
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, table
+from .common import content_key, table, tidy
 from .repeats import bytes_of, merge, repeated, unpacked
 
 LENGTH = 400
@@ -229,7 +229,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "t
             n, removed, spans, sha = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = joined.select("k1", "k2", "t", "spans").mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.select("k1", "k2", "t", "spans").mapInArrow(tidy(run), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     # Copies of a text from several partitions give equal rows.
     return out.dropDuplicates(["k1", "k2"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, importable, mix64, table, width
+from .common import WORD, cut, importable, mix64, table, tidy, width
 
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
@@ -152,7 +152,7 @@ class Mix:
                         to[here] = permuted(j[here], full, (seed * 1009 + s) * 8 + e)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, s, np.int32)), pa.array(k), pa.array(turn.astype(np.int32)), pa.array(to), pa.array(take.astype(np.int32))], names=["shard", "s", "slot", "turn", "b", "take"])
 
-        self.slots = drawn.mapInArrow(fill, "shard long, s int, slot long, turn int, b long, take int")
+        self.slots = drawn.mapInArrow(tidy(fill), "shard long, s int, slot long, turn int, b long, take int")
         spans = self.placed.where("__size > 0").select("s", "start", "__size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("__size") - 1) / block))).alias("b"))
         low, high = F.greatest(F.col("start"), F.col("b") * block), F.least(F.col("start") + F.col("__size"), (F.col("b") + 1) * block)
         spans = spans.select("s", "start", "b", (low - F.col("start")).alias("from_word"), (high - F.col("start")).alias("to_word"), (low - F.col("b") * block).alias("at"))

@@ -22,7 +22,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: The splitting pattern of this vocabulary; a fixed value of its format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words whose encodings a task keeps; when full, all are dropped and built again.
-CACHE = 300_000
+CACHE = 250_000
 
 
 def normalise(text: str) -> str:

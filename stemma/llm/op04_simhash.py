@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, content_key, cut, pieces, table, width
+from .common import arrow_map, content_key, cut, pieces, table, tidy, width
 from .components import components
 
 RADIUS = 3
@@ -195,7 +195,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             for at in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16), 0]), pa.array(found[at : at + (1 << 16), 1])], names=["u", "v"])
 
-    return dealt.select("fp", "g").mapInArrow(run, "u long, v long")
+    return dealt.select("fp", "g").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

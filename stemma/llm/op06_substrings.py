@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, table
+from .common import content_key, table, tidy
 from .repeats import hash_words, merge, repeated, unpacked
 
 WINDOW = 35
@@ -97,7 +97,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text_column: str = "t
             n, removed, sha, shown = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(shown, pa.string())], names=["k1", "k2", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = joined.select("k1", "k2", "t", "spans").mapInArrow(run, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = joined.select("k1", "k2", "t", "spans").mapInArrow(tidy(run), "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string, kept string")
     # Copies of a text from several partitions give equal rows.
     return (out if with_text else out.drop("kept")).dropDuplicates(["k1", "k2"])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, importable, table, width
+from .common import cut, importable, table, tidy, width
 from .components import components
 
 THRESHOLD = 0.95
@@ -132,7 +132,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
                     cell[i] = -d  # lengths that no pivot has: a cell for each
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array(angle)], names=["c", "cell", "angle"])
 
-    placed = cut(classes.select("c", "e").mapInArrow(place, "c long, cell int, angle double").groupBy("c").agg(F.min("cell").alias("cell"), F.max("angle").alias("angle")))
+    placed = cut(classes.select("c", "e").mapInArrow(tidy(place), "c long, cell int, angle double").groupBy("c").agg(F.min("cell").alias("cell"), F.max("angle").alias("angle")))
     cells = {r.cell: (r.n, r.angle) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()}
     blocks = {k: -(-count // BLOCK) for k, (count, _) in cells.items()}
     reach = float(np.arccos(threshold)) + 1e-6
@@ -170,7 +170,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
         if held:
             yield row()
 
-    packed = cut(homed.select("c", "e", "m", "cell", "block").repartition(width(spark), "cell", "block").sortWithinPartitions("cell", "block", "c").mapInArrow(pack, "cell int, block int, d int, cs binary, ms binary, es binary"))
+    packed = cut(homed.select("c", "e", "m", "cell", "block").repartition(width(spark), "cell", "block").sortWithinPartitions("cell", "block", "c").mapInArrow(tidy(pack), "cell int, block int, d int, cs binary, ms binary, es binary"))
     left = packed.join(F.broadcast(plan.select("cell", "partners")), "cell").select("*", F.explode("partners").alias("to")).drop("partners")
     left = left.select("*", F.explode(F.sequence(F.when(F.col("to.cell") == F.col("cell"), F.col("block")).otherwise(F.lit(0)), F.col("to.blocks") - 1)).alias("to_block")).select(F.col("cell").alias("a"), F.col("block").alias("i"), F.col("to.cell").alias("b"), F.col("to_block").alias("j"), "d", "cs", "ms", "es")
     right = packed.select(F.col("cell").alias("b"), F.col("block").alias("j"), F.col("cs").alias("cs2"), F.col("ms").alias("ms2"), F.col("es").alias("es2"))
@@ -204,7 +204,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([name[some], name[u]])), pa.array(np.concatenate([count[some], np.full(len(u), -1)])), pa.array(np.concatenate([np.zeros(len(some), np.int64), name[v]]))], names=["c", "n", "other"])
 
     # A packed row is about BLOCK vectors: a few to a batch.
-    found = cut(left.repartition(4 * width(spark)).join(right.hint("shuffle_hash"), ["b", "j"]).select("a", "i", "b", "j", "d", "cs", "ms", "es", "cs2", "ms2", "es2").mapInArrow(tiles, "c long, n long, other long"))
+    found = cut(left.repartition(4 * width(spark)).join(right.hint("shuffle_hash"), ["b", "j"]).select("a", "i", "b", "j", "d", "cs", "ms", "es", "cs2", "ms2", "es2").mapInArrow(tidy(tiles), "c long, n long, other long"))
     counts = found.where("n >= 0").groupBy("c").agg(F.sum("n").alias("n"))
     stars = components(found.where("n < 0").select(F.col("c").alias("u"), F.col("other").alias("v")))
     named = classes.select("c", "e", "m", "least").join(counts, "c", "left").join(stars.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, importable, pieces, table
+from .common import arrow_map, importable, pieces, table, tidy
 
 SPECTRUM = 5
 BITS = 15
@@ -59,15 +59,18 @@ def presence(text: str, is_letter: np.ndarray, out: np.ndarray) -> bool:
     return True
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Classes and weights by presence bit. ``bits``: one row a training text, in the sample's order."""
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """Classes and weights by presence bit. ``packed``: the bits of a training text in each row, in the sample's order."""
     classes = sorted(set(langs))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
     # Landmarks take turns among the classes, so that rare ones have theirs.
     turn = sorted(range(len(langs)), key=lambda i, seen={}: (seen.__setitem__(langs[i], seen.get(langs[i], -1) + 1) or seen[langs[i]], i))
-    mark = x[turn[:landmarks]]
-    k_nm, k_mm = (x @ mark.T).astype(np.float64), (mark @ mark.T).astype(np.float64)
+    mark = unit(packed[turn[:landmarks]])
+    k_mm = (mark @ mark.T).astype(np.float64)
+    k_nm = np.concatenate([unit(packed[at : at + 256]) @ mark.T for at in range(0, len(packed), 256)]).astype(np.float64)
     value, vector = np.linalg.eigh(k_mm)
     fine = value > 1e-6 * value.max()
     root = vector[:, fine] / np.sqrt(value[fine])
@@ -77,7 +80,7 @@ def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: f
     w = (1 / y.sum(0))[y.argmax(1)][:, None]
     w *= len(langs) / w.sum()
     alpha = np.linalg.solve(z.T @ (w * z) + ridge * len(langs) * np.eye(z.shape[1]), z.T @ (w * y))
-    return classes, (mark.T.astype(np.float64) @ (root @ alpha)).astype(np.float32)
+    return classes, (mark.T @ (root @ alpha).astype(np.float32)).astype(np.float32)
 
 
 def held_out(id_column: str) -> Column:
@@ -115,8 +118,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.binary()), pa.array(g, pa.string()), pa.array(o, pa.int64())], names=["b", "lang", "h"])
 
     # At most `sample` rows of four kilobytes.
-    rows = chosen.mapInArrow(bits, "b binary, lang string, h long").orderBy("h", "b", "lang").limit(sample).collect() if counts else []
-    classes, weights = (["und"], np.zeros((1 << BITS, 1), np.float32)) if not rows else fit(np.unpackbits(np.array([np.frombuffer(r.b, np.uint8) for r in rows]), axis=1), [r.lang for r in rows])
+    rows = chosen.mapInArrow(tidy(bits), "b binary, lang string, h long").orderBy("h", "b", "lang").limit(sample).collect() if counts else []
+    classes, weights = (["und"], np.zeros((1 << BITS, 1), np.float32)) if not rows else fit(np.array([np.frombuffer(r.b, np.uint8) for r in rows]), [r.lang for r in rows])
 
     def make():
         known = letters()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, importable, mix64, pieces, table, width
+from .common import cut, importable, mix64, pieces, table, tidy, width
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ORDER, CUTOFF, DISCOUNT = 3, 2, 0.4
@@ -127,7 +127,7 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
         if held:
             yield _row(block, -1, ids, list(map(len, held)), shrink(np.concatenate(held), TOKEN))
 
-    blocks = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("t")).mapInArrow(read_in, SCHEMA))
+    blocks = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("t")).mapInArrow(tidy(read_in), SCHEMA))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, sizes, data in _rows(batches):
@@ -159,8 +159,8 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
             for block, size, data in asked:
                 yield _row(block, part, None, [0], shrink(total[np.searchsorted(keys, keys_of(data, size))], "<u8"))
 
-    asked = blocks.mapInArrow(explode, SCHEMA).repartition(parts, "part").sortWithinPartitions("part", "block")
-    answers = asked.mapInArrow(add_up, SCHEMA)
+    asked = blocks.mapInArrow(tidy(explode), SCHEMA).repartition(parts, "part").sortWithinPartitions("part", "block")
+    answers = asked.mapInArrow(tidy(add_up), SCHEMA)
     n = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(size), "log_score": pa.array(total), "mean_log_score": pa.array(mean, pa.float64())})
 
     both = answers.unionByName(blocks)
-    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(score, "doc_id long, n_tokens long, log_score double, mean_log_score double")
+    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(tidy(score), "doc_id long, n_tokens long, log_score double, mean_log_score double")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

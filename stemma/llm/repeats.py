@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, cut, mix64, pieces, width
+from .common import content_key, cut, mix64, pieces, tidy, width
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -133,7 +133,7 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).take(pa.array(new)), batch.column(2).take(pa.array(new))], names=["t", "k1", "k2"])
 
-    texts = source.mapInArrow(distinct, "t binary, k1 long, k2 long")
+    texts = source.mapInArrow(tidy(distinct), "t binary, k1 long, k2 long")
 
     def cut_up(with_content: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,9 +171,9 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
 
         return run
 
-    anchors = source.mapInArrow(cut_up(False), "a long")
+    anchors = source.mapInArrow(tidy(cut_up(False)), "a long")
     often = anchors.groupBy("a").count().where("count > 1").select("a")
-    every = source.mapInArrow(cut_up(True), "a long, s long, k1 long, k2 long, lo int, n int, p int")
+    every = source.mapInArrow(tidy(cut_up(True)), "a long, s long, k1 long, k2 long, lo int, n int, p int")
     mine = cut(every.join(often, "a", "left_semi"))
 
     classes = mine.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "lo", "n", "p")).alias("r")).select("a", "s", F.least("c", F.lit(2)).cast("int").alias("c"), "r.*")
@@ -228,7 +228,7 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
             if rows:
                 yield out(rows)
 
-    pieces_ = holding.select("t", "k1", "k2", "xs").mapInArrow(cut_out, "g long, a long, s long, c int, lo int, b binary")
+    pieces_ = holding.select("t", "k1", "k2", "xs").mapInArrow(tidy(cut_out), "g long, a long, s long, c int, lo int, b binary")
     dealt = pieces_.repartition(n_parts, "g").sortWithinPartitions("g")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
         if held:
             yield from flush()
 
-    hits = cut(dealt.select("g", "a", "s", "c", "lo", "b").mapInArrow(search, "a long, s long, spans binary"))
+    hits = cut(dealt.select("g", "a", "s", "c", "lo", "b").mapInArrow(tidy(search), "a long, s long, spans binary"))
     back = mine.join(hits, ["a", "s"]).select("k1", "k2", "lo", "spans").distinct()
     found = back.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "spans")).alias("spans"))
     return dealt_texts, found

@@ -34,7 +34,7 @@ def strip_accents(c: Column) -> Column:
 
     Letters outside the one-base rule (Hangul syllables) stay composed; ``strip_accents_exact`` decomposes them.
     """
-    return F.regexp_replace(F.translate(c, _WITH, _WITHOUT), r"\p{Mn}", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, _WITH, _WITHOUT), r"\p{Mn}", "")).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())

@@ -42,14 +42,12 @@ def q02_fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded documents, their surname parts and given tokens, as counts and hashes."""
     d = table(spark, sf_dir, "documents")
     folded = d.select("doc_id", text.fold(F.col("text")).alias("f"))
-    parts, given = names.surname_parts(F.col("f")), names.given_tokens(F.col("f"))
-    return folded.select("doc_id", F.length("f").cast("long").alias("folded_length"), F.md5("f").alias("folded_md5"), F.size(parts).cast("long").alias("n_parts"), F.md5(F.array_join(parts, " ")).alias("parts_md5"), F.size(given).cast("long").alias("n_given"))
+    parted = folded.select("doc_id", "f", names.surname_parts(F.col("f")).alias("parts"), names.given_tokens(F.col("f")).alias("given"))
+    return parted.select("doc_id", F.length("f").cast("long").alias("folded_length"), F.md5("f").alias("folded_md5"), F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join("parts", " ")).alias("parts_md5"), F.size("given").cast("long").alias("n_given"))
 
 
-_B = r"(?:^|[^\p{L}\p{N}_])"
 Q02 = r"""
 WITH f AS (SELECT doc_id, trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '\s+', ' ', 'g')) AS f FROM documents),
-w AS (SELECT doc_id, f, string_split(replace(f, '''', ' '), ' ') AS dummy FROM f),
 s1 AS (SELECT doc_id, f, regexp_replace(replace(f, '''', ' '), '\b(i|y)\b', ' ', 'g') AS s FROM f),
 s2 AS (SELECT doc_id, f, regexp_replace(s, '\b(de|del|de la|de las|de los|dels|d|la|las|los|el)\b', ' ', 'g') AS s FROM s1),
 p AS (SELECT doc_id, f, list_filter(string_split(trim(regexp_replace(s, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS parts,

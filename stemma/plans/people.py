@@ -82,17 +82,18 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return keyed.where("id % 2 = 0"), keyed.where("id % 2 = 1")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, block: str = "parts") -> DataFrame:
+    """Scored pairs of the halves that share an entry of ``block``: a name word (``parts``), or one within brand and type (``block``)."""
     left, right = _halves(spark, sf_dir)
-    c = resolve.candidates(left, right, "block")
+    c = resolve.candidates(left, right, block)
     a, b = left.select(F.col("id").alias("l_id"), F.col("parts").alias("lp"), F.col("size").alias("ls")), right.select(F.col("id").alias("r_id"), F.col("parts").alias("rp"), F.col("size").alias("rs"))
     total = names.surname_score(F.col("lp"), F.col("rp")) + 2.0 * dates.year_match(F.col("ls"), F.col("rs")) + 1.5 * F.when(F.col("part_pos") == 0, 1.0).otherwise(0.5)
     return c.join(a, "l_id").join(b, "r_id").select("l_id", "r_id", "part_pos", "r_ord", F.round(total, 2).alias("total"))
 
 
 def q04_pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs that share a name word within brand and type, each once, with their score."""
-    return _pairs(spark, sf_dir).select("l_id", "r_id", "part_pos", "total")
+    """Candidate pairs that share a name word within brand and type, as the SQL twin has it, each once, with their score; q34 has all candidates."""
+    return _pairs(spark, sf_dir, "block").select("l_id", "r_id", "part_pos", "total")
 
 
 Q04 = """
@@ -109,11 +110,16 @@ FROM c JOIN p l ON l.id = l_id JOIN p r ON r.id = r_id"""
 
 
 def q05_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one assignment of the pairs of q04, with buckets. Iterative, so there is no SQL twin."""
+    """One-to-one assignment of the pairs of q34, with buckets. Iterative, so there is no SQL twin."""
     left, _ = _halves(spark, sf_dir)
     return resolve.assign(left.select(F.col("id").alias("l_id"), F.col("ord").alias("l_ord")), _pairs(spark, sf_dir))
 
 
+def q34_pair_score_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs, those that share a name word, each once, with their score. Their number grows with the square of the table, so there is no SQL twin."""
+    return _pairs(spark, sf_dir).select("l_id", "r_id", "part_pos", "total")
+
+
 def _sosa(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") + 1).alias("n"))
     return c.where("n < 1024")
@@ -195,5 +201,5 @@ s(root, person, step, path) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey] FROM
   SELECT root, parent, step + 1, list_append(path, parent) FROM s JOIN f ON child = person WHERE step < 12 AND NOT list_contains(path, parent))
 SELECT root, person, step FROM s"""
 
-QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine)}
+QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q34_pair_score_words, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine)}
 SQL = {"q01_ranked_frontier": Q01, "q02_fold_tokens": Q02, "q03_year_extract": Q03, "q04_pair_score": Q04, "q06_sosa_generations": Q06, "q07_implex": Q07, "q08_upstream_closure": Q08, "q09_levels": Q09, "q10_spine": Q10}

@@ -201,5 +201,51 @@ s(root, person, step, path) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey] FROM
   SELECT root, parent, step + 1, list_append(path, parent) FROM s JOIN f ON child = person WHERE step < 12 AND NOT list_contains(path, parent))
 SELECT root, person, step FROM s"""
 
-QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q34_pair_score_words, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine)}
+
+def _whole_loops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The edges of ``_loops`` over all suppliers, the modulus being their number, and that number."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"))
+    m = s.count()
+    up = s.select("child", F.explode(F.array((F.col("child") * 2) % m, (F.col("child") * 2 + 1) % m)).alias("parent"))
+    return up.join(s.select(F.col("child").alias("parent")), "parent", "left_semi").withColumn("role", F.when(F.col("parent") == (F.col("child") * 2) % m, 0).otherwise(1)), m
+
+
+def _everybody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"))
+
+
+def q35_sosa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q06 over all customers, as many generations as the largest number has."""
+    numbered = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") + 1).alias("n"))
+    depth = (numbered.agg(F.max("n")).first()[0] or 1).bit_length()
+    return graph.generation_counts(graph.ancestor_slots(graph.sosa_edges(numbered), numbered.where("n = 1").select("person"), depth))
+
+
+def q36_implex_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q07 above every supplier over all suppliers, one generation more than their number has bits."""
+    edges, m = _whole_loops(spark, sf_dir)
+    return graph.implex(graph.ancestor_slots(edges.select("child", "parent"), _everybody(spark, sf_dir), m.bit_length() + 1))
+
+
+def q37_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q08 above every supplier over all suppliers, to the end."""
+    edges, m = _whole_loops(spark, sf_dir)
+    found = graph.reach(edges.select("child", "parent"), _everybody(spark, sf_dir), m, _everybody(spark, sf_dir).where("person % 5 = 0"))
+    return graph.upstream(found, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.lit(1800) + F.col("s_nationkey")).alias("year")))
+
+
+def q38_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q09 above every supplier over all suppliers, all levels."""
+    edges, m = _whole_loops(spark, sf_dir)
+    found = graph.levels(graph.reach(edges.select("child", "parent"), _everybody(spark, sf_dir), m))
+    return found.select("start", "level", F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"))
+
+
+def q39_spine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q10 above every supplier over all suppliers; the line is bounded by twelve steps, as there."""
+    edges, _ = _whole_loops(spark, sf_dir)
+    return graph.spine(edges.withColumn("sex", F.lit("M")), _everybody(spark, sf_dir), 12)
+
+
+QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q34_pair_score_words, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine, q35_sosa_whole, q36_implex_whole, q37_closure_whole, q38_levels_whole, q39_spine_whole)}
 SQL = {"q01_ranked_frontier": Q01, "q02_fold_tokens": Q02, "q03_year_extract": Q03, "q04_pair_score": Q04, "q06_sosa_generations": Q06, "q07_implex": Q07, "q08_upstream_closure": Q08, "q09_levels": Q09, "q10_spine": Q10}

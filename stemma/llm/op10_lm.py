@@ -1,7 +1,7 @@
 """Language-model scores: stupid backoff over token n-grams, computed by joining count tables.
 
-``S(c | a b)`` is ``f(abc) / f(ab)`` if the trigram occurs at least ``CUTOFF`` times in the corpus, else
-``0.4 f(bc) / f(b)`` if the bigram does, else ``0.16 f(c) / N``. Tokens come from a public byte-level
+``S(c | a b)`` is ``f(abc) / f(ab)`` if the trigram occurs in the corpus, else ``0.4 f(bc) / f(b)`` if the
+bigram does, else ``0.16 f(c) / N``. Counts below a cutoff may be taken as none; the query takes all as they are. Tokens come from a public byte-level
 vocabulary; a text's first token is scored by its unigram, its second by its bigram, with no discount for
 the context that is not there.
 
@@ -97,11 +97,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in batch.columns)
 
 
-def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", cutoff: int = CUTOFF) -> DataFrame:
     """``doc_id, n_tokens, log_score, mean_log_score`` of every row (natural logs).
 
     Null and empty texts: no tokens, a sum of 0 and a null mean. Repeated rows are counted and scored each.
-    Ids must be whole numbers or null.
+    Ids must be whole numbers or null. Bigrams and trigrams that occur less than ``cutoff`` times count for nothing.
     """
     spark = importable(docs.sparkSession)
     parts = width(spark)
@@ -155,7 +155,7 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
                 keys, where = np.unique(every, return_inverse=True)
                 counts = np.zeros(len(keys), np.int64)
                 np.add.at(counts, where, times)
-            total = np.where(((keys >> 61) > 1) & (counts < CUTOFF), 0, counts)
+            total = np.where(((keys >> 61) > 1) & (counts < cutoff), 0, counts)
             for block, size, data in asked:
                 yield _row(block, part, None, [0], shrink(total[np.searchsorted(keys, keys_of(data, size))], "<u8"))
 
@@ -205,4 +205,4 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` under the trigram model of all of ``documents``."""
-    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), cutoff=1)

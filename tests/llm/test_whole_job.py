@@ -1,18 +1,37 @@
 """The corpus operators do the whole job: rows on which a narrowed method gives other results."""
 
 import random
+from collections import Counter
+from math import log
+
+import public_tokenizers
 
 import corpus_pipeline
-from stemma.llm import op05_quality
+from stemma.llm import op05_quality, op10_lm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
+
 def table_of(spark, texts):
     return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA)
 
+
 def test_long_text_without_function_words_is_rejected(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("aeionrstl") for _ in range(rng.randint(3, 8))) for _ in range(400)]
     prose = [" ".join(rng.choice(op05_quality.COMMON["en"]) if rng.random() < 0.25 else rng.choice(words) for _ in range(120)) for _ in range(30)]
     docs = table_of(spark, [*prose, " ".join(rng.choice(words) for _ in range(120))])
     assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} == set(range(30))
+
+
+def test_single_trigrams_count(spark, tmp_path):
+    texts = ["the cat sat on the mat", "the cat sat on the rug", "a heron waits by the river", ""]
+    table_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    encode = op10_lm.tokenizer(public_tokenizers.path(op10_lm.VOCABULARY)).encode_ordinary
+    tokens = [encode(t) for t in texts]
+    c = Counter(tuple(x[i : i + n]) for x in tokens for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    total = sum(map(len, tokens))
+    # A model of its own texts knows every n-gram, so nothing ever backs off.
+    want = {i: sum(log(c[tuple(x[max(0, k - 2) : k + 1])] / (c[tuple(x[max(0, k - 2) : k])] if k else total)) for k in range(len(x))) for i, x in enumerate(tokens)}
+    got = {r.doc_id: r.log_score for r in op10_lm.op10_lm_scores(spark, str(tmp_path)).collect()}
+    assert {i: round(v, 6) for i, v in got.items()} == {i: round(v, 6) for i, v in want.items()}

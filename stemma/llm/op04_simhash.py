@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -216,9 +216,14 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_colu
 
     Of repeated rows one stays.
     """
+    return first_of_groups(docs, lambda rows: near_groups(rows, shingle, radius, "row", "t"), id_column, text_column)
+
+
+def first_of_groups(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """As ``one_of_each``; ``groups`` gives ``doc_id, component_id`` for rows ``row, t``, the row being its own id."""
     keys = content_key(F.col(text_column))
     rows = docs.select(F.struct(F.col(id_column).isNull().alias("no"), F.col(id_column).alias("id"), *keys).alias("row"), F.col(text_column).alias("t"))
-    found = near_groups(rows, shingle, radius, "row", "t")
+    found = groups(rows)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.*").distinct()
     stay = stay.select(F.col("id").alias("s_id"), F.col("k1").alias("s1"), F.col("k2").alias("s2"))
     # Other columns travel in a struct, so no name can clash.

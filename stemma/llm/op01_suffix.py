@@ -5,7 +5,7 @@ the Burrows-Wheeler transform, the longest common prefixes and the tail pointers
 ``j`` symbols, in order. A round reads the files of the round before from front to back and writes new ones.
 A symbol is eighty bytes (exactly numbered, never hashed), so each segment gives eighty sequences, one for
 each phase, and a 400-byte string is exactly five symbols of one of them; a string is repeated if its suffix
-has a common prefix of five symbols with a neighbour. How segments of all documents come together is described in ``repeats``.
+has a common prefix of five symbols with a neighbour. (A string of 250 bytes is five symbols of fifty.) How segments of all documents come together is described in ``repeats``.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, table, tidy
+from .common import content_key, cut, table, tidy
 from .repeats import bytes_of, merge, repeated, unpacked
 
 LENGTH = 400
-#: Bytes of an anchor: about half a string, so that hardly any anchor is shared by chance.
-ANCHOR = 160
+#: The pipeline's length: fifty words of five bytes, blanks included, so that passages of more words go.
+STAGE_LENGTH = 250
 #: Bytes of a symbol: the largest of these that divides the length.
-UNITS = (80, 40, 16, 8, 4, 2, 1)
+UNITS = (80, 50, 40, 16, 8, 4, 2, 1)
 LOW = (1 << 32) - 1
 
 
@@ -196,6 +196,11 @@ def engine(rows: list[np.ndarray], window: int) -> list[np.ndarray]:
     return [flags[a : a + max(0, n - window + 1)] for a, n in zip(start.tolist(), size.tolist(), strict=True)]
 
 
+def anchor_of(length: int) -> int:
+    """Bytes of an anchor: two fifths of a string, so that hardly any anchor is shared by chance."""
+    return max(1, 2 * length // 5)
+
+
 def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
     """Spans shrunk to whole UTF-8 characters."""
     out = []
@@ -216,7 +221,7 @@ def kept_bytes(text: bytes, runs: np.ndarray) -> bytes:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
     """One row a distinct text: ``k1, k2`` (its content key), ``n_bytes, n_removed, n_spans, kept_sha256``."""
-    texts, found = repeated(docs, text_column, length, min(ANCHOR, length), bytes_of, engine)
+    texts, found = repeated(docs, text_column, length, anchor_of(length), bytes_of, engine)
     joined = texts.join(found.hint("shuffle_hash"), ["k1", "k2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +245,7 @@ def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -
     Texts stay valid UTF-8: where a removed run begins or ends inside a character, that character stays. A
     null text stays null.
     """
-    _, found = repeated(docs, text_column, length, min(ANCHOR, length), bytes_of, engine)
+    _, found = repeated(docs, text_column, length, anchor_of(length), bytes_of, engine)
     named = found.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "spans")
     # Other columns travel in a struct, so no name can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), *content_key(F.col(text_column)))
@@ -263,4 +268,5 @@ def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``. Null and empty texts: zeros and the hash of nothing; repeated rows each give a row."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *content_key(F.col("text"))).join(without_repeats(docs), ["k1", "k2"]).drop("k1", "k2")
+    # Cut, so that a partition with very many copies of one text can be split.
+    return docs.select("doc_id", *content_key(F.col("text"))).join(cut(without_repeats(docs)), ["k1", "k2"]).drop("k1", "k2")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, table, tidy
+from .common import content_key, cut, table, tidy
 from .repeats import hash_words, merge, repeated, unpacked
 
 WINDOW = 35
@@ -105,4 +105,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text_column: str = "t
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``. Null and empty texts: no words and the hash of nothing; repeated rows each give a row."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *content_key(F.col("text"))).join(without_repeats(docs), ["k1", "k2"]).drop("k1", "k2")
+    # Cut, so that a partition with very many copies of one text can be split.
+    return docs.select("doc_id", *content_key(F.col("text"))).join(cut(without_repeats(docs)), ["k1", "k2"]).drop("k1", "k2")

@@ -8,8 +8,10 @@ anywhere else. All copies of a window must meet in one task; they do so through
    windows with one anchor place is a *segment*; each window lies in exactly one segment.
 2. Only anchors whose hash occurs twice or more can matter; counts are combined before they move.
 3. Segments of such anchors with equal content form a class. Each class is cut out of one text that holds it
-   and goes to the task of its anchor, in two copies if it occurs more than once. An anchor with very many
-   classes is dealt anew by the content of narrow sub-segments, so no task gathers an unbounded group.
+   and goes to the task of its anchor, in two copies if it occurs more than once. An anchor with more than
+   ``MANY`` classes is dealt anew: its segments are cut into narrow pieces, equal pieces become one, and pieces
+   meet by the content that their windows share; where that is too much again, by single windows. So no task
+   gathers more than ``MANY`` segments, whatever the corpus holds.
 4. The operator's own engine finds the repeated windows among the segments of a block of whole anchors.
 5. Found windows go back to the segments of their class and so to the texts.
 
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,9 +116,6 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
     ``spans`` holds pairs (first unit, unit after the last) of int32, little endian, as binary: stretches
     covered by repeated windows, not yet merged. Texts without repeated windows have no row.
     """
-    spark = docs.sparkSession
-    n_parts = width(spark)
-    narrow = max(1, window // 16)  # window starts of a narrow sub-segment
     source = docs.select(F.coalesce(text_column, F.lit("")).cast("binary").alias("t"), *content_key(F.col(text_column)))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,28 +171,43 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
 
         return run
 
-    anchors = source.mapInArrow(tidy(cut_up(False)), "a long")
-    often = anchors.groupBy("a").count().where("count > 1").select("a")
+    # Both sides of this join are plain rows of a shuffle, so a hot anchor's partition can be split.
+    often = cut(source.mapInArrow(tidy(cut_up(False)), "a long").groupBy("a").count().where("count > 1").select("a"))
     every = source.mapInArrow(tidy(cut_up(True)), "a long, s long, k1 long, k2 long, lo int, n int, p int")
     mine = cut(every.join(often, "a", "left_semi"))
+    classes = cut(mine.groupBy("a", "s").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("c"), F.min(F.struct("k1", "k2", "lo", "n", "p")).alias("r")).select("a", "s", "c", "r.*"))
+    dealt_texts = texts.select("k1", "k2", "t")
+    hits = _settle(dealt_texts, classes, [max(1, window // 16), 1], window, to_units, engine, True)
+    back = mine.join(hits.withColumnRenamed("lo", "off"), ["a", "s"]).select("k1", "k2", (F.col("lo") + F.col("off")).alias("lo"), "spans").distinct()
+    found = back.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "spans")).alias("spans"))
+    return dealt_texts, found
 
-    classes = mine.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "lo", "n", "p")).alias("r")).select("a", "s", F.least("c", F.lit(2)).cast("int").alias("c"), "r.*")
-    classes = cut(classes)
-    wide = classes.groupBy("a").agg(F.count("*").alias("many"), F.sum("c").alias("total"))
-    wanted = classes.join(wide.where("total > 1"), "a").select("k1", "k2", F.struct("a", "s", "c", "lo", "n", "p", F.least("many", F.lit(MANY + 1)).cast("int").alias("many")).alias("x"))
+
+def _settle(texts: DataFrame, classes: DataFrame, steps: list[int], window: int, to_units: Callable[[], Callable[[bytes], np.ndarray]], engine: Engine, whole: bool) -> DataFrame:
+    """Hits ``a, s, lo, spans`` of ``classes`` (``a, s, c, k1, k2, lo, n, p``), whose contents are in ``texts`` (``k1, k2, t``).
+
+    Groups (``a``) of at most ``MANY`` classes go to the engine. Classes of larger groups are cut into pieces of
+    ``steps[0]`` window starts, at places fixed relative to the anchor; a piece's group is the content that all its
+    windows share, equal pieces become one class, and these are settled in turn, their texts being the segments.
+    With a step of one a piece is one window, so that each group is one class and nothing is left to split.
+    ``whole``: the texts are packed texts, not units.
+    """
+    spark = texts.sparkSession
+    groups = cut(classes.groupBy("a").agg(F.count("*").alias("many"), F.sum("c").alias("total")).where("total > 1").select("a", (F.col("many") > MANY).alias("hot")))
+    told = classes.join(groups, "a").select("k1", "k2", F.struct("a", "s", "c", "lo", "n", "p", "hot").alias("x"))
     # At most one entry for each segment of the text.
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("x").alias("xs"))
-    dealt_texts = texts.select("k1", "k2", "t")
-    holding = dealt_texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+    wanted = told.groupBy("k1", "k2").agg(F.collect_list("x").alias("xs"))
+    holding = texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"])
+    kind = to_units()(b"").dtype
+    names = ["g", "a", "s", "c", "p", "hot", "b"]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, powers = to_units(), Powers()
+        units = to_units() if whole else None
         done: set[tuple[int, int]] = set()
-        names = ["g", "a", "s", "c", "lo", "b"]
 
         def out(rows: list) -> pa.RecordBatch:
-            g, a, s, c, lo, b = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(c, pa.int32()), pa.array(lo, pa.int32()), pa.array(b, pa.binary())], names=names)
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=names)
 
         for batch in batches:
             rows, size = [], 0
@@ -202,76 +217,101 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
                     continue
                 done.add(key)
                 with np.errstate(over="ignore"):
-                    u = units(unpacked(t.as_py()))
-                    sums = None
-                    for x in xs.as_py():
-                        lo, n = x["lo"], x["n"]
-                        if x["many"] <= MANY:
-                            rows.append((x["a"], x["a"], x["s"], x["c"], 0, u[lo : lo + n + window - 1].tobytes()))
-                        else:
-                            # Starts in slots that are fixed relative to the anchor; a slot's group is the content all its windows share.
-                            sums = prefix_hash(u, powers) if sums is None else sums
-                            place = lo + x["p"]
-                            low = lo
-                            while low < lo + n:
-                                slot = (low - place) // narrow
-                                start = place + slot * narrow
-                                high = min(lo + n, start + narrow)  # starts of this slot: low .. high - 1
-                                core = stretch_hash(sums, np.array([start + narrow - 1]), window - narrow + 1, powers)
-                                group = int(mix64(core + np.array([slot], np.int64).view(np.uint64)).view(np.int64)[0])
-                                rows.append((group, x["a"], x["s"], x["c"], low - lo, u[low : high + window - 1].tobytes()))
-                                low = high
-                        size += 8 * n
-                        if size > 1 << 20:
-                            yield out(rows)
-                            rows, size = [], 0
+                    u = units(unpacked(t.as_py())) if whole else np.frombuffer(t.as_py(), kind)
+                for x in xs.as_py():
+                    # A hot group's segments need not meet: they go on by content.
+                    rows.append((x["s"] if x["hot"] else x["a"], x["a"], x["s"], x["c"], x["p"], x["hot"], u[x["lo"] : x["lo"] + x["n"] + window - 1].tobytes()))
+                    size += len(rows[-1][-1])
+                    if size > 1 << 20:
+                        yield out(rows)
+                        rows, size = [], 0
             if rows:
                 yield out(rows)
 
-    pieces_ = holding.select("t", "k1", "k2", "xs").mapInArrow(tidy(cut_out), "g long, a long, s long, c int, lo int, b binary")
-    dealt = pieces_.repartition(n_parts, "g").sortWithinPartitions("g")
+    cut_outs = holding.select("t", "k1", "k2", "xs").mapInArrow(tidy(cut_out), "g long, a long, s long, c int, p int, hot boolean, b binary")
+    dealt = cut_outs.repartition(width(spark), "g").sortWithinPartitions("g")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = to_units()(b"").dtype
-        held: list[tuple[int, int, int, int, np.ndarray]] = []
+        """Hits, and the segments of hot groups as they are."""
+        held: list[tuple[int, int, int, np.ndarray]] = []
         units = 0
         last = None
 
+        def out(a: list, s: list, spans: list, c: list, p: list, b: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(spans, pa.binary()), pa.array(c, pa.int32()), pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["a", "s", "spans", "c", "p", "b"])
+
         def flush() -> Iterator[pa.RecordBatch]:
             rows, owner, at = [], [], 0
-            for k, (_, _, c, _, u) in enumerate(held):
+            for k, (_, _, c, u) in enumerate(held):
                 rows += [u] * c
                 owner += [(k, at)]
                 at += c
             if at > 1:
                 flags = engine(rows, window)
                 a, s, spans = [], [], []
-                for (k, first), (ak, sk, _, lo, _) in zip(owner, held, strict=True):
+                for (_, first), (ak, sk, _, _) in zip(owner, held, strict=True):
                     hit = np.flatnonzero(flags[first])
                     if len(hit):
                         edge = np.flatnonzero(np.diff(hit) > 1)
-                        pairs = np.stack([hit[np.concatenate([[0], edge + 1])], hit[np.concatenate([edge, [len(hit) - 1]])] + window], 1) + lo
+                        pairs = np.stack([hit[np.concatenate([[0], edge + 1])], hit[np.concatenate([edge, [len(hit) - 1]])] + window], 1)
                         a.append(ak), s.append(sk), spans.append(pairs.astype("<i4").tobytes())
                 if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(spans, pa.binary())], names=["a", "s", "spans"])
+                    none = [None] * len(a)
+                    yield out(a, s, spans, none, none, none)
             held.clear()
 
         for batch in batches:
-            for g, a, s, c, lo, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            through: list[tuple] = []
+            for g, a, s, c, p, hot, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if hot:
+                    through.append((a, s, None, c, p, b))
+                    continue
                 if g != last and units > BLOCK_UNITS:
                     yield from flush()
                     units = 0
                 last = g
                 u = np.frombuffer(b, kind)
-                held.append((a, s, c, lo, u))
+                held.append((a, s, c, u))
                 units += c * len(u)
+            if through:
+                yield out(*map(list, zip(*through, strict=True)))
         if held:
             yield from flush()
 
-    hits = cut(dealt.select("g", "a", "s", "c", "lo", "b").mapInArrow(tidy(search), "a long, s long, spans binary"))
-    back = mine.join(hits, ["a", "s"]).select("k1", "k2", "lo", "spans").distinct()
-    found = back.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "spans")).alias("spans"))
-    return dealt_texts, found
+    found = cut(dealt.mapInArrow(tidy(search), "a long, s long, spans binary, c int, p int, b binary"))
+    hits = found.where("spans IS NOT NULL").select("a", "s", F.lit(0).alias("lo"), "spans")
+    large = found.where("b IS NOT NULL")
+    if not steps or large.isEmpty():
+        return hits
+    step = steps[0]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            rows = []
+            for a, s, c, p, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                u = np.frombuffer(b, kind)
+                n = len(u) - window + 1
+                place = p if step > 1 else 0
+                slot = np.arange((0 - place) // step, (n - 1 - place) // step + 1)
+                start = place + slot * step  # of the slot; some of its window starts may lie outside the segment
+                low, high = np.maximum(start, 0), np.minimum(start + step, n)
+                with np.errstate(over="ignore"):
+                    sums = prefix_hash(u, powers)
+                    core = stretch_hash(sums, start + step - 1, window - step + 1, powers)
+                    group = mix64(core + slot.view(np.uint64)) if step > 1 else core
+                    content = stretch_hash(sums, low, high - low + window - 1, powers)
+                m = len(slot)
+                rows.append((group.view(np.int64), content.view(np.int64), np.full(m, a), np.full(m, s), np.full(m, c, np.int32), low.astype(np.int32), (high - low).astype(np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["g", "u", "a", "s", "c", "lo", "n"])
+
+    parts = cut(large.select("a", "s", "c", "p", "b").mapInArrow(tidy(split), "g long, u long, a long, s long, c int, lo int, n int"))
+    equal = parts.groupBy("g", "u").agg(F.least(F.sum("c"), F.lit(2)).cast("int").alias("c"), F.min(F.struct("a", "s", "lo", "n")).alias("r"))
+    smaller = cut(equal.select(F.col("g").alias("a"), F.col("u").alias("s"), "c", F.col("r.a").alias("k1"), F.col("r.s").alias("k2"), "r.lo", "r.n", F.lit(0).alias("p")))
+    below = _settle(large.select(F.col("a").alias("k1"), F.col("s").alias("k2"), F.col("b").alias("t")), smaller, steps[1:], window, to_units, engine, False)
+    below = below.select(F.col("a").alias("g"), F.col("s").alias("u"), F.col("lo").alias("off"), "spans")
+    return hits.unionByName(parts.join(below, ["g", "u"]).select("a", "s", (F.col("lo") + F.col("off")).alias("lo"), "spans"))
 
 
 def unpacked(packed: bytes) -> bytes:
@@ -292,8 +332,12 @@ def merge(spans: list[dict]) -> np.ndarray:
     return np.stack([every[first, 0], top[np.concatenate([first[1:] - 1, [len(every) - 1]])]], 1)
 
 
+#: Bytes of a word above which it is hashed by itself: sums of powers modulo 2**64 collide on some periodic strings of 1,024 bytes.
+LONG_WORD = 256
+
+
 def hash_words() -> Callable[[bytes], np.ndarray]:
-    """Words of a text as 64-bit hashes of their bytes, all at once."""
+    """Words of a text as 64-bit hashes of their bytes, all at once; long words one by one, by another hash."""
     powers, blank = Powers(), np.zeros(256, bool)
     blank[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -303,7 +347,10 @@ def hash_words() -> Callable[[bytes], np.ndarray]:
         start, size = edge[::2], edge[1::2] - edge[::2]
         with np.errstate(over="ignore"):
             # A byte counts as one more, so that a word of zeros is no empty word.
-            return stretch_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1), powers), start, size, powers)
+            out = stretch_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1), powers), start, size, powers)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(text[start[i] : start[i] + size[i]])
+        return out
 
     return units
 

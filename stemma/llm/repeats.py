@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, cut, mix64, pieces, tidy, width
+from .common import content_key, cut, importable, mix64, pieces, tidy, width
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -116,6 +116,7 @@ def repeated(docs: DataFrame, text_column: str, window: int, anchor: int, to_uni
     ``spans`` holds pairs (first unit, unit after the last) of int32, little endian, as binary: stretches
     covered by repeated windows, not yet merged. Texts without repeated windows have no row.
     """
+    importable(docs.sparkSession)
     source = docs.select(F.coalesce(text_column, F.lit("")).cast("binary").alias("t"), *content_key(F.col(text_column)))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,9 @@
    source gets more than three times what it has, the excess going to the others by weight.
 2. *Packing*: each source's documents, in a pseudorandom order, form one stream of words cut into blocks of
    fixed length. Stream positions come from two levels of sums, so a hot source is spread over many tasks.
-3. *Drawing*: output shards have a fixed number of slots. Shard by shard, the number of slots that each
-   source fills is a multinomial draw weighted by what each source still has to give, so totals meet targets.
+3. *Drawing*: output shards have a fixed number of slots. The number of slots that each source fills in a
+   shard is a multinomial draw weighted by what each source has to give, so totals meet targets. Draws form a
+   tree over the shards, so tasks make them, each those of its own shards.
 4. *Mapping*: a source's slots are numbered through all shards; slot ``j`` of pass ``e`` takes block
    ``P(j)``, a keyed permutation of the source's block numbers (a Feistel network with cycle walking). A
    short last block comes last in a pass, and a source's last slot is cut at the target.
@@ -92,18 +93,37 @@ def slots_of(size: int, target: float, block: int) -> tuple[int, int]:
     return passes * blocks + full + 1, rest - full * block
 
 
-def draw(slots: list[int], per_shard: int, seed: int) -> Iterator[list[int]]:
-    """Slots of each source in each shard. One row a shard and source: shards hold millions of words each."""
-    rng = np.random.default_rng(seed)
+def _multinomial(rng: np.random.Generator, n: int, left: np.ndarray) -> np.ndarray:
+    """``n`` draws weighted by what each source has left, none above that; excess is drawn anew."""
+    got = np.zeros_like(left)
+    while missing := n - int(got.sum()):
+        open_ = left - got
+        got += np.minimum(rng.multinomial(missing, open_ / open_.sum()), open_)
+    return got
+
+
+def draw(slots: list[int], per_shard: int, seed: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shards ``low .. high - 1``: number, each source's slots in earlier shards, and its slots in this one.
+
+    A tree of draws: the shards of a node are halved, and a multinomial draw gives each source's slots in the left
+    half. A node's generator is known by its bounds, so any task finds its own shards from the root, in as many
+    draws as the tree is deep, and all tasks agree.
+    """
     left = np.array(slots, np.int64)
-    while total := int(left.sum()):
-        want = min(per_shard, total)
-        got = np.zeros_like(left)
-        while missing := want - int(got.sum()):
-            open_ = left - got
-            got += np.minimum(rng.multinomial(missing, open_ / open_.sum()), open_)
-        left = left - got
-        yield got.tolist()
+    shards = -(-int(left.sum()) // per_shard)
+    high = shards if high is None else min(high, shards)
+    todo = [(0, shards, np.zeros_like(left), left)] if low < high else []
+    while todo:
+        a, b, before, has = todo.pop()
+        if b - a == 1:
+            yield a, before, has
+            continue
+        middle = (a + b) // 2
+        first = _multinomial(np.random.default_rng([seed, a, b]), (middle - a) * per_shard, has)
+        if high > middle:
+            todo.append((middle, b, before + first, has - first))
+        if low < middle:
+            todo.append((a, middle, before, first))
 
 
 class Mix:
@@ -129,29 +149,31 @@ class Mix:
         named = self.plan.select(F.col("__source").alias("p_source"), "s", "source_size", "target")
         placed = placed.join(named, F.col("__source").eqNullSafe(F.col("p_source")))
         self.placed = cut(placed.select("__id", "__h", "__size", "s", "start", "source_size", "target"))
-        shards, given = [], [0] * len(plan)
-        for shard, counts in enumerate(draw([p[4] for p in plan], shard_slots, seed)):
-            for i, c in enumerate(counts):
-                if c:
-                    shards.append((shard, i, given[i], c, plan[i][2], plan[i][4], plan[i][5]))
-                    given[i] += c
-        drawn = spark.createDataFrame(shards, "shard long, s int, first long, n long, size long, slots long, last long").repartition(width(spark), "shard", "s")
+        shards = -(-sum(p[4] for p in plan) // shard_slots)
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, s, first, n, size, slots, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    full, tail = divmod(size, block)
-                    blocks = full + (tail > 0)
-                    k = np.arange(first, first + n)
-                    turn, j = k // blocks, k % blocks
-                    take = np.where(j < full, block, tail)
-                    take[k == slots - 1] = last
-                    to = j.copy()
-                    for e in np.unique(turn).tolist():
-                        here = (turn == e) & (j < full)
-                        to[here] = permuted(j[here], full, (seed * 1009 + s) * 8 + e)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, s, np.int32)), pa.array(k), pa.array(turn.astype(np.int32)), pa.array(to), pa.array(take.astype(np.int32))], names=["shard", "s", "slot", "turn", "b", "take"])
-
+                if not batch.num_rows:
+                    continue
+                # Numbers of a range come in order.
+                numbers = batch.column(0).to_numpy()
+                for shard, before, counts in draw([p[4] for p in plan], shard_slots, seed, int(numbers[0]), int(numbers[-1]) + 1):
+                    for s in np.flatnonzero(counts).tolist():
+                        _, _, size, _, slots, last = plan[s]
+                        n = int(counts[s])
+                        full, tail = divmod(size, block)
+                        blocks = full + (tail > 0)
+                        k = np.arange(int(before[s]), int(before[s]) + n)
+                        turn, j = k // blocks, k % blocks
+                        take = np.where(j < full, block, tail)
+                        take[k == slots - 1] = last
+                        to = j.copy()
+                        for e in np.unique(turn).tolist():
+                            here = (turn == e) & (j < full)
+                            to[here] = permuted(j[here], full, (seed * 1009 + s) * 8 + e)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, s, np.int32)), pa.array(k), pa.array(turn.astype(np.int32)), pa.array(to), pa.array(take.astype(np.int32))], names=["shard", "s", "slot", "turn", "b", "take"])
+
+        drawn = spark.range(0, shards, 1, max(1, min(shards, width(spark))))
         self.slots = drawn.mapInArrow(tidy(fill), "shard long, s int, slot long, turn int, b long, take int")
         spans = self.placed.where("__size > 0").select("s", "start", "__size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("__size") - 1) / block))).alias("b"))
         low, high = F.greatest(F.col("start"), F.col("b") * block), F.least(F.col("start") + F.col("__size"), (F.col("b") + 1) * block)

@@ -76,7 +76,11 @@ class Encoder:
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every row encoded and decoded again: ``doc_id, token_ids array<int>, decoded``. Null text: empty."""
+    """Every row encoded and decoded again: ``doc_id, token_ids array<int>, decoded``.
+
+    Null and empty texts: no tokens and an empty text. Repeated rows each give a row; an empty table none. A text of
+    any length is encoded whole, in one piece of memory. Other columns are not looked at.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def make():

@@ -2,7 +2,8 @@
 
 1. A map gives each text its 64-bit fingerprint. Equal fingerprints become one row before anything moves.
 2. Two fingerprints within three bits agree in one of four 16-bit parts. Each distinct fingerprint goes to
-   its four (part, value) groups; a task indexes all groups it was dealt.
+   its four (part, value) groups; a task indexes all groups it was dealt. A group of too many codes is dealt
+   anew by four parts of its other 48 bits, and so on.
 3. The index sorts a group by Gray rank, so that neighbours differ in few bits, and factors the bits that a
    run of neighbours shares (mask and pattern) into upper nodes, level by level. A search walks pairs of
    nodes and drops a pair as soon as the differences of the shared bits exceed the radius, or when both
@@ -29,6 +30,8 @@ FAN = 8
 SEED = 42
 #: Node pairs that a task holds at once.
 FRONTIER = 1 << 17
+#: Codes of a group above which it is dealt anew by a second part.
+MANY = 200_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -174,13 +177,40 @@ class GrayIndex:
         return self.codes[np.array(self.forest)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``u, v`` between different fingerprints (column ``fp``, distinct): a spanning forest of each group of each part."""
+def dealt(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, g``: every fingerprint once for each group in which it is compared.
+
+    Codes within the radius agree in one of ``radius + 1`` parts of their bits, so each code goes to as many groups,
+    by part and value. Within a group of more than ``MANY`` codes the same holds for the bits that are left: such a
+    group is dealt anew by parts of those, and again, as long as there are bits to tell parts by.
+    """
     parts = radius + 1
-    bits = 64 // parts
-    spread = distinct.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(parts)])).alias("part", "value"))
-    dealt = spread.select("fp", (F.col("part").cast("long") * F.lit(1 << bits) + F.col("value")).alias("g"))
-    dealt = dealt.repartition(width(distinct.sparkSession), "g")
+    rows, bits, out = distinct.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("g")), 64, None
+    while True:
+        size = bits // parts
+        last = bits - size * (parts - 1)
+        shift = lambda by: F.shiftrightunsigned("rest", by) if by < 64 else F.lit(0).cast("long")
+        low = lambda x, n: x.bitwiseAND(F.lit((1 << n) - 1)) if n else F.lit(0).cast("long")
+        ways = [
+            F.struct(F.lit(i).alias("i"), low(shift(size * i), last if i == parts - 1 else size).alias("value"), F.shiftleft(shift(size * i + (last if i == parts - 1 else size)), size * i).bitwiseOR(low(F.col("rest"), size * i)).alias("rest"))
+            for i in range(parts)
+        ]
+        spread = rows.select("fp", "g", F.explode(F.array(*ways)).alias("x")).select("fp", F.col("x.rest").alias("rest"), F.xxhash64("g", "x.i", "x.value").alias("g"))
+        # Codes of one part leave as many bits as the least that another leaves.
+        bits -= size
+        if bits < 2 * parts:
+            return spread.select("fp", "g") if out is None else out.unionByName(spread.select("fp", "g"))
+        large = cut(spread.groupBy("g").count().where(F.col("count") > MANY).select("g"))
+        if large.isEmpty():
+            return spread.select("fp", "g") if out is None else out.unionByName(spread.select("fp", "g"))
+        calm = spread.join(large, "g", "left_anti").select("fp", "g")
+        out = calm if out is None else out.unionByName(calm)
+        rows = cut(spread.join(large, "g", "left_semi").select("fp", "rest", "g"))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links ``u, v`` between different fingerprints (column ``fp``, distinct): a spanning forest of each group of ``dealt``."""
+    groups = dealt(distinct, radius).repartition(width(distinct.sparkSession), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -195,7 +225,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             for at in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16), 0]), pa.array(found[at : at + (1 << 16), 1])], names=["u", "v"])
 
-    return dealt.select("fp", "g").mapInArrow(tidy(run), "u long, v long")
+    return groups.select("fp", "g").mapInArrow(tidy(run), "u long, v long")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -221,6 +221,18 @@ class Counter:
         return out
 
 
+def same_bytes(data: np.ndarray, at: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether each stretch of ``data`` equals its partner."""
+    if not np.array_equal(size, other_size):
+        return False
+    for k in range(0, len(at), 1 << 16):
+        n = size[k : k + (1 << 16)]
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if not np.array_equal(data[np.repeat(at[k : k + (1 << 16)], n) + inner], data[np.repeat(other[k : k + (1 << 16)], n) + inner]):
+            return False
+    return True
+
+
 class TokenCounter:
     """Counts the tokens of texts; strings of special tokens count one each."""
 
@@ -264,7 +276,7 @@ class TokenCounter:
         real = np.ones(len(at), bool)
         real[np.searchsorted(at, stops)] = False
         at, size = at[real], size[real]
-        # Distinct pre-tokens by a polynomial hash of their bytes.
+        # Distinct pre-tokens by a polynomial hash of their bytes, which are compared afterwards.
         with np.errstate(over="ignore"):
             base = np.uint64(0x9E3779B97F4A7C15)
             powers = np.cumprod(np.full(len(data) + 1, base, np.uint64))
@@ -274,6 +286,11 @@ class TokenCounter:
             h = mix64((total[at + size] - total[at]) * powers[len(data) - at] + size.astype(np.uint64))
         del powers, total
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if not same_bytes(data, at, size, at[first][inverse], size[first][inverse]):
+            names = [joined[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+            number = {w: i for i, w in enumerate(dict.fromkeys(names))}
+            inverse = np.fromiter((number[w] for w in names), np.int64, len(names))
+            first = np.unique(inverse, return_index=True)[1]
         words = [joined[a : a + n] for a, n in zip(at[first].tolist(), size[first].tolist(), strict=True)]
         known = self.known
         counts = [known.get(w, -1) for w in words]

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, importable, pieces, table, tidy
@@ -91,14 +91,16 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", t
     """``doc_id, held_out, lang_pred, score`` of every row.
 
     ``und`` with score 0 where a text is null or has no letter, and everywhere if no row is labelled. A null
-    id is never held out nor learned from.
+    id is never held out nor learned from. Repeated rows are scored each, and each may be drawn to learn from. Of
+    languages with equal scores the first in code-point order is taken. An empty table gives an empty result;
+    other columns are not looked at.
     """
     importable(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
     labelled = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t"), F.col(lang_column).alias("lang"), held_out(id_column).alias("out")).where("lang IS NOT NULL AND NOT out AND doc_id IS NOT NULL AND t IS NOT NULL")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = max(1, sample // max(1, len(counts)))
-    # A draw by hash of the id, at each language's rate; the limit is the documented bound.
+    # A draw by hash of the id, at each language's rate, and of that the first of each language: the documented bound.
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     rate = F.lit(None)
     for lang, n in counts.items():
@@ -117,8 +119,10 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", t
                 b, g, o = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.binary()), pa.array(g, pa.string()), pa.array(o, pa.int64())], names=["b", "lang", "h"])
 
-    # At most `sample` rows of four kilobytes.
-    rows = chosen.mapInArrow(tidy(bits), "b binary, lang string, h long").orderBy("h", "b", "lang").limit(sample).collect() if counts else []
+    # At most `sample` rows of four kilobytes (one a language, if there are more languages than that).
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "b"))
+    rows = chosen.mapInArrow(tidy(bits), "b binary, lang string, h long").withColumn("nth", nth).where(F.col("nth") <= each).collect() if counts else []
+    rows.sort(key=lambda r: (r.h, bytes(r.b), r.lang))
     classes, weights = (["und"], np.zeros((1 << BITS, 1), np.float32)) if not rows else fit(np.array([np.frombuffer(r.b, np.uint8) for r in rows]), [r.lang for r in rows])
 
     def make():

@@ -7,11 +7,15 @@ the context that is not there.
 
 1. Documents are read in *blocks* of consecutive documents. A block's n-grams of all orders are exploded and
    combined, and dealt by hash into the parts of the count table.
-2. A part adds up the counts of all blocks and answers each block with the totals of its n-grams.
-3. A block's documents meet its answers; log scores are summed for each document.
-
-What moves grows with the distinct n-grams of a block, not with its tokens, and no n-gram is hot: a block
-sends each of its n-grams once. Nothing is collected or broadcast.
+2. A part adds up the counts of all blocks and joins them to the n-grams that each block asked for, which
+   answers the block with their totals.
+3. A block's documents are joined to its answers, by block; log scores are summed for each document.
+
+These are the relations (n-gram, count) and (document, n-gram) and their join by hash partition. Rows are packed
+by block and part, sorted by n-gram, so a join merges sorted runs inside a task, instead of one row of Spark's
+for each n-gram. What moves grows with the distinct n-grams of a block, not with its tokens, and no n-gram is hot:
+a block sends each of its n-grams once. The number of parts follows the number of tokens, and parts and blocks
+are dealt to tasks by number, so the largest task does not grow with the corpus. Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ORDER, CUTOFF, DISCOUNT = 3, 2, 0.4
 #: Tokens of a block; a longer text makes a block of its own.
 BLOCK = 2_000_000
+#: Tokens of the corpus for each part of the count table, at most: what a part holds and answers is bounded by it.
+PART = 3_000_000
 BITS = 20  # of a token id in an n-gram's key
 TOKEN = "<u4"  # as which tokens are packed
 
@@ -104,7 +110,6 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
     Ids must be whole numbers or null. Bigrams and trigrams that occur less than ``cutoff`` times count for nothing.
     """
     spark = importable(docs.sparkSession)
-    parts = width(spark)
 
     def read_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
@@ -129,6 +134,14 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
 
     blocks = cut(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(text_column, F.lit("")).cast("binary").alias("t")).mapInArrow(tidy(read_in), SCHEMA))
 
+    count = blocks.select(F.count("*"), F.count_distinct(F.shiftright("block", 24)), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    n = count[2] or 1
+    parts = max(width(spark), -(-n // PART))
+    # Blocks have numbers within their task's: about as many in each, so these are nearly numbers without gaps.
+    run_of = max(1, -(-count[0] // max(1, count[1])))
+    tasks = max(1, min(run_of * count[1], 4 * parts))
+    home = F.pmod(F.shiftright("block", 24) * run_of + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), F.lit(tasks)).cast("int")
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, sizes, data in _rows(batches):
             each = [np.unique(k[k >= 0], return_counts=True) for k in grams(grow(data, TOKEN), np.array(sizes, np.int64))]
@@ -159,9 +172,8 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
             for block, size, data in asked:
                 yield _row(block, part, None, [0], shrink(total[np.searchsorted(keys, keys_of(data, size))], "<u8"))
 
-    asked = blocks.mapInArrow(tidy(explode), SCHEMA).repartition(parts, "part").sortWithinPartitions("part", "block")
+    asked = blocks.mapInArrow(tidy(explode), SCHEMA).repartitionById(parts, "part").sortWithinPartitions("part", "block")
     answers = asked.mapInArrow(tidy(add_up), SCHEMA)
-    n = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(_rows(batches), key=lambda r: r[0]):
@@ -200,7 +212,7 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(size), "log_score": pa.array(total), "mean_log_score": pa.array(mean, pa.float64())})
 
     both = answers.unionByName(blocks)
-    return both.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(tidy(score), "doc_id long, n_tokens long, log_score double, mean_log_score double")
+    return both.repartitionById(tasks, home).sortWithinPartitions("block", "part").mapInArrow(tidy(score), "doc_id long, n_tokens long, log_score double, mean_log_score double")
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

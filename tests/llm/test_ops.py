@@ -139,7 +139,13 @@ def test_targets_and_permutation():
     assert out[1:] == [3.0, 3.0] and out[0] == 96.0
     for n in (1, 2, 3, 17, 1000):
         assert sorted(op02_mix.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
-    assert sum(map(np.array, op02_mix.draw([5, 0, 17], 4, 1))).tolist() == [5, 0, 17]
+    every = list(op02_mix.draw([5, 0, 170], 4, 1))
+    assert [x for x, _, _ in every] == list(range(44)) and sum(n for _, _, n in every).tolist() == [5, 0, 170]
+    assert {int(n.sum()) for _, _, n in every[:-1]} == {4}
+    assert all((every[i + 1][1] == every[i][1] + every[i][2]).all() for i in range(43))
+    for low, high in ((0, 1), (7, 20), (43, 44), (40, 99)):
+        assert [(x, b.tolist(), n.tolist()) for x, b, n in op02_mix.draw([5, 0, 170], 4, 1, low, high)] == [(x, b.tolist(), n.tolist()) for x, b, n in every[low:high]]
+    assert list(op02_mix.draw([0, 0], 4, 1)) == [] == list(op02_mix.draw([], 4, 1))
 
 
 def test_bpe(docs):

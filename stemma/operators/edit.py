@@ -61,6 +61,29 @@ def exact_lines(lines: DataFrame, edits: DataFrame) -> DataFrame:
     return hit.select("path", "idx", "raw")
 
 
+def exact_inserts(lines: DataFrame, inserts: DataFrame) -> DataFrame:
+    """Blocks (``path, rec_id, find, seq, raw``) as inserts before the line found, which must be the only such line of its record."""
+    hit = inserts.join(lines.select("path", "rec_id", F.col("idx").alias("at"), F.col("raw").alias("find")), ["path", "rec_id", "find"], "left")
+    if not hit.groupBy("path", "rec_id", "find", "seq", "raw").agg(F.count("at").alias("n")).where("n <> 1").isEmpty():
+        raise Refused("a line to insert before is not there exactly once")
+    return hit.select("path", "at", "seq", "raw")
+
+
+def before_stamp(lines: DataFrame, additions: DataFrame) -> DataFrame:
+    """Additions (``path, rec_id, seq, raw``) as inserts before their record's change stamp, else behind its last line."""
+    stamp_ = F.min(F.when((F.col("level") == 1) & (F.col("tag") == "CHAN"), F.col("idx")))
+    where = lines.join(additions.select("path", "rec_id").distinct(), ["path", "rec_id"], "left_semi").groupBy("path", "rec_id").agg(F.coalesce(stamp_, F.max("idx") + 1).alias("at"))
+    return additions.join(where, ["path", "rec_id"]).select("path", "at", "seq", "raw")
+
+
+def reread(written: DataFrame, read: DataFrame) -> DataFrame:
+    """``path, lines, read_again, same``: what was written beside what is read again."""
+    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name), F.sum(F.xxhash64("idx", "raw").cast("decimal(20,0)")).alias(f"{name}_sum"))
+    both = count(written, "lines").join(count(read, "read_again"), "path", "full_outer")
+    same = (F.col("lines") == F.col("read_again")) & (F.col("lines_sum") == F.col("read_again_sum"))
+    return both.select("path", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("read_again", F.lit(0)).alias("read_again"), F.coalesce(same, F.lit(False)).alias("same"))
+
+
 def deletable(lines: DataFrame, block: DataFrame) -> DataFrame:
     """A block (``path, idx``) that may be deleted: no record line, no change stamp, and no deeper line left behind."""
     order = Window.partitionBy("path").orderBy("idx")

@@ -15,14 +15,16 @@ from ..session import cut
 def ancestor_slots(edges: DataFrame, roots: DataFrame, depth: int, birth_only: bool = True) -> DataFrame:
     """``person, gen`` of every ancestor slot, the root at generation 1; a person reached twice has two slots.
 
-    Stops at ``depth``, so a cyclic file ends too.
+    Stops at ``depth``, so a cyclic file ends too. Each generation is written once and read by the next.
     """
     usable = edges.where("is_birth") if birth_only and "is_birth" in edges.columns else edges
     step = usable.select("child", "parent")
     level = roots.select("person", F.lit(1).alias("gen"))
     out = level
     for g in range(2, depth + 1):
-        level = level.join(step, level.person == step.child).select(F.col("parent").alias("person"), F.lit(g).alias("gen"))
+        level = cut(level.join(step, level.person == step.child).select(F.col("parent").alias("person"), F.lit(g).alias("gen")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out
 
@@ -72,11 +74,13 @@ def levels(reached: DataFrame) -> DataFrame:
 
 def spine(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """``root, person, step`` along first parents of sex M (unknown counts as M): edges need ``role`` and ``sex``."""
-    pick = edges.where("sex IS NULL OR sex = 'M'").groupBy("child").agg(F.min_by("parent", "role").alias("parent"))
+    pick = cut(edges.where("sex IS NULL OR sex = 'M'").groupBy("child").agg(F.min_by("parent", "role").alias("parent")))
     level = roots.select(F.col("person").alias("root"), "person", F.lit(0).alias("step"), F.array("person").alias("path"))
     out = level
     for k in range(1, depth + 1):
-        level = level.join(pick, level.person == pick.child).where(~F.expr("array_contains(path, parent)")).select("root", F.col("parent").alias("person"), F.lit(k).alias("step"), F.concat("path", F.array("parent")).alias("path"))
+        level = cut(level.join(pick, level.person == pick.child).where(~F.expr("array_contains(path, parent)")).select("root", F.col("parent").alias("person"), F.lit(k).alias("step"), F.concat("path", F.array("parent")).alias("path")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.drop("path")
 

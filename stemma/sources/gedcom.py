@@ -71,6 +71,28 @@ def records(lines: DataFrame) -> DataFrame:
     return lines.where("rec_id > 0").groupBy("path", "rec_id").agg(F.min_by("xref", "idx").alias("xref"), F.min_by("tag", "idx").alias("tag"), F.min("idx").alias("start"), (F.max("idx") + 1).alias("end"))
 
 
+def of_type(lines: DataFrame, tag: str) -> DataFrame:
+    """Lines of all records of a kind."""
+    kinds = records(lines).where(F.col("tag") == tag).select("path", "rec_id")
+    return lines.join(kinds, ["path", "rec_id"], "left_semi")
+
+
+def sub(lines: DataFrame, tag: str, level: int = 1) -> DataFrame:
+    """Lines of a tag at a level."""
+    return lines.where((F.col("level") == level) & (F.col("tag") == tag))
+
+
+def record_counts(lines: DataFrame) -> DataFrame:
+    """``tag, n``: records of each kind."""
+    return lines.where("level = 0").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def level_jumps(lines: DataFrame) -> DataFrame:
+    """Lines that are deeper than the line before by more than one level."""
+    before = F.lag("level").over(Window.partitionBy("path").orderBy("idx"))
+    return lines.withColumn("before", before).where("level > before + 1").drop("before")
+
+
 def _first(tag: str, column: str = "value", level: int = 1) -> Column:
     here = (F.col("level") == level) & (F.col("tag") == tag)
     return F.min_by(F.when(here, F.trim(column)), F.when(here, F.col("idx")))
@@ -96,11 +118,9 @@ def people(lines: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.when((F.col("level") == 1) & (F.col("tag") == "FAMS") & F.col("pointer").isNotNull(), F.struct("idx", "pointer")))), lambda x: x["pointer"]).alias("fams"),
         _first("_SOSADABOVILLE").alias("sosa"), F.count_if(F.col("tag") == "SOUR").alias("source_count"),
     )
-    e = events(lines)
-    of = lambda tag, name: e.where(F.col("tag") == tag).select("path", "rec_id", F.col("e").alias(name))
-    out = who.where("kind = 'INDI'")
-    for tag, name in (("BIRT", "b"), ("CHR", "c"), ("DEAT", "d"), ("BURI", "u")):
-        out = out.join(of(tag, name), ["path", "rec_id"], "left")
+    tags = (("BIRT", "b"), ("CHR", "c"), ("DEAT", "d"), ("BURI", "u"))
+    e = events(lines.where(F.col("tag").isin("DATE", "PLAC", *[t for t, _ in tags]))).groupBy("path", "rec_id").agg(*[F.max(F.when(F.col("tag") == t, F.col("e"))).alias(n) for t, n in tags])
+    out = who.where("kind = 'INDI'").join(e, ["path", "rec_id"], "left")
     known = lambda x: F.col(f"{x}.date").isNotNull() | F.col(f"{x}.place").isNotNull()
     birth, death = F.when(known("b"), F.col("b")).otherwise(F.col("c")), F.when(known("d"), F.col("d")).otherwise(F.col("u"))
     slash = lambda i: F.trim(F.regexp_extract("name", r"^([^/]*)(?:/([^/]*)/?)?", i))
@@ -148,14 +168,32 @@ def parent_edges(p: DataFrame, f: DataFrame) -> DataFrame:
 
 
 def spouses(p: DataFrame, f: DataFrame) -> DataFrame:
+    """``xref, spouse, nth``: each spouse once, numbered by the family that names it first."""
     both = f.select(F.col("xref").alias("fam"), F.explode(F.array_compact(F.array("husband", "wife"))).alias("spouse"))
-    return p.select("xref", F.explode("fams").alias("fam")).join(both, "fam").where("xref <> spouse").select("xref", "spouse").distinct()
+    each = p.select("xref", F.posexplode("fams").alias("at", "fam")).join(both, "fam").where("xref <> spouse")
+    return each.groupBy("xref", "spouse").agg(F.min("at").alias("nth"))
 
 
 def children(p: DataFrame, f: DataFrame) -> DataFrame:
     return p.select("xref", F.explode("fams").alias("fam")).join(f.select(F.col("xref").alias("fam"), F.posexplode("children").alias("ord", "child")), "fam").select("xref", "child", "ord").distinct()
 
 
+def leaves(p: DataFrame) -> DataFrame:
+    """People without a family of their parents."""
+    return p.where("famc IS NULL")
+
+
+def root_person(p: DataFrame) -> DataFrame:
+    """The first person whose label begins with number 1; else the first of the file."""
+    one = F.coalesce(F.substring_index("sosa", " ", 1) == "1", F.lit(False))
+    return p.groupBy().agg(F.min_by("xref", F.struct((~one).alias("other"), "path", "ord")).alias("xref")).where("xref IS NOT NULL")
+
+
+def eldest_child(down: DataFrame, p: DataFrame) -> DataFrame:
+    """``xref, eldest``: the earliest birth year among a person's children."""
+    return down.join(p.select(F.col("xref").alias("child"), "birth_year"), "child").groupBy("xref").agg(F.min("birth_year").alias("eldest"))
+
+
 def rendered(lines: DataFrame, newline: str = "\n") -> DataFrame:
     """``path, text``: each file's lines in order, joined; with ``file_meta`` a rewrite is byte-identical."""
     return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda x: x["raw"]), newline).alias("text"))

@@ -69,6 +69,30 @@ def readable_from_home(digitised: Column, access: Column) -> Column:
     return digitised & access.isin("open", "partial", "unknown")
 
 
+def why_not(digitised: Column, access: Column) -> Column:
+    """What keeps a book from being read from home, which decides what to do instead; null for a readable one."""
+    return (
+        F.when(readable_from_home(digitised, access), F.lit(None).cast("string"))
+        .when(~digitised & (access == "onsite"), "no images, to be read on site")
+        .when(~digitised, "no images")
+        .when(access == "closed", "digitised but closed")
+        .otherwise("digitised, on site only")
+    )
+
+
+def book_line(title: Column, start: Column, end: Column, identity: Column, code: Column, reason: Column) -> Column:
+    """A book in a list: title with its years, struck out if it can't be read, then id, code and what state it is in."""
+    both = F.concat(start.cast("string"), F.lit("-"), end.cast("string"))
+    years = F.coalesce(both, start.cast("string"), end.cast("string"), F.lit("?"))
+    mark = F.when(reason.isNull(), "").otherwise("~~")
+    return F.concat(mark, F.lit("**"), title, F.lit("** ("), years, F.lit(")"), mark, F.lit(" id "), identity, F.lit(" | "), F.coalesce(F.nullif(code, F.lit("")), F.lit("no code")), F.lit(" | "), F.coalesce(reason, F.lit("online")))
+
+
+def find(df: DataFrame, column: str, needle: str) -> DataFrame:
+    """Rows whose column contains the needle, accents and case ignored; an empty needle finds nothing."""
+    return df.where(F.contains(fold(F.col(column)), fold(F.lit(needle))) & (fold(F.lit(needle)) != ""))
+
+
 def covers_year(start: Column, end: Column, year: Column) -> Column:
     """Open bounds are allowed, but not both; an unknown year is never covered."""
     known = start.isNotNull() | end.isNotNull()

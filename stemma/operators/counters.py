@@ -12,6 +12,10 @@ def summary(people: DataFrame, by: str) -> DataFrame:
     return people.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("external_id").alias("with_id"), F.count_if("open").alias("n_open"), F.coalesce(F.min(first), F.lit(0)).alias("first_year"), F.coalesce(F.max(last), F.lit(0)).alias("last_year"))
 
 
+def bucket_counts(rows: DataFrame, by: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("n"))
+
+
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Adds ``n``, the place of a row in its group, from one."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))

@@ -24,10 +24,21 @@ def lost(rows: DataFrame, *parts: DataFrame) -> DataFrame:
     return rows.exceptAll(every).unionByName(every.exceptAll(rows))
 
 
+def not_boolean(rows: DataFrame, column: str = "accept") -> DataFrame:
+    """Rows with a value other than true, false and nothing."""
+    return rows.where(F.col(column).isNotNull() & F.col(column).cast("string").try_cast("boolean").isNull())
+
+
+def last_verdicts(first: DataFrame, second: DataFrame, key: str, order: str, column: str = "accept") -> DataFrame:
+    """Verdicts of two folders, one a key: that of the last file of the second folder, else of the first."""
+    both = first.withColumn("folder", F.lit(0)).unionByName(second.withColumn("folder", F.lit(1)))
+    # A struct keeps a verdict that is nothing.
+    return both.groupBy(key).agg(F.max_by(F.struct(column), F.struct("folder", order)).alias("v")).select(key, F.col(f"v.{column}").alias(column))
+
+
 def check_booleans(rows: DataFrame, column: str = "accept") -> None:
     """Refuse values other than true, false and nothing."""
-    bad = rows.where(F.col(column).isNotNull() & F.col(column).cast("string").try_cast("boolean").isNull())
-    if not bad.isEmpty():
+    if not not_boolean(rows, column).isEmpty():
         raise Refused(f"{column} must be true, false or empty")
 
 

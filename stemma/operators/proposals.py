@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut
 from .classify import confidence
 from .edit import upsert
+from .graph import levels, reach
 
 RECORD = "entries array<struct<title:string,id:string,content:struct<gedcomx:struct<persons:array<struct<principal:boolean,display:struct<name:string,birthDate:string,birthPlace:string>>>>>>>"
 
@@ -29,9 +34,58 @@ def parent_proposals(entries: DataFrame, people: DataFrame, edges: DataFrame, mi
     return one.select("target", "fsftid", confidence(n, own, named, dated).alias("confidence"), "parents", F.when((own > 0) & (own == n), True).alias("accept"))
 
 
-def sparse(c: str = "parents") -> Column:
-    """A struct or list as JSON without its empty fields."""
-    return F.to_json(c, {"ignoreNullFields": "true"})
+def sparse(rows: DataFrame, column: str = "parents") -> Column:
+    """A struct, or a list of them, as JSON without fields that are null, empty text or an empty list."""
+
+    def kept(value: Column, kind: T.StructType) -> Column:
+        fields = []
+        for f in kind.fields:
+            x = value[f.name]
+            if isinstance(f.dataType, T.StringType):
+                x = F.nullif(x, F.lit(""))
+            elif isinstance(f.dataType, T.ArrayType):
+                x = F.when(F.size(x) > 0, x)
+            fields.append(x.alias(f.name))
+        return F.struct(*fields)
+
+    kind = rows.schema[column].dataType
+    value = F.transform(column, lambda x: kept(x, kind.elementType)) if isinstance(kind, T.ArrayType) else kept(F.col(column), kind)
+    return F.to_json(value, {"ignoreNullFields": "true"})
+
+
+def ancestor_levels(entries: DataFrame, edges: DataFrame, depth: int, known: DataFrame | None = None) -> DataFrame:
+    """``target, level, people``: who stands above the proposed parents (level 1) of each entry, each at the first level, to ``depth``."""
+    above = levels(reach(edges, entries.select(F.col("fsftid").alias("person")), depth, known).where("level > 1"))
+    return entries.select("target", F.col("fsftid").alias("start")).join(above, "start").select("target", "level", "people")
+
+
+def branch_imports(start: DataFrame, edges: DataFrame, known: DataFrame, depth: int, first_person: int, first_family: int) -> dict[str, DataFrame]:
+    """New people and families of whole branches above accepted people, level by level.
+
+    ``start (pid, xref)`` are people just made, ``edges (child, parent, sex)`` the fetched tree, ``known (pid, xref)``
+    who the tree has already: they take their place in a family but nobody walks on from them. Everybody is entered
+    once, at the first level; a parent of unknown sex stands as husband. ``depth`` bounds a cyclic tree.
+    """
+    have = cut(known.select("pid", "xref").unionByName(start.select("pid", "xref")).dropDuplicates(["pid"]))
+    level, people, families = start.select("pid"), [], []
+    for _ in range(depth):
+        up = cut(level.join(edges.withColumnRenamed("child", "pid"), "pid").select("pid", "parent", "sex"))
+        if up.isEmpty():
+            break
+        new = up.select(F.col("parent").alias("pid")).distinct().join(have.select("pid"), "pid", "left_anti")
+        new = cut(new.withColumn("xref", F.concat(F.lit("I"), F.format_string("%05d", F.row_number().over(Window.orderBy("pid")) + (first_person - 1)))))
+        first_person += new.count()
+        have = cut(have.unionByName(new))
+        place = F.when(F.col("sex") == "F", "F").otherwise("M")
+        named = up.withColumn("place", place).join(have.select(F.col("pid").alias("parent"), F.col("xref").alias("p")), "parent")
+        fam = named.groupBy("pid").agg(F.max(F.when(F.col("place") == "M", F.col("p"))).alias("husband"), F.max(F.when(F.col("place") == "F", F.col("p"))).alias("wife")).join(have.select("pid", F.col("xref").alias("child")), "pid")
+        fam = cut(fam.withColumn("family", F.concat(F.lit("F"), F.format_string("%05d", F.row_number().over(Window.orderBy("child")) + (first_family - 1)))).select("family", "husband", "wife", "child"))
+        first_family += fam.count()
+        people.append(new)
+        families.append(fam)
+        level = new.select("pid")
+    empty = start.sparkSession.createDataFrame([], "family string, husband string, wife string, child string")
+    return {"people": reduce(DataFrame.unionByName, people, start.select("pid", "xref").where("false")), "families": reduce(DataFrame.unionByName, families, empty)}
 
 
 def record_candidates(answers: DataFrame, column: str = "value") -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import people, records, reports, trees
+from . import payloads, people, records, reports, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (people, records, reports, trees)
+MODULES = (people, records, reports, trees, payloads)
 
 
 def queries() -> dict[str, Query]:

@@ -27,25 +27,63 @@ def notes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _yaml(block: str) -> tuple[str | None, str | None]:
-    """A heading block as JSON, or what is wrong with it: flat keys, quoted or plain scalars, and lists."""
-    out: dict[str, object] = {}
-    key = None
-    for line in block.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        item = re.match(r"^\s*-\s+(.*)$", line)
-        pair = re.match(r"^([^\s:][^:]*):(?:\s+(.*))?$", line)
-        if item and key is not None and isinstance(out[key], list):
-            out[key].append(_scalar(item[1]))
-        elif pair:
-            key, value = pair[1].strip(), (pair[2] or "").strip()
-            if value.startswith("[") and value.endswith("]"):
-                out[key] = [_scalar(x) for x in value[1:-1].split(",") if x.strip()]
-            else:
-                out[key] = _scalar(value) if value else []
-        else:
-            return None, f"unreadable line: {line.strip()[:60]}"
-    return json.dumps({k: v for k, v in out.items()}, ensure_ascii=False), None
+    """A heading block as JSON, or what is wrong with it: keys, nested by indentation, lists, quoted or plain scalars."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in block.split("\n") if x.strip() and not x.lstrip().startswith("#")]
+
+    def value(at: int, text: str, indent: int) -> tuple[object, int]:
+        """What stands behind a key or dash at line ``at - 1``: on its line, or deeper below."""
+        if text:
+            if text.startswith("[") and text.endswith("]"):
+                return [_scalar(x) for x in text[1:-1].split(",") if x.strip()], at
+            return _scalar(text), at
+        # A list may stand as deep as its key.
+        if at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and re.match(r"-(\s|$)", lines[at][1])):
+            return inner(at, lines[at][0])
+        return [], at
+
+    def inner(at: int, indent: int) -> tuple[object, int]:
+        listed = bool(re.match(r"-(\s|$)", lines[at][1]))
+        out: list | dict = [] if listed else {}
+        while at < len(lines) and lines[at][0] == indent:
+            text = lines[at][1]
+            if bool(re.match(r"-(\s|$)", text)) != listed:
+                break
+            if listed:
+                item, at = value(at + 1, text[1:].strip(), indent)
+                out.append(item)
+                continue
+            pair = re.match(r"^([^\s:][^:]*):(?:\s+(.*))?$", text)
+            if not pair:
+                raise ValueError(text)
+            out[pair[1].strip()], at = value(at + 1, (pair[2] or "").strip(), indent)
+        if at < len(lines) and lines[at][0] > indent:
+            raise ValueError(lines[at][1])
+        return out, at
+
+    if not lines:
+        return "{}", None
+    try:
+        out, at = inner(0, lines[0][0])
+        if at < len(lines) or not isinstance(out, dict):
+            raise ValueError(lines[min(at, len(lines) - 1)][1])
+    except ValueError as e:
+        return None, f"unreadable line: {str(e)[:60]}"
+    return json.dumps(out, ensure_ascii=False), None
+
+
+def review_rows(text: str) -> list[dict]:
+    """The entries of a review file as dictionaries with a verdict ``accept`` of true, false or nothing; refuses other values."""
+    out = []
+    for entry in review_entries(text)[1]:
+        body = re.sub(r"(?m)^-(\s)", r" \1", entry, count=1)
+        data, error = _yaml(body)
+        if error:
+            raise ValueError(error)
+        row = json.loads(data)
+        if row.setdefault("accept", None) not in (True, False, None):
+            raise ValueError(f"accept must be true, false or empty: {row['accept']}")
+        out.append(row)
+    return out
 
 
 def _scalar(text: str) -> object:

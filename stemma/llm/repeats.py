@@ -35,7 +35,7 @@ from .common import content_key, cut, importable, mix64, pieces, tidy, width
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Classes of one anchor above which its segments are dealt anew.
-MANY = 2048
+MANY = 512
 #: Units that an engine gets at once, unless one anchor has more.
 BLOCK_UNITS = 400_000
 

@@ -45,6 +45,23 @@ def pairs(pages: DataFrame, labels: DataFrame, id_column: str = "id", html: str
     return named.groupBy("id", "key").agg(F.min_by("value", F.struct("rank", "pos")).alias("value"))
 
 
+#: The order of the reference row of older pages.
+LEGACY = ("sacrament", "identificador", "book", "folio", "entry", "sex")
+
+
+def legacy(pages: DataFrame, known: DataFrame, id_column: str = "id", html: str = "html") -> DataFrame:
+    """``id, key, value``: the reference row of older saved pages, which stands right behind a row of its labels.
+
+    Only for pages without an ``identificador`` among ``known (id, key, value)``, and for keys that those lack.
+    """
+    header = r"(?is)Sagrament.*?Identificador.*?Llibre.*?Foli.*?Apunt.*?Sexe(.*)$"
+    p = pages.select(F.col(id_column).alias("id"), F.regexp_extract(html, header, 1).alias("after")).where("after <> ''")
+    p = p.join(known.where("key = 'identificador'").select("id"), "id", "left_anti")
+    c = cells(p.select("id", F.regexp_extract("after", r"(?is)(<tr[^>]*>.*?</tr>)", 1).alias("html")))
+    named = c.where((F.col("col") < len(LEGACY)) & (F.col("cell") != "")).select("id", F.element_at(F.array(*map(F.lit, LEGACY)), F.col("col") + 1).alias("key"), F.col("cell").alias("value"))
+    return named.join(known.select("id", "key"), ["id", "key"], "left_anti").select("id", "key", "value")
+
+
 def cells(p: DataFrame) -> DataFrame:
     """``id, row, col, cell`` of all table rows."""
     rows = p.select("id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row", "r"))

@@ -95,6 +95,32 @@ def sosa_generation(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) + 1e-9).cast("int") + 1
 
 
+def roots_to_chain(people: DataFrame, most: int = 40, generation: int = 8) -> DataFrame:
+    """``pid, followed``: people of an answer's last generation, in order of their numbers; the first ``most`` are asked about next.
+
+    ``people (pid, n)`` have Sosa numbers of one answer. The cap is the request budget, not a property of the data.
+    """
+    last = people.where(sosa_generation(F.col("n")) == generation).select("pid", "n").orderBy("n").limit(most).select("pid", F.lit(True).alias("f"))
+    return people.where(sosa_generation(F.col("n")) == generation).select("pid").join(last, "pid", "left").select("pid", F.coalesce("f", F.lit(False)).alias("followed"))
+
+
+def catalogue_walk(nodes: DataFrame, root: str, depth: int) -> DataFrame:
+    """``id, level`` of all nodes below ``root`` (``nodes: id, parent``), each once at its first level."""
+    start = nodes.sparkSession.createDataFrame([(root,)], "person string")
+    return reach(nodes.select(F.col("parent").alias("child"), F.col("id").alias("parent")), start, depth).select(F.col("person").alias("id"), "level")
+
+
+def last_page(pages: DataFrame) -> DataFrame:
+    """``book, last``: the end of each book, from pages at rest."""
+    return pages.groupBy("book").agg(F.max("page").alias("last"))
+
+
+def distances(edges: DataFrame, root: DataFrame, depth: int) -> DataFrame:
+    """``person, generation``: generations between a person and the root, the root being 1."""
+    found = reach(edges, root, depth)
+    return found.groupBy("person").agg((F.min("level") + 1).alias("generation")).unionByName(root.select("person", F.lit(1).alias("generation")))
+
+
 def merge_people(*parts: DataFrame) -> DataFrame:
     """One row a ``pid`` from several fetches in order: the first, unless it lacks a birth date and a later one has it."""
     every = parts[0].withColumn("part", F.lit(0))

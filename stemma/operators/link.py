@@ -12,14 +12,13 @@ from ..session import importable
 SIMILAR = 0.85
 
 
-def similar_tokens(left: DataFrame, right: DataFrame, least: float = SIMILAR, prefix: int = 1) -> DataFrame:
+def similar_tokens(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``l, r``: pairs of distinct tokens whose ratio reaches ``least``.
 
     A ratio this high needs a long common block, so similar tokens share an n-gram: with ``least`` 0.85 and
     lengths of three or more, at least one common pair of letters. Pairs meet through shared pairs of letters,
     are cut by the length bound, and only then compared.
     """
-    del prefix
     importable(left.sparkSession)
 
     def grams(df: DataFrame, name: str) -> DataFrame:

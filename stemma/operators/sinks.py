@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 
 from .edit import Refused
 
+#: Rows that a report may hold; more belong in a table.
+MOST = 100_000
+
+
+def _small(rows: DataFrame) -> list:
+    """The rows of a report, or a refusal where they are too many for the driver."""
+    found = rows.limit(MOST + 1).collect()
+    if len(found) > MOST:
+        raise Refused(f"more than {MOST} rows are no report")
+    return found
+
 
 def write_report(text: str, path: str | Path, force: bool = False) -> None:
     """A Markdown report; refuses text without a title, and to write over a file that is no report."""
@@ -30,7 +41,7 @@ def markdown_table(rows: DataFrame, title: str, columns: list[str] | None = None
     """A titled table of an ordered, short result."""
     names = columns or rows.columns
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
-    body = [f"| {' | '.join(cell(r[c]) for c in names)} |" for r in rows.select(*names).collect()]
+    body = [f"| {' | '.join(cell(r[c]) for c in names)} |" for r in _small(rows.select(*names))]
     return "\n".join([f"# {title}", "", f"| {' | '.join(names)} |", f"| {' | '.join('---' for _ in names)} |", *body, ""])
 
 
@@ -47,8 +58,8 @@ def manifest_lines(assets: DataFrame, origins: DataFrame | None = None) -> DataF
 def proposals_yaml(rows: DataFrame, header: str = "") -> str:
     """Proposals as a list of entries; JSON values are valid YAML. ``accept`` stays open where it is null."""
     out = [f"# {h}".rstrip() for h in header.splitlines()]
-    for r in rows.toJSON().collect():
-        entry = json.loads(r)
+    for r in _small(rows.select(F.to_json(F.struct("*")).alias("j"))):
+        entry = json.loads(r.j)
         entry.setdefault("accept", None)
         for i, (k, v) in enumerate(entry.items()):
             out.append(f"{'- ' if i == 0 else '  '}{k}: {json.dumps(v, ensure_ascii=False)}")
@@ -57,8 +68,8 @@ def proposals_yaml(rows: DataFrame, header: str = "") -> str:
 
 def snapshot_json(entries: DataFrame, date: str, root: str) -> str:
     """Entries whose parents are known or known not to be, by person, keys in order."""
-    kept = entries.where("status IN ('ready', 'stuck') AND fsftid IS NOT NULL").toJSON().collect()
-    people = {(e := json.loads(r))["xref"]: {k: v for k, v in e.items() if k != "xref"} for r in kept}
+    kept = entries.where("status IN ('ready', 'stuck') AND fsftid IS NOT NULL").select(F.to_json(F.struct("*")).alias("j"))
+    people = {(e := json.loads(r.j))["xref"]: {k: v for k, v in e.items() if k != "xref"} for r in _small(kept)}
     return json.dumps({"data": date, "arrel": root, "persones": people}, ensure_ascii=False, indent=1, sort_keys=True) + "\n"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, text
 from ..operators import graph, rank, resolve
-from ..session import table
+from ..session import cut, table
 
 TOP = 25
 
@@ -109,6 +109,9 @@ SELECT l_id, r_id, CAST(part_pos AS INT) AS part_pos, round(
 FROM c JOIN p l ON l.id = l_id JOIN p r ON r.id = r_id"""
 
 
+Q34 = Q04.replace(" AND l.p_brand = r.p_brand AND l.p_type = r.p_type", "")
+
+
 def q05_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one assignment of the pairs of q34, with buckets. Iterative, so there is no SQL twin."""
     left, _ = _halves(spark, sf_dir)
@@ -116,136 +119,86 @@ def q05_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q34_pair_score_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidate pairs, those that share a name word, each once, with their score. Their number grows with the square of the table, so there is no SQL twin."""
+    """All candidate pairs, those that share a name word, each once, with their score. Their number grows with the square of the table."""
     return _pairs(spark, sf_dir).select("l_id", "r_id", "part_pos", "total")
 
 
-def _sosa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") + 1).alias("n"))
-    return c.where("n < 1024")
-
-
 def q06_sosa_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sosa numbers (key plus one) as a pedigree of ten generations: slots by generation beside the full number."""
-    edges = graph.sosa_edges(_sosa(spark, sf_dir))
-    roots = _sosa(spark, sf_dir).where("n = 1").select("person")
-    return graph.generation_counts(graph.ancestor_slots(edges, roots, 10))
+    """Sosa numbers (key plus one) of all customers as a pedigree: slots by generation beside the full number."""
+    numbered = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") + 1).alias("n"))
+    depth = (numbered.agg(F.max("n")).first()[0] or 1).bit_length()
+    return graph.generation_counts(graph.ancestor_slots(cut(graph.sosa_edges(numbered)), numbered.where("n = 1").select("person"), depth))
 
 
 Q06 = """
-WITH RECURSIVE s(n, gen) AS (SELECT c_custkey + 1, 1 FROM customer WHERE c_custkey = 0 UNION ALL
-  SELECT c.c_custkey + 1, gen + 1 FROM s JOIN customer c ON c.c_custkey + 1 IN (2 * n, 2 * n + 1) WHERE gen < 10 AND c.c_custkey + 1 < 1024)
+WITH RECURSIVE s(n, gen) AS (SELECT c_custkey + 1, 1 FROM customer WHERE c_custkey = 0 UNION ALL SELECT c.c_custkey + 1, gen + 1 FROM s JOIN customer c ON (c.c_custkey + 1) >> 1 = n)
 SELECT gen, count(*) AS n, CAST(pow(2, gen - 1) AS BIGINT) AS "of" FROM s GROUP BY gen"""
 
-MODULUS = 97
 
+def _loops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Edges ``k -> 2k mod m`` and ``2k + 1 mod m`` over all suppliers, m being their number: full of implex and cycles; and m."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"))
+    m = max(1, s.count())
+    up = s.select("child", F.explode(F.array((F.col("child") * 2) % m, (F.col("child") * 2 + 1) % m)).alias("parent"))
+    return cut(up.join(s.select(F.col("child").alias("parent")), "parent", "left_semi").withColumn("role", F.when(F.col("parent") == (F.col("child") * 2) % m, 0).otherwise(1))), m
 
-def _loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges ``k -> 2k mod m`` and ``2k + 1 mod m`` over suppliers: a graph full of implex and cycles."""
-    s = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") < MODULUS).select(F.col("s_suppkey").alias("child"))
-    up = s.select("child", F.explode(F.array((F.col("child") * 2) % MODULUS, (F.col("child") * 2 + 1) % MODULUS)).alias("parent"))
-    return up.join(s.select(F.col("child").alias("parent")), "parent", "left_semi").withColumn("role", (F.col("parent") - F.col("child") * 2) % 2)
+
+def _everybody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"))
 
 
 def q07_implex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots, distinct people and implex of eight generations above supplier 1."""
-    roots = table(spark, sf_dir, "supplier").where("s_suppkey = 1").select(F.col("s_suppkey").alias("person"))
-    return graph.implex(graph.ancestor_slots(_loops(spark, sf_dir).select("child", "parent"), roots, 8))
+    """Slots, distinct people and implex above supplier 1, as many generations as reach all suppliers and one more."""
+    edges, m = _loops(spark, sf_dir)
+    return graph.implex(graph.ancestor_slots(edges.select("child", "parent"), _everybody(spark, sf_dir).where("person = 1"), m.bit_length() + 2))
 
 
-_EDGES = f"e AS (SELECT s_suppkey AS child, p AS parent FROM (SELECT s_suppkey, unnest([(s_suppkey * 2) % {MODULUS}, (s_suppkey * 2 + 1) % {MODULUS}]) AS p FROM supplier WHERE s_suppkey < {MODULUS}) WHERE p IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < {MODULUS}))"
+_EDGES = "m AS (SELECT greatest(count(*), 1) AS m FROM supplier), e AS (SELECT DISTINCT s_suppkey AS child, p AS parent FROM (SELECT s_suppkey, unnest([(s_suppkey * 2) % m, (s_suppkey * 2 + 1) % m]) AS p FROM supplier, m) WHERE p IN (SELECT s_suppkey FROM supplier))"
+_DEPTH = "(SELECT floor(log2(m)) + 1 FROM m)"
 Q07 = f"""
-WITH RECURSIVE {_EDGES}, s(person, gen) AS (SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey = 1 UNION ALL SELECT parent, gen + 1 FROM s JOIN e ON child = person WHERE gen < 8)
+WITH RECURSIVE {_EDGES}, s(person, gen) AS (SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey = 1 UNION ALL SELECT parent, gen + 1 FROM s JOIN e ON child = person WHERE gen < {_DEPTH} + 2)
 SELECT count(*) AS slots, count(DISTINCT person) AS people, count(*) - count(DISTINCT person) AS implex FROM s"""
 
 
 def q08_upstream_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everybody above suppliers 0 to 4 but known ones (multiples of five), with the least size of their keys."""
-    edges = _loops(spark, sf_dir).select("child", "parent")
-    starts = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("person"))
-    known = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("person"))
-    found = graph.reach(edges, starts, 40, known)
-    years = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.lit(1800) + F.col("s_nationkey")).alias("year"))
-    return graph.upstream(found, years)
+    """Everybody above every supplier but known ones (multiples of five), with the least size of their keys, to the end."""
+    edges, m = _loops(spark, sf_dir)
+    everybody = _everybody(spark, sf_dir)
+    found = graph.reach(edges.select("child", "parent"), everybody, m, everybody.where("person % 5 = 0"))
+    return graph.upstream(found, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.lit(1800) + F.col("s_nationkey")).alias("year")))
 
 
 Q08 = f"""
-WITH RECURSIVE {_EDGES}, s(start, person) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey < 5 UNION SELECT start, parent FROM s JOIN e ON child = person WHERE parent % 5 <> 0)
+WITH RECURSIVE {_EDGES}, s(start, person) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT start, parent FROM s JOIN e ON child = person WHERE parent % 5 <> 0)
 SELECT start, count(DISTINCT person) AS upstream, min(1800 + s_nationkey) AS oldest FROM s JOIN supplier ON person = s_suppkey WHERE person <> start GROUP BY start"""
 
 
 def q09_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People of each of the first five levels above suppliers 0 to 4, each at its first level."""
-    starts = table(spark, sf_dir, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").alias("person"))
-    found = graph.levels(graph.reach(_loops(spark, sf_dir).select("child", "parent"), starts, 5))
+    """People of all levels above every supplier, each at its first level."""
+    edges, m = _loops(spark, sf_dir)
+    found = graph.levels(graph.reach(edges.select("child", "parent"), _everybody(spark, sf_dir), m))
     return found.select("start", "level", F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"))
 
 
+# After as many steps as the number of suppliers has bits everybody is reached.
 Q09 = f"""
-WITH RECURSIVE {_EDGES}, s(start, person, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey < 5 UNION SELECT start, parent, level + 1 FROM s JOIN e ON child = person WHERE level < 5),
+WITH RECURSIVE {_EDGES}, s(start, person, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT start, parent, level + 1 FROM s JOIN e ON child = person WHERE level < {_DEPTH} + 1),
 f AS (SELECT start, person, min(level) AS level FROM s GROUP BY 1, 2)
 SELECT start, level, string_agg(person, ',' ORDER BY person) AS people FROM f WHERE level > 0 GROUP BY 1, 2"""
 
 
 def q10_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of first parents above suppliers 1 to 9, ended where it would close on itself."""
-    edges = _loops(spark, sf_dir).withColumn("sex", F.lit("M"))
-    first = edges.select("child", "parent", F.when(F.col("parent") == (F.col("child") * 2) % MODULUS, 0).otherwise(1).alias("role"), "sex")
-    roots = table(spark, sf_dir, "supplier").where("s_suppkey BETWEEN 1 AND 9").select(F.col("s_suppkey").alias("person"))
-    return graph.spine(first, roots, 12)
+    """The line of first parents above every supplier, ended where it would close on itself or after twelve steps."""
+    edges, _ = _loops(spark, sf_dir)
+    return graph.spine(edges.withColumn("sex", F.lit("M")), _everybody(spark, sf_dir), 12)
 
 
 Q10 = f"""
-WITH RECURSIVE {_EDGES}, f AS (SELECT child, arg_min(parent, CASE WHEN parent = (child * 2) % {MODULUS} THEN 0 ELSE 1 END) AS parent FROM e GROUP BY child),
-s(root, person, step, path) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey] FROM supplier WHERE s_suppkey BETWEEN 1 AND 9 UNION ALL
+WITH RECURSIVE {_EDGES}, f AS (SELECT child, arg_min(parent, CASE WHEN parent = (child * 2) % m THEN 0 ELSE 1 END) AS parent FROM e, m GROUP BY child),
+s(root, person, step, path) AS (SELECT s_suppkey, s_suppkey, 0, [s_suppkey] FROM supplier UNION ALL
   SELECT root, parent, step + 1, list_append(path, parent) FROM s JOIN f ON child = person WHERE step < 12 AND NOT list_contains(path, parent))
 SELECT root, person, step FROM s"""
 
 
-def _whole_loops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The edges of ``_loops`` over all suppliers, the modulus being their number, and that number."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("child"))
-    m = s.count()
-    up = s.select("child", F.explode(F.array((F.col("child") * 2) % m, (F.col("child") * 2 + 1) % m)).alias("parent"))
-    return up.join(s.select(F.col("child").alias("parent")), "parent", "left_semi").withColumn("role", F.when(F.col("parent") == (F.col("child") * 2) % m, 0).otherwise(1)), m
-
-
-def _everybody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"))
-
-
-def q35_sosa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q06 over all customers, as many generations as the largest number has."""
-    numbered = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") + 1).alias("n"))
-    depth = (numbered.agg(F.max("n")).first()[0] or 1).bit_length()
-    return graph.generation_counts(graph.ancestor_slots(graph.sosa_edges(numbered), numbered.where("n = 1").select("person"), depth))
-
-
-def q36_implex_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q07 above every supplier over all suppliers, one generation more than their number has bits."""
-    edges, m = _whole_loops(spark, sf_dir)
-    return graph.implex(graph.ancestor_slots(edges.select("child", "parent"), _everybody(spark, sf_dir), m.bit_length() + 1))
-
-
-def q37_closure_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q08 above every supplier over all suppliers, to the end."""
-    edges, m = _whole_loops(spark, sf_dir)
-    found = graph.reach(edges.select("child", "parent"), _everybody(spark, sf_dir), m, _everybody(spark, sf_dir).where("person % 5 = 0"))
-    return graph.upstream(found, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.lit(1800) + F.col("s_nationkey")).alias("year")))
-
-
-def q38_levels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q09 above every supplier over all suppliers, all levels."""
-    edges, m = _whole_loops(spark, sf_dir)
-    found = graph.levels(graph.reach(edges.select("child", "parent"), _everybody(spark, sf_dir), m))
-    return found.select("start", "level", F.array_join(F.transform("people", lambda x: x.cast("string")), ",").alias("people"))
-
-
-def q39_spine_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q10 above every supplier over all suppliers; the line is bounded by twelve steps, as there."""
-    edges, _ = _whole_loops(spark, sf_dir)
-    return graph.spine(edges.withColumn("sex", F.lit("M")), _everybody(spark, sf_dir), 12)
-
-
-QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q34_pair_score_words, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine, q35_sosa_whole, q36_implex_whole, q37_closure_whole, q38_levels_whole, q39_spine_whole)}
-SQL = {"q01_ranked_frontier": Q01, "q02_fold_tokens": Q02, "q03_year_extract": Q03, "q04_pair_score": Q04, "q06_sosa_generations": Q06, "q07_implex": Q07, "q08_upstream_closure": Q08, "q09_levels": Q09, "q10_spine": Q10}
+QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q34_pair_score_words, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine)}
+SQL = {"q01_ranked_frontier": Q01, "q02_fold_tokens": Q02, "q03_year_extract": Q03, "q04_pair_score": Q04, "q34_pair_score_words": Q34, "q06_sosa_generations": Q06, "q07_implex": Q07, "q08_upstream_closure": Q08, "q09_levels": Q09, "q10_spine": Q10}

@@ -168,6 +168,10 @@ def parent_edges(p: DataFrame, f: DataFrame) -> DataFrame:
 
 
 def spouses(p: DataFrame, f: DataFrame) -> DataFrame:
+    return spouses_in_order(p, f).drop("nth")
+
+
+def spouses_in_order(p: DataFrame, f: DataFrame) -> DataFrame:
     """``xref, spouse, nth``: each spouse once, numbered by the family that names it first."""
     both = f.select(F.col("xref").alias("fam"), F.explode(F.array_compact(F.array("husband", "wife"))).alias("spouse"))
     each = p.select("xref", F.posexplode("fams").alias("at", "fam")).join(both, "fam").where("xref <> spouse")

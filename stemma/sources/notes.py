@@ -30,6 +30,8 @@ def _yaml(block: str) -> tuple[str | None, str | None]:
     """A heading block as JSON, or what is wrong with it: keys, nested by indentation, lists, quoted or plain scalars."""
     lines = [(len(x) - len(x.lstrip()), x.strip()) for x in block.split("\n") if x.strip() and not x.lstrip().startswith("#")]
 
+    pair_of = re.compile(r"^([^\s:][^:]*):(?:\s+(.*))?$")
+
     def value(at: int, text: str, indent: int) -> tuple[object, int]:
         """What stands behind a key or dash at line ``at - 1``: on its line, or deeper below."""
         if text:
@@ -49,10 +51,17 @@ def _yaml(block: str) -> tuple[str | None, str | None]:
             if bool(re.match(r"-(\s|$)", text)) != listed:
                 break
             if listed:
-                item, at = value(at + 1, text[1:].strip(), indent)
+                rest = text[1:].strip()
+                if pair_of.match(rest) and rest[0] not in "\"'[":
+                    # A map in a list: it begins on the dash's line.
+                    deeper = indent + len(text) - len(rest)
+                    lines[at] = (deeper, rest)
+                    item, at = inner(at, deeper)
+                else:
+                    item, at = value(at + 1, rest, indent)
                 out.append(item)
                 continue
-            pair = re.match(r"^([^\s:][^:]*):(?:\s+(.*))?$", text)
+            pair = pair_of.match(text)
             if not pair:
                 raise ValueError(text)
             out[pair[1].strip()], at = value(at + 1, (pair[2] or "").strip(), indent)
@@ -75,11 +84,10 @@ def review_rows(text: str) -> list[dict]:
     """The entries of a review file as dictionaries with a verdict ``accept`` of true, false or nothing; refuses other values."""
     out = []
     for entry in review_entries(text)[1]:
-        body = re.sub(r"(?m)^-(\s)", r" \1", entry, count=1)
-        data, error = _yaml(body)
+        data, error = _yaml("entry:\n" + entry)
         if error:
             raise ValueError(error)
-        row = json.loads(data)
+        row = json.loads(data)["entry"][0]
         if row.setdefault("accept", None) not in (True, False, None):
             raise ValueError(f"accept must be true, false or empty: {row['accept']}")
         out.append(row)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, names, text
 from ..operators import graph, rank, resolve
-from ..session import cut, table
+from ..session import cut, spread, table
 
 TOP = 25
 
@@ -40,7 +40,7 @@ ORDER BY score DESC, c_custkey LIMIT {TOP}"""
 
 def q02_fold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded documents, their surname parts and given tokens, as counts and hashes."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     folded = d.select("doc_id", text.fold(F.col("text")).alias("f"))
     parted = folded.select("doc_id", "f", names.surname_parts(F.col("f")).alias("parts"), names.given_tokens(F.col("f")).alias("given"))
     return parted.select("doc_id", F.length("f").cast("long").alias("folded_length"), F.md5("f").alias("folded_md5"), F.size("parts").cast("long").alias("n_parts"), F.md5(F.array_join("parts", " ")).alias("parts_md5"), F.size("given").cast("long").alias("n_given"))

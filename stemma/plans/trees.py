@@ -200,7 +200,7 @@ def q44_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q44 = f"""
 WITH {_L}
 SELECT path, md5(string_agg(raw, chr(10) ORDER BY idx)) AS md5, length(string_agg(raw, chr(10) ORDER BY idx))::BIGINT AS letters,
-  md5(string_agg(raw, chr(10) ORDER BY idx) FILTER (WHERE NOT (kind = 'I' AND j = 21))) AS md5_less, count_if(kind = 'I' AND j = 21) AS dropped FROM l GROUP BY path"""
+  md5(string_agg(raw, chr(10) ORDER BY idx) FILTER (WHERE NOT (kind = 'I' AND j = 21))) AS md5_less, count(*) FILTER (WHERE kind = 'I' AND j = 21) AS dropped FROM l GROUP BY path"""
 
 
 def q45_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +273,7 @@ Q48 = f"""
 WITH {_L}, m AS (SELECT * FROM l WHERE path = 'p3'), g AS (SELECT min(idx) AS idx FROM m WHERE raw LIKE '2 PLAC Agres%'),
 u AS (SELECT idx, 1 AS o, CASE WHEN raw LIKE '1 NAME Joan%' THEN replace(raw, 'Joan', 'Johan') ELSE raw END AS raw FROM m WHERE idx <> (SELECT idx FROM g)
   UNION ALL SELECT idx, 0, '1 SOUR @S9@' FROM m WHERE raw LIKE '1 SEX %')
-SELECT count(*) AS n, count_if(raw LIKE '1 NAME Johan%') AS renamed, count_if(raw = '1 SOUR @S9@') AS added, md5(string_agg(raw, chr(10) ORDER BY idx, o)) AS md5 FROM u"""
+SELECT count(*) AS n, count(*) FILTER (WHERE raw LIKE '1 NAME Johan%') AS renamed, count(*) FILTER (WHERE raw = '1 SOUR @S9@') AS added, md5(string_agg(raw, chr(10) ORDER BY idx, o)) AS md5 FROM u"""
 
 
 def q49_person_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a table in as many partitions as there are cores, where a scan gives less than half as many.
+
+    For maps that cost far more than moving their input once: a file of one row group is one task otherwise. Only
+    for scans, whose partitions are known without running anything.
+    """
+    cores = importable(rows.sparkSession).sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset and everything runs in one process (tests), a temporary one."""
     sc = importable(spark).sparkContext

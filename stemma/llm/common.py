@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, importable, shared_folder, table
+from ..session import cut, importable, shared_folder, spread, table
 
-__all__ = ["WORD", "arrow_map", "content_key", "cut", "importable", "mix64", "pieces", "table", "tidy", "width", "written"]
+__all__ = ["WORD", "arrow_map", "content_key", "cut", "importable", "mix64", "pieces", "spread", "table", "tidy", "width", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, cut, table, tidy
+from .common import content_key, cut, spread, table, tidy
 from .repeats import bytes_of, merge, repeated, unpacked
 
 LENGTH = 400
@@ -267,6 +267,6 @@ def stripped(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``. Null and empty texts: zeros and the hash of nothing; repeated rows each give a row."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     # Cut, so that a partition with very many copies of one text can be split.
     return docs.select("doc_id", *content_key(F.col("text"))).join(cut(without_repeats(docs)), ["k1", "k2"]).drop("k1", "k2")

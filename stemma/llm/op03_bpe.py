@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Bpe
-from .common import arrow_map, pieces, table
+from .common import arrow_map, pieces, spread, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: The splitting pattern of this vocabulary; a fixed value of its format.
@@ -124,4 +124,4 @@ def digest(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
 def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``. Empty and null texts: no tokens, hashes of the empty string."""
-    return digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return digest(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY))

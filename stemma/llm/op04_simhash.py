@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, content_key, cut, pieces, table, tidy, width
+from .common import arrow_map, content_key, cut, pieces, spread, table, tidy, width
 from .components import components
 
 RADIUS = 3
@@ -264,5 +264,5 @@ def first_of_groups(docs: DataFrame, groups: Callable[[DataFrame], DataFrame], i
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``: 3-word shingles, three bits. Empty and null texts share fingerprint zero."""
-    found = near_groups(table(spark, sf_dir, "documents"))
+    found = near_groups(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, spread, table
 
 #: Most frequent words of each language that count as common.
 COMMON_WORDS = 12
@@ -158,7 +158,7 @@ def passing(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``; an empty table gives an empty result, repeated rows each give a row."""
-    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality(spread(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Bpe
-from .common import arrow_map, mix64, pieces, table
+from .common import arrow_map, mix64, pieces, spread, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -326,4 +326,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_column: str
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``; a null text counts as empty, repeated rows each give a row."""
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, importable, pieces, table, tidy
+from .common import arrow_map, importable, pieces, spread, table, tidy
 
 SPECTRUM = 5
 BITS = 15
@@ -148,4 +148,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", t
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents``."""
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(spread(table(spark, sf_dir, "documents")))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, importable, mix64, pieces, table, tidy, width
+from .common import cut, importable, mix64, pieces, spread, table, tidy, width
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ORDER, CUTOFF, DISCOUNT = 3, 2, 0.4
@@ -217,4 +217,4 @@ def lm_scores(docs: DataFrame, path: str, id_column: str = "doc_id", text_column
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` under the trigram model of all of ``documents``."""
-    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), cutoff=1)
+    return lm_scores(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(VOCABULARY), cutoff=1)

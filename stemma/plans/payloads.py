@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, fiche, links, names, text
-from ..operators import classify, counters, edit, link, note_rules, proposals, quality, render
+from ..operators import classify, counters, edit, link, note_rules, proposals, quality, render, reports, settings
 from ..session import cut, dimension, table
 from ..sources import notes, payloads
 
@@ -392,5 +392,57 @@ WITH {_C}
 SELECT 'files' AS what, count(*) || ',' || CAST(sum(k * 10)::BIGINT AS STRING) AS value FROM c UNION ALL SELECT '# a.md, b.md', CAST(count(*) AS STRING) FROM c WHERE k % 3 = 0
 UNION ALL SELECT 'q.birthPlace', 'x' UNION ALL SELECT 'q.deathLikeDate', '1700'"""
 
-QUERIES = {f.__name__: f for f in (q54_fiche, q55_persons, q56_catalogue, q57_candidates, q58_snapshot, q59_headings, q60_note_rules, q61_note_counters, q62_documents, q63_scalars, q64_parish, q65_render, q66_proposals, q67_imports, q68_checks, q69_reports)}
-SQL = {"q54_fiche": Q54, "q55_persons": Q55, "q56_catalogue": Q56, "q57_candidates": Q57, "q58_snapshot": Q58, "q59_headings": Q59, "q60_note_rules": Q60, "q61_note_counters": Q61, "q62_documents": Q62, "q63_scalars": Q63, "q64_parish": Q64, "q65_render": Q65, "q66_proposals": Q66, "q67_imports": Q67, "q68_checks": Q68, "q69_reports": Q69}
+def q71_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five reports on customers, line by line with how often each stands there, by section."""
+    c = _customers(spark, sf_dir)
+    x = F.concat(F.lit("I"), "k")
+    m = c.select(F.expr("CASE k % 3 WHEN 0 THEN 'confident' WHEN 1 THEN 'review' ELSE 'unmatched' END").alias("bucket"), x.alias("left"), F.expr("CASE WHEN k % 2 = 0 THEN '1800' END").alias("left_birth"), F.expr("CASE WHEN k % 6 <> 5 THEN concat('F', k) END").alias("right"), F.lit("1801").alias("right_birth"), (F.col("k") % 9).alias("total"), F.expr("array('name', concat('y', k % 2))").alias("reasons"))
+    alone = c.where("k % 4 = 0").select(F.concat(F.lit("F"), "k").alias("right"), F.expr("CASE WHEN k % 8 = 0 THEN 1700 + n END").alias("birth_year"), (F.col("k") % 5).alias("sources"))
+    e = c.select(
+        x.alias("xref"), F.col("name"), F.expr("CASE k % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'stuck' WHEN 2 THEN 'unknown' ELSE 'unlinked' END").alias("status"), (F.col("k") % 50).alias("score"), F.expr("CASE WHEN k % 3 = 0 THEN '1800' END").alias("birth"), F.expr("CASE WHEN k % 5 = 0 THEN 'Agres' END").alias("town"),
+        F.expr("array(named_struct('name', concat('P', k), 'documents', CASE WHEN k % 8 = 0 THEN array('d1') ELSE array() END))").alias("parents"), (F.col("k") % 7).alias("upstream"), F.expr("CASE WHEN k % 2 = 0 THEN 1650 END").alias("oldest"), F.expr("CASE WHEN k % 6 = 0 THEN array('a.pdf') ELSE array() END").alias("documents"), F.expr("CASE WHEN k % 12 = 0 THEN 'here' END").alias("archive"),
+        F.expr("CASE n % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'far' END").alias("region"), F.array(F.lit("look")).alias("links"),
+    )
+    said = settings.provenance(e.withColumn("fresh", F.lit(False)).withColumn("taken", F.lit("2024")), F.col("fresh"), F.col("taken"))
+    guides = dimension(spark, [("south", 0, "The south", ["s1"]), ("north", 1, "The north", [])], "region string, ord int, title string, links array<string>")
+    gens = c.groupBy((F.col("n") % 4 + 1).alias("gen")).agg(F.count("*").alias("n")).withColumn("of", F.col("gen") * 2)
+    counted = reports.counters_report(c.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("ord"), F.lit("people").alias("label"), "value"), gens, gens.select("gen", F.lit(2).alias("delta")), c.groupBy(F.concat(F.lit("d"), F.col("n") % 3).alias("folder")).agg(F.count("*").alias("n")), c.where("k % 40 = 1").select(F.concat(F.lit("r"), "k").alias("route")))
+    l = c.select(F.col("k").alias("id"), x.alias("who"), F.lit("bateig").alias("sacrament"), F.expr("CASE WHEN k % 5 <> 0 THEN 1700 + k % 9 END").alias("year"), F.expr("CASE WHEN k % 3 = 0 THEN 'agres' WHEN k % 3 = 1 THEN 'ibi' END").alias("parish"), F.col("n").alias("rank"), F.expr("k % 2 = 0").alias("possible"), F.lit("none").alias("why"))  # noqa: E741
+    spans = dimension(spark, [("agres", "bateig", 1, 1700, 1750), ("agres", "bateig", 0, 1600, 1650), ("else", "bateig", 0, 1, 2)], "parish string, sacrament string, ord int, y_from int, y_to int")
+    every = [("match", reports.match_report(m, alone)), ("frontier", reports.frontier_report(e, said)), ("worklist", reports.worklist_report(e, guides)), ("counters", counted), ("verification", reports.verification_report(l, spans, "quota 3 of 40"))]
+    out = None
+    for name, lines in every:
+        some = lines.groupBy(F.lit(name).alias("report"), "section", "line").agg(F.count("*").alias("n"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+Q71 = f"""
+WITH {_C}, m AS (SELECT k, n, 'I' || k AS l, CASE k % 3 WHEN 0 THEN 'confident' WHEN 1 THEN 'review' ELSE 'unmatched' END AS b, CASE WHEN k % 2 = 0 THEN '1800' ELSE '?' END AS lb, CASE WHEN k % 6 <> 5 THEN 'F' || k END AS r, k % 9 AS t FROM c),
+e AS (SELECT *, 'I' || k AS x, CASE k % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'stuck' WHEN 2 THEN 'unknown' ELSE 'unlinked' END AS st, k % 50 AS sc, CASE WHEN k % 3 = 0 THEN '1800' END AS bi, CASE WHEN k % 5 = 0 THEN 'Agres' END AS town, CASE n % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'far' END AS rg FROM c),
+w AS (SELECT *, CASE rg WHEN 'north' THEN 'The north' WHEN 'south' THEN 'The south' ELSE rg END AS title FROM e WHERE st <> 'ready'),
+u(report, section, line) AS (
+SELECT 'match', 0, '# Matches of two trees' UNION ALL SELECT 'match', 1, '| ' || b || ' | ' || count(*) || ' |' FROM m GROUP BY b
+UNION ALL SELECT 'match', 2, '## Sure (' || count(*) || ')' FROM m WHERE b = 'confident' UNION ALL SELECT 'match', 3, '## To be looked at (' || count(*) || ')' FROM m WHERE b = 'review'
+UNION ALL SELECT 'match', CASE b WHEN 'confident' THEN 2 ELSE 3 END, '| ' || concat_ws(' | ', l, lb, coalesce(r, '?'), '1801', t, 'name; y' || (k % 2)) || ' |' FROM m WHERE b <> 'unmatched'
+UNION ALL SELECT 'match', 4, '## Only in the first tree (' || count(*) || ')' FROM m WHERE b = 'unmatched' UNION ALL SELECT 'match', 4, '| ' || concat_ws(' | ', l, lb, coalesce(r || ' (' || t || ')', '?')) || ' |' FROM m WHERE b = 'unmatched'
+UNION ALL SELECT 'match', 5, '## Only in the second tree (' || count(*) || ')' FROM m WHERE k % 4 = 0 UNION ALL SELECT 'match', 5, '| F' || k || ' | ' || CASE WHEN k % 8 = 0 THEN CAST(1700 + n AS STRING) ELSE '?' END || ' | ' || (k % 5) || ' |' FROM m WHERE k % 4 = 0
+UNION ALL SELECT 'frontier', 0, '# Open ends' UNION ALL SELECT 'frontier', 1, 'snapshot of 2024: ' || count(*) FILTER (WHERE st IN ('ready', 'stuck')) || ' of ' || count(*) FROM e
+UNION ALL SELECT 'frontier', 1, 'New ancestors above them: ' || coalesce(sum(k % 7), 0)::BIGINT FROM e WHERE st = 'ready' UNION ALL SELECT 'frontier', 2, '## Ready (' || count(*) || ')' FROM e WHERE st = 'ready'
+UNION ALL SELECT 'frontier', 2, unnest(list_filter(['### ' || x || ' ' || name || ' ' || sc, '- Birth: ' || coalesce(bi, 'unknown'), '- Parent: P' || k, CASE WHEN k % 8 = 0 THEN '  - Named by our own: d1' END, CASE WHEN k % 7 > 0 THEN '- Above: ' || (k % 7) || CASE WHEN k % 2 = 0 THEN ', back to 1650' ELSE '' END END,
+  CASE WHEN k % 6 = 0 THEN '- Document: a.pdf' END, CASE WHEN k % 12 = 0 THEN '- Archive: here' END], lambda y: y IS NOT NULL)) FROM e WHERE st = 'ready'
+UNION ALL SELECT 'frontier', s, '## ' || h || ' (' || (SELECT count(*) FROM e WHERE st = z) || ')' FROM (VALUES (3, 'stuck', 'Stuck'), (4, 'unknown', 'Not asked'), (5, 'unlinked', 'Not linked')) v(s, z, h)
+UNION ALL SELECT 'frontier', CASE st WHEN 'stuck' THEN 3 WHEN 'unknown' THEN 4 ELSE 5 END, '| ' || concat_ws(' | ', x || ' ' || name, coalesce(bi, '?'), coalesce(town, '?'), CASE WHEN k % 6 = 0 THEN 'a.pdf' ELSE '?' END, CASE WHEN k % 12 = 0 THEN 'here' ELSE '?' END) || ' |' FROM e WHERE st <> 'ready'
+UNION ALL SELECT 'worklist', 0, '# Work by archive' UNION ALL SELECT 'worklist', 1, '| ' || title || ' | ' || count(*) || ' |' FROM w GROUP BY title UNION ALL SELECT 'worklist', 2, '## ' || title || ' (' || count(*) || ')' FROM w GROUP BY title
+UNION ALL SELECT DISTINCT 'worklist', 2, '- Start: s1' FROM w WHERE rg = 'south'
+UNION ALL SELECT 'worklist', 2, unnest(list_filter(['### ' || name || ' ' || x, '- ' || CASE WHEN bi IS NULL AND town IS NULL THEN 'no date and no place' ELSE concat_ws(', ', 'born ' || bi, 'at ' || town) END,
+  CASE st WHEN 'stuck' THEN '- parents are not known there either' WHEN 'unknown' THEN '- linked, not asked yet' ELSE '- not found there yet' END, CASE WHEN k % 6 = 0 THEN '- Document: a.pdf' END, '- look'], lambda y: y IS NOT NULL)) FROM w
+UNION ALL SELECT 'counters', 0, '# State of the tree' UNION ALL SELECT 'counters', 1, '| people | ' || count(*) || ' |' FROM c UNION ALL SELECT 'counters', 2, '| G' || (n % 4 + 1) || ' | ' || count(*) || ' | ' || (2 * (n % 4 + 1)) || ' |' FROM c GROUP BY n % 4
+UNION ALL SELECT DISTINCT 'counters', 3, '- foster: G' || (n % 4 + 1) || ' by 2' FROM c UNION ALL SELECT 'counters', 4, '| d' || (n % 3) || ' | ' || count(*) || ' |' FROM c GROUP BY n % 3 UNION ALL SELECT 'counters', 5, '- broken: r' || k FROM c WHERE k % 40 = 1
+UNION ALL SELECT 'verification', 0, unnest(['# Planned lookups', 'quota 3 of 40']) UNION ALL SELECT 'verification', 1, '## Can be asked for (' || count(*) || ')' FROM c WHERE k % 2 = 0 UNION ALL SELECT 'verification', 2, '## Can''t be asked for (' || count(*) || ')' FROM c WHERE k % 2 = 1
+UNION ALL SELECT 'verification', CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END, '- I' || k || ': bateig ' || CASE WHEN k % 5 <> 0 THEN CAST(1700 + k % 9 AS STRING) ELSE '?' END || ', ' || CASE k % 3 WHEN 0 THEN 'agres' WHEN 1 THEN 'ibi' ELSE '?' END || CASE WHEN k % 2 = 1 THEN ': none' ELSE '' END FROM c
+UNION ALL SELECT 'verification', 3, '| agres | bateig | 1600-1650, 1700-1750 |')
+SELECT report, section, line, count(*) AS n FROM u GROUP BY 1, 2, 3"""
+
+QUERIES = {f.__name__: f for f in (q71_reports, q54_fiche, q55_persons, q56_catalogue, q57_candidates, q58_snapshot, q59_headings, q60_note_rules, q61_note_counters, q62_documents, q63_scalars, q64_parish, q65_render, q66_proposals, q67_imports, q68_checks, q69_reports)}
+SQL = {"q71_reports": Q71, "q54_fiche": Q54, "q55_persons": Q55, "q56_catalogue": Q56, "q57_candidates": Q57, "q58_snapshot": Q58, "q59_headings": Q59, "q60_note_rules": Q60, "q61_note_counters": Q61, "q62_documents": Q62, "q63_scalars": Q63, "q64_parish": Q64, "q65_render": Q65, "q66_proposals": Q66, "q67_imports": Q67, "q68_checks": Q68, "q69_reports": Q69}

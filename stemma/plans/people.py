@@ -109,13 +109,30 @@ SELECT l_id, r_id, CAST(part_pos AS INT) AS part_pos, round(
 FROM c JOIN p l ON l.id = l_id JOIN p r ON r.id = r_id"""
 
 
+
+
 Q34 = Q04.replace(" AND l.p_brand = r.p_brand AND l.p_type = r.p_type", "")
 
 
 def q05_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one assignment of the pairs of q34, with buckets. Iterative, so there is no SQL twin."""
+    """One-to-one assignment of the pairs of q34, with buckets. The SQL twin is the serial procedure, left by left."""
     left, _ = _halves(spark, sf_dir)
-    return resolve.assign(left.select(F.col("id").alias("l_id"), F.col("ord").alias("l_ord")), _pairs(spark, sf_dir))
+    return resolve.assign(left.select(F.col("id").alias("l_id"), F.col("ord").alias("l_ord")), cut(_pairs(spark, sf_dir)))
+
+
+Q05 = f"""
+WITH RECURSIVE pairs AS ({Q34}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY total DESC, part_pos, r_id) AS nth FROM pairs),
+l AS (SELECT p_partkey AS l_id, r_id AS top, total AS top_total, row_number() OVER (ORDER BY coalesce(total, 0) DESC, p_partkey) AS i FROM part LEFT JOIN ranked ON l_id = p_partkey AND nth = 1 WHERE p_partkey % 2 = 0),
+cand AS (SELECT i, coalesce(list(r_id ORDER BY nth) FILTER (WHERE total >= {resolve.REVIEW}), []) AS rs FROM l LEFT JOIN ranked USING (l_id) GROUP BY i),
+s(i, taken, got) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT UNION ALL
+  SELECT i, CASE WHEN g IS NULL THEN taken ELSE list_append(taken, g) END, g FROM (SELECT c.i, s.taken, list_filter(c.rs, lambda x: NOT list_contains(s.taken, x))[1] AS g FROM s JOIN cand c ON c.i = s.i + 1)),
+held AS (SELECT got AS r_id, i AS hi, l_id AS holder FROM s JOIN l USING (i) WHERE got IS NOT NULL),
+free AS (SELECT ranked.l_id, ranked.r_id, ranked.total, row_number() OVER (PARTITION BY ranked.l_id ORDER BY nth) AS k FROM ranked JOIN l ON l.l_id = ranked.l_id LEFT JOIN held ON held.r_id = ranked.r_id WHERE hi IS NULL OR hi >= l.i),
+two AS (SELECT l_id, max(r_id) FILTER (WHERE k = 1) AS b, max(total) FILTER (WHERE k = 1) AS bt, max(total) FILTER (WHERE k = 2) AS rt FROM free GROUP BY 1)
+SELECT l.l_id, top, coalesce(b, top) AS best, coalesce(bt, top_total) AS best_total, rt AS runner_total, round(bt - coalesce(rt, 0), 2) AS gap, CASE WHEN b IS NULL OR b <> top THEN holder END AS lost_to,
+  CASE WHEN bt >= {resolve.CONFIDENT} AND round(bt - coalesce(rt, 0), 9) >= {resolve.GAP} THEN 'confident' WHEN bt >= {resolve.REVIEW} THEN 'review' ELSE 'unmatched' END AS bucket
+FROM l LEFT JOIN two USING (l_id) LEFT JOIN held ON held.r_id = top"""
 
 
 def q34_pair_score_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,4 +218,4 @@ SELECT root, person, step FROM s"""
 
 
 QUERIES = {f.__name__: f for f in (q01_ranked_frontier, q02_fold_tokens, q03_year_extract, q04_pair_score, q05_assignment, q34_pair_score_words, q06_sosa_generations, q07_implex, q08_upstream_closure, q09_levels, q10_spine)}
-SQL = {"q01_ranked_frontier": Q01, "q02_fold_tokens": Q02, "q03_year_extract": Q03, "q04_pair_score": Q04, "q34_pair_score_words": Q34, "q06_sosa_generations": Q06, "q07_implex": Q07, "q08_upstream_closure": Q08, "q09_levels": Q09, "q10_spine": Q10}
+SQL = {"q05_assignment": Q05, "q01_ranked_frontier": Q01, "q02_fold_tokens": Q02, "q03_year_extract": Q03, "q04_pair_score": Q04, "q34_pair_score_words": Q34, "q06_sosa_generations": Q06, "q07_implex": Q07, "q08_upstream_closure": Q08, "q09_levels": Q09, "q10_spine": Q10}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions import fiche
-from stemma.operators import edit, graph, proposals, settings, sinks
+from stemma.operators import edit, graph, proposals, reports, settings, sinks
 from stemma.sources import notes
 
 
@@ -106,3 +106,19 @@ def test_edits_before_exact_lines(spark):
         edit.exact_inserts(lines, block.withColumn("find", F.lit("1 SEX F")))
     again = edit.reread(lines, lines.where("idx < 2")).first()
     assert (again.lines, again.read_again, again.same) == (3, 2, False)
+
+
+def test_reports_stand_in_order(spark):
+    e = spark.createDataFrame([("n", "I2", "B", "stuck", 5.0), ("n", "I1", "A", "unknown", 9.0), ("s", "I3", "C", "stuck", 1.0), ("x", "I4", "D", "unlinked", 2.0), ("n", "I5", "E", "ready", 99.0)], "region string, xref string, name string, status string, score double")
+    e = e.withColumns({"birth": F.lit(None).cast("string"), "town": F.lit("T"), "documents": F.array(F.lit("d")), "links": F.array().cast("array<string>")})
+    guides = spark.createDataFrame([("s", 0, "South", ["go"]), ("n", 1, "North", [])], "region string, ord int, title string, links array<string>")
+    lines = [x for x in reports.text_of(reports.worklist_report(e, guides)).split("\n") if x.startswith(("#", "- Start"))]
+    assert lines == ["# Work by archive", "## South (1)", "- Start: go", "### C I3", "## North (2)", "### A I1", "### B I2", "## x (1)", "### D I4"]
+
+
+def test_scans_are_spread(spark, data):
+    from stemma.session import spread, table
+
+    one = table(spark, data, "documents")
+    assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(one.repartition(3)).rdd.getNumPartitions() == 3

@@ -44,20 +44,23 @@ def assign(left: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``left (l_id, l_ord)``; ``pairs (l_id, r_id, total, part_pos, r_ord)``. Serial choice equals deferred
     acceptance when all rights rank lefts alike, and that runs in rounds: every left proposes to the best right
-    that has not turned it down, each right keeps the best proposer.
+    that has not turned it down, each right keeps the best proposer and turns down all lefts that rank behind it.
     Result: ``l_id, top, best, best_total, runner_total, gap, lost_to, bucket``.
     """
     top = pairs.groupBy("l_id").agg(F.max("total").alias("top_total"), F.min_by("r_id", F.struct((-F.col("total")).alias("t"), "part_pos", "r_ord")).alias("top"))
     order = left.join(top, "l_id", "left").select("l_id", "top", F.coalesce("top_total", F.lit(0.0)).alias("top_total"), "l_ord")
     rank = F.struct((-F.col("top_total")).alias("a"), F.col("l_ord").alias("b"))
     edges = cut(pairs.where(F.col("total") >= REVIEW).join(order.select("l_id", rank.alias("rank")), "l_id"))
+    size = edges.count()
     while True:
         ask = edges.groupBy("l_id").agg(F.min_by(F.struct("r_id", "rank"), F.struct((-F.col("total")).alias("t"), "part_pos", "r_ord")).alias("x")).select("l_id", "x.*")
-        held = ask.groupBy("r_id").agg(F.min_by("l_id", "rank").alias("holder"))
-        refused = ask.join(held, "r_id").where("l_id <> holder").select("l_id", "r_id")
-        if refused.isEmpty():
+        held = ask.groupBy("r_id").agg(F.min_by("l_id", "rank").alias("holder"), F.min("rank").alias("held_by"))
+        # A right's holder only gets better, so it turns down all that rank behind, also those that have not asked yet.
+        edges = cut(edges.join(held.select("r_id", "held_by"), "r_id", "left").where(F.col("held_by").isNull() | (F.col("rank") <= F.col("held_by"))).drop("held_by"))
+        before, size = size, edges.count()
+        if size == before:
             break
-        edges = cut(edges.join(refused, ["l_id", "r_id"], "left_anti"))
+    held = held.drop("held_by")
     held = cut(held.join(order.select(F.col("l_id").alias("holder"), rank.alias("holder_rank")), "holder"))
     all_ = pairs.join(order.select("l_id", rank.alias("rank")), "l_id").join(held, "r_id", "left")
     free = all_.where(F.col("holder").isNull() | (F.col("holder") == F.col("l_id")) | (F.col("holder_rank") > F.col("rank")))

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio_bound, sequence_ratio
-from ..session import importable
+from ..session import cut, importable
 
 #: Fixed value: least similarity of two tokens.
 SIMILAR = 0.85
 
 
 def similar_tokens(left: DataFrame, right: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``l, r``: pairs of distinct tokens whose ratio reaches ``least``.
+    """``l, r``: pairs of distinct tokens (three letters and more) whose ratio reaches ``least``.
 
-    A ratio this high needs a long common block, so similar tokens share an n-gram: with ``least`` 0.85 and
-    lengths of three or more, at least one common pair of letters. Pairs meet through shared pairs of letters,
-    are cut by the length bound, and only then compared.
+    A ratio this high needs many pairs of letters in common: the blocks that match hold at least
+    ``least / 2`` of all letters, and there is one block more at most than letters that don't match. So a token of
+    ``n`` pairs shares at least ``need`` of them, and one of its ``n - need + 1`` rarest. Tokens meet through those
+    (repeats of a pair numbered), so common pairs join little; the length bound cuts further, and only then are
+    tokens compared.
     """
     importable(left.sparkSession)
-
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        t = df.select(F.col("token").alias(name)).where(F.length("token") > 2).distinct()
-        return t.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(F.col(name), i, F.lit(2))))).alias("g"))
-
-    pairs = grams(left, "l").join(grams(right, "r"), "g").where(ratio_bound(F.col("l"), F.col("r")) >= least).select("l", "r").distinct()
-    return pairs.where((F.col("l") == F.col("r")) | (sequence_ratio(F.col("l"), F.col("r")) >= least))
+    size, i = F.length("token"), F.col("i")
+    either = left.select("token").unionByName(right.select("token")).where(F.length("token") > 2).distinct()
+    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.substring(F.col("token"), k, F.lit(2)))
+    each = either.select("token", size.alias("n"), F.posexplode(pairs).alias("i", "g"))
+    each = each.select("token", "n", "g", F.row_number().over(Window.partitionBy("token", "g").orderBy(i)).alias("turn"))
+    often = each.groupBy("g", "turn").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("often", "g", "turn"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * (2 * (1.5 * least - 1) / (2 - least)) - 1 - 1e-9))
+    kept = cut(each.join(often, ["g", "turn"]).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need).select("token", "g", "turn"))
+    a = kept.join(left.select("token").distinct(), "token", "left_semi").select(F.col("token").alias("l"), "g", "turn")
+    b = kept.join(right.select("token").distinct(), "token", "left_semi").select(F.col("token").alias("r"), "g", "turn")
+    met = a.join(b, ["g", "turn"]).where(ratio_bound(F.col("l"), F.col("r")) >= least).select("l", "r").distinct()
+    return met.where((F.col("l") == F.col("r")) | (sequence_ratio(F.col("l"), F.col("r")) >= least))
 
 
 def fuzzy(people: DataFrame, documents: DataFrame, least: float = SIMILAR) -> DataFrame:

@@ -122,3 +122,26 @@ def test_scans_are_spread(spark, data):
     one = table(spark, data, "documents")
     assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(one.repartition(3)).rdd.getNumPartitions() == 3
+
+
+@pytest.mark.parametrize("least", [0.85, 0.7])
+def test_similar_tokens_lose_no_pair(spark, least):
+    import random
+    from difflib import SequenceMatcher
+
+    from stemma.operators import link
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 12))) for _ in range(60)]
+    changed = []
+    for w in base:
+        w = list(w)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice("abcd")
+        changed.append("".join(w))
+    tokens = sorted({w for w in base + changed if len(w) > 2})
+    left, right = tokens[::2] + tokens[:10], tokens[1::2] + tokens[:20]
+    want = {(x, y) for x in left for y in right if SequenceMatcher(None, x, y).ratio() >= least}
+    got = {(r.l, r.r) for r in link.similar_tokens(spark.createDataFrame([(x,) for x in left], "token string"), spark.createDataFrame([(x,) for x in right], "token string"), least).collect()}
+    assert got == want and len(want) > 30

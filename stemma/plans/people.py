@@ -165,15 +165,15 @@ def _everybody(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q07_implex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots, distinct people and implex above supplier 1, as many generations as reach all suppliers and one more."""
+    """Slots, distinct people and implex above every supplier, one generation more than their number has bits."""
     edges, m = _loops(spark, sf_dir)
-    return graph.implex(graph.ancestor_slots(edges.select("child", "parent"), _everybody(spark, sf_dir).where("person = 1"), m.bit_length() + 2))
+    return graph.implex(graph.ancestor_slots(edges.select("child", "parent"), _everybody(spark, sf_dir), m.bit_length() + 1))
 
 
 _EDGES = "m AS (SELECT greatest(count(*), 1) AS m FROM supplier), e AS (SELECT DISTINCT s_suppkey AS child, p AS parent FROM (SELECT s_suppkey, unnest([(s_suppkey * 2) % m, (s_suppkey * 2 + 1) % m]) AS p FROM supplier, m) WHERE p IN (SELECT s_suppkey FROM supplier))"
 _DEPTH = "(SELECT floor(log2(m)) + 1 FROM m)"
 Q07 = f"""
-WITH RECURSIVE {_EDGES}, s(person, gen) AS (SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey = 1 UNION ALL SELECT parent, gen + 1 FROM s JOIN e ON child = person WHERE gen < {_DEPTH} + 2)
+WITH RECURSIVE {_EDGES}, s(person, gen) AS (SELECT s_suppkey, 1 FROM supplier UNION ALL SELECT parent, gen + 1 FROM s JOIN e ON child = person WHERE gen < {_DEPTH} + 1)
 SELECT count(*) AS slots, count(DISTINCT person) AS people, count(*) - count(DISTINCT person) AS implex FROM s"""
 
 

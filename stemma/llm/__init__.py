@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that holds it.
 MODULES = {
     "op10_lm_scores": "op10_lm",
+    "op11_benchmark_decontamination": "op11_benchmark",
+    "op12_filter_audit": "op12_audit",
+    "op13_centroid_clustering": "op13_centroids",
     "op1_suffix_dedup": "op01_suffix",
     "op2_mix_sources": "op02_mix",
     "op3_bpe_encode": "op03_bpe",

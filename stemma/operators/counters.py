@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order as ordered
+
 
 def summary(people: DataFrame, by: str) -> DataFrame:
     """Rows, distinct external ids, open ends, and the years spanned by births and deaths, (0, 0) if none."""
@@ -17,8 +19,8 @@ def bucket_counts(rows: DataFrame, by: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Adds ``n``, the place of a row in its group, from one."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    """Adds ``n``, the place of a row in its group, from one; a group may be as large as the table."""
+    return ordered.numbered(rows, [by], [order], "n")
 
 
 def notes_by_folder(notes: DataFrame) -> DataFrame:

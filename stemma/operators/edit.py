@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dense, numbered
+
 
 class Refused(ValueError):
     """An edit that a guard does not allow."""
@@ -46,8 +48,7 @@ def splice(lines: DataFrame, inserts: DataFrame) -> DataFrame:
     """Lines with inserts (``path, at, seq, raw``) before line ``at``, in order of ``seq``; all numbered anew."""
     old = lines.select("path", F.col("idx").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("seq"), "raw")
     new = inserts.select("path", "at", F.lit(0).alias("kind"), "seq", "raw")
-    order = Window.partitionBy("path").orderBy("at", "kind", "seq")
-    return old.unionByName(new).select("path", (F.row_number().over(order) - 1).alias("idx"), "raw")
+    return numbered(old.unionByName(new), ["path"], ["at", "kind", "seq"], "idx", 0).select("path", "idx", "raw")
 
 
 def patch(lines: DataFrame, replace: DataFrame, insert: DataFrame, delete: DataFrame) -> DataFrame:
@@ -89,15 +90,15 @@ def before_stamp(lines: DataFrame, additions: DataFrame) -> DataFrame:
 
 def reread(written: DataFrame, read: DataFrame) -> DataFrame:
     """``path, lines, read_again, same``: what was written beside what is read again."""
-    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name), F.sum(F.xxhash64("idx", "raw").cast("decimal(20,0)")).alias(f"{name}_sum"))
+    count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name), F.sum(F.xxhash64(F.col("idx").cast("long"), "raw").cast("decimal(20,0)")).alias(f"{name}_sum"))
     both = count(written, "lines").join(count(read, "read_again"), "path", "full_outer")
     same = (F.col("lines") == F.col("read_again")) & (F.col("lines_sum") == F.col("read_again_sum"))
     return both.select("path", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("read_again", F.lit(0)).alias("read_again"), F.coalesce(same, F.lit(False)).alias("same"))
 
 
 def deletable(lines: DataFrame, block: DataFrame) -> DataFrame:
-    """A block (``path, idx``) that may be deleted: no record line, no change stamp, and no deeper line left behind."""
-    order = Window.partitionBy("path").orderBy("idx")
+    """A block (``path, idx``), one a file, that may be deleted: no record line, no change stamp, and no deeper line left behind."""
+    order = Window.partitionBy("path", "rec_id").orderBy("idx")
     stamped = F.max(F.when(F.col("level") == 1, F.struct("idx", "tag"))).over(order)["tag"]
     seen = lines.withColumn("next_level", F.lead("level").over(order)).withColumn("stamped", stamped == "CHAN")
     mine = seen.join(block, ["path", "idx"], "left_semi")
@@ -126,5 +127,5 @@ def upsert(wanted: DataFrame, existing: DataFrame, first: int, prefix: str) -> D
     """Adds ``xref`` to ``wanted (key, ord)``: that of the existing row with the key, else new ids in order from ``first``."""
     joined = wanted.join(existing.select("key", F.col("xref").alias("old")), "key", "left")
     new = joined.where("old IS NULL").groupBy("key").agg(F.min("ord").alias("ord"))
-    ids = new.withColumn("made", F.concat(F.lit(prefix), F.format_string("%05d", F.row_number().over(Window.orderBy("ord", "key")) + (first - 1))))
+    ids = dense(new, ["ord", "key"], "made", first).withColumn("made", F.concat(F.lit(prefix), F.format_string("%05d", "made")))
     return joined.join(ids.select("key", "made"), "key", "left").withColumn("xref", F.coalesce("old", "made")).drop("old", "made")

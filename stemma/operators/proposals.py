@@ -12,6 +12,7 @@ from ..session import cut
 from .classify import confidence
 from .edit import upsert
 from .graph import levels, reach
+from .order import dense
 
 RECORD = "entries array<struct<title:string,id:string,content:struct<gedcomx:struct<persons:array<struct<principal:boolean,display:struct<name:string,birthDate:string,birthPlace:string>>>>>>>"
 
@@ -73,13 +74,13 @@ def branch_imports(start: DataFrame, edges: DataFrame, known: DataFrame, depth:
         if up.isEmpty():
             break
         new = up.select(F.col("parent").alias("pid")).distinct().join(have.select("pid"), "pid", "left_anti")
-        new = cut(new.withColumn("xref", F.concat(F.lit("I"), F.format_string("%05d", F.row_number().over(Window.orderBy("pid")) + (first_person - 1)))))
+        new = cut(dense(new, ["pid"], "xref", first_person).withColumn("xref", F.concat(F.lit("I"), F.format_string("%05d", "xref"))))
         first_person += new.count()
         have = cut(have.unionByName(new))
         place = F.when(F.col("sex") == "F", "F").otherwise("M")
         named = up.withColumn("place", place).join(have.select(F.col("pid").alias("parent"), F.col("xref").alias("p")), "parent")
         fam = named.groupBy("pid").agg(F.max(F.when(F.col("place") == "M", F.col("p"))).alias("husband"), F.max(F.when(F.col("place") == "F", F.col("p"))).alias("wife")).join(have.select("pid", F.col("xref").alias("child")), "pid")
-        fam = cut(fam.withColumn("family", F.concat(F.lit("F"), F.format_string("%05d", F.row_number().over(Window.orderBy("child")) + (first_family - 1)))).select("family", "husband", "wife", "child"))
+        fam = cut(dense(fam, ["child"], "family", first_family).withColumn("family", F.concat(F.lit("F"), F.format_string("%05d", "family"))).select("family", "husband", "wife", "child"))
         first_family += fam.count()
         people.append(new)
         families.append(fam)
@@ -117,7 +118,7 @@ def imports(people: DataFrame, accepted: DataFrame, first_person: int, first_fam
     joined = accepted.join(child, "target", "left")
     skipped = joined.where("known IS NULL OR has IS NOT NULL").select("target", F.when(F.col("known").isNull(), "no_record").otherwise("has_parents").alias("why"))
     fine = joined.where("known AND has IS NULL").select("ord", "target", "parents")
-    fam = fine.withColumn("family", F.concat(F.lit("F"), F.format_string("%05d", F.row_number().over(Window.orderBy("ord", "target")) + (first_family - 1))))
+    fam = dense(fine, ["ord", "target"], "family", first_family).withColumn("family", F.concat(F.lit("F"), F.format_string("%05d", "family")))
     blocks = fam.select("ord", "target", "family", F.posexplode("parents").alias("pos", "p")).select("ord", "target", "family", "pos", "p.*")
     blocks = blocks.withColumnRenamed("ord", "o").withColumn("key", F.coalesce(F.nullif("fsftid", F.lit("")), F.concat("target", F.lit("#"), "pos"))).withColumn("ord", F.col("o") * 1000 + F.col("pos"))
     named = upsert(blocks, people.where("fsftid IS NOT NULL").select(F.col("fsftid").alias("key"), "xref"), first_person, "I")

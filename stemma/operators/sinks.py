@@ -1,6 +1,6 @@
 """Writers of small results: guarded reports, manifests, proposals, snapshots, line files with a dated copy.
 
-They run in the driver on what a report holds; large tables are written with Spark's own writers.
+Reports are written by the driver, which refuses more rows than a report holds; line files are written by tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from ..sources import gedcom, linefiles
+from . import edit
 from .edit import Refused
 
 #: Rows that a report may hold; more belong in a table.
@@ -81,11 +84,42 @@ def dated_copy(path: str | Path, now: datetime | None = None) -> Path:
     return target
 
 
-def write_lines(rendered: DataFrame, meta: DataFrame, path: str | Path) -> None:
-    """One line file with its byte-order mark, line ends and last line end as they were."""
-    text, m = rendered.first().text, meta.first()
-    body = text.replace("\n", m.newline) if m.newline != "\n" and m.newline not in text else text
-    Path(path).write_bytes((b"\xef\xbb\xbf" if m.has_bom else b"") + body.encode() + (m.newline.encode() if m.trailing_newline else b""))
+def staged_lines(lines: DataFrame, meta: DataFrame, folder: str) -> tuple[str, DataFrame]:
+    """Write line files (``path, idx, raw``, numbered from 0) in a new folder below ``folder``, to be checked before they are used.
+
+    The staged folder, and ``path, idx, raw`` as read again from it.
+    """
+    root = linefiles.stage(lines, meta, folder)
+    return root, linefiles.named(gedcom.raw_lines(lines.sparkSession, linefiles.staged_files(root)))
+
+
+def checked(lines: DataFrame, meta: DataFrame, root: str) -> DataFrame:
+    """``path, lines, read_again, same`` of a staged write; one that does not give back its lines, marks and newlines is removed and refused."""
+    spark = lines.sparkSession
+    files = linefiles.staged_files(root)
+    report = cut(edit.reread(lines, linefiles.named(gedcom.raw_lines(spark, files))))
+    told = linefiles.named(gedcom.file_meta(spark, files)).select("path", F.struct("has_bom", "newline", "trailing_newline").alias("found"))
+    shape = F.struct(F.coalesce("has_bom", F.lit(False)).alias("has_bom"), F.coalesce("newline", F.lit("\n")).alias("newline"), F.coalesce("trailing_newline", F.lit(True)).alias("trailing_newline"))
+    # A file of one line without an end does not show its kind of newline.
+    other = lines.groupBy("path").agg(F.count("*").alias("n")).join(meta, "path", "left").select("path", "n", shape.alias("wanted")).join(told, "path", "left")
+    other = other.where(F.col("found").isNull() | (F.col("found.has_bom") != F.col("wanted.has_bom")) | (F.col("found.trailing_newline") != F.col("wanted.trailing_newline")) | ((F.col("found.newline") != F.col("wanted.newline")) & ((F.col("n") > 1) | F.col("wanted.trailing_newline"))))
+    if not report.where("NOT same").isEmpty() or not other.isEmpty():
+        linefiles.discard(root)
+        raise Refused("what was read again is not what was written")
+    return report
+
+
+def write_lines(lines: DataFrame, meta: DataFrame, folder: str, keep: str | None = None) -> DataFrame:
+    """Line files into ``folder``: staged beside it, read again and compared, then moved into place; ``name, kept``.
+
+    Marks, newlines and last newlines are as ``meta`` says. With ``keep`` a file that is replaced stays under its name
+    with that behind it. Refused writes change nothing.
+    """
+    root = linefiles.stage(lines, meta, folder)
+    checked(lines, meta, root)
+    done = linefiles.publish(lines.sparkSession, root, folder, keep)
+    linefiles.discard(root)
+    return done
 
 
 def flattened_places(lines: DataFrame, form: str = "Aldea, Ciutat, Codi Postal, Comtat, Estat, País") -> DataFrame:

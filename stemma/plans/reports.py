@@ -65,7 +65,7 @@ def q27_hierarchy_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     level = F.when(F.col("turn") == 0, 0).when(F.col("role") == "user", 1).otherwise(2)
     lines = c.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("idx"), level.alias("level"), F.upper("role").alias("tag"), F.length("text").cast("string").alias("value"))
-    full = gedcom.with_parents(gedcom.with_records(lines))
+    full = gedcom.nested(lines)
     kept, _ = gedcom.without_repeated_tag(full, "ASSISTANT")
     last = kept.where("tag = 'ASSISTANT'").select("path", F.col("idx").alias("last_answer"))
     first = full.groupBy("path").agg(F.count("*").alias("n_lines"), F.max("rec_id").alias("n_records"), F.sum(F.coalesce("parent_idx", F.lit(-1))).alias("parents"), F.min_by("value", F.when(F.col("tag") == "USER", F.col("idx"))).alias("first_user"))

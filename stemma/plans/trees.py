@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.places import place_components
-from ..operators import counters, edit, graph, places, rank, resolve
-from ..session import cut, table
+from ..operators import counters, edit, graph, places, rank, resolve, sinks
+from ..operators.order import numbered
+from ..session import cut, shared_folder, table
 from ..sources import gedcom
 
 
@@ -68,7 +69,8 @@ FAMILY = [
     *[(6 + i, f"CASE WHEN 4 * k + {i} <= last THEN '1 CHIL @' || {_id('I', f'(4 * k + {i})')} || '@' END") for i in range(4)],
 ]
 SHIFT = 64  # places of a record; families come behind all people of a file
-FILES = 16
+#: Files hold the records of so many families (as a power of two), so their number grows with the table.
+FAMILIES = 3
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +84,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select("k", F.expr(path).alias("path"), F.explode(each).alias("x")).where("x.raw IS NOT NULL").select("path", (F.col("k") * SHIFT + F.col("x.j") + base).alias("idx"), F.col("x.raw").alias("raw"))
 
     families = c.where("k >= 4").select(F.expr("k >> 2").alias("k"), "last").distinct()
-    return made(c, PERSON, f"'p' || CAST((k >> 2) % {FILES} AS STRING)", 0).unionByName(made(families, FAMILY, f"'p' || CAST(k % {FILES} AS STRING)", SHIFT * (last + 1)))
+    return made(c, PERSON, f"'p' || CAST(k >> {FAMILIES + 2} AS STRING)", 0).unionByName(made(families, FAMILY, f"'p' || CAST(k >> {FAMILIES} AS STRING)", SHIFT * (last + 1)))
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with all that operators need, written once: several read them."""
-    return cut(gedcom.with_parents(gedcom.with_records(gedcom.tokenise(_lines(spark, sf_dir)))))
+    return cut(gedcom.nested(gedcom.tokenise(_lines(spark, sf_dir))))
 
 
 def _spec(spec: list[tuple[int, str]]) -> str:
@@ -96,8 +98,8 @@ def _spec(spec: list[tuple[int, str]]) -> str:
 
 _C = "c AS (SELECT c_custkey::BIGINT AS k, (SELECT max(c_custkey) FROM customer)::BIGINT AS last FROM customer), f AS (SELECT DISTINCT k >> 2 AS k, last FROM c WHERE k >= 4)"
 _L = f"""{_C},
-l0 AS (SELECT 'p' || CAST((k >> 2) % {FILES} AS STRING) AS path, k, {SHIFT} * k AS base, 'I' AS kind, unnest({_spec(PERSON)}) AS x FROM c
-  UNION ALL SELECT 'p' || CAST(k % {FILES} AS STRING), k, {SHIFT} * (last + 1) + {SHIFT} * k, 'F', unnest({_spec(FAMILY)}) FROM f),
+l0 AS (SELECT 'p' || CAST(k >> {FAMILIES + 2} AS STRING) AS path, k, {SHIFT} * k AS base, 'I' AS kind, unnest({_spec(PERSON)}) AS x FROM c
+  UNION ALL SELECT 'p' || CAST(k >> {FAMILIES} AS STRING), k, {SHIFT} * (last + 1) + {SHIFT} * k, 'F', unnest({_spec(FAMILY)}) FROM f),
 l AS (SELECT path, k, kind, base, base + x.j AS idx, x.j AS j, x.raw AS raw FROM l0 WHERE x.raw IS NOT NULL)"""
 
 
@@ -187,20 +189,38 @@ SELECT p.xref, coalesce(concat_ws(',', a.husband, a.wife), '') AS parents, CASE
 FROM p LEFT JOIN h a ON p.k >= 4 AND a.k = p.k >> 2 LEFT JOIN h b ON b.k = p.k >> 1 LEFT JOIN d ON d.k = b.k"""
 
 
+#: A file's content as one number, whatever order its lines are read in: they carry their numbers.
+_DIGEST = "sum(CAST(conv(substring(md5(concat(CAST(idx AS STRING), ' ', raw)), 1, 8), 16, 10) AS BIGINT))"
+_DIGEST_SQL = "sum(CAST('0x' || substr(md5(idx || ' ' || raw), 1, 8) AS BIGINT))::BIGINT"
+#: What the files of the plans have besides their lines.
+_META = "SELECT path, n % 2 = 0 AS has_bom, CASE WHEN n % 3 = 0 THEN '\\r\\n' ELSE '\\n' END AS newline, n % 5 <> 0 AS trailing_newline FROM (SELECT path, CAST(substring(path, 2) AS BIGINT) AS n FROM {paths})"
+
+
+def _written(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a write of the lines gives that was read again and compared, and the lines as read."""
+    spark = lines.sparkSession
+    meta = cut(spark.sql(_META, paths=lines.select("path").distinct()))
+    root, read = sinks.staged_lines(lines, meta, shared_folder(spark))
+    return sinks.checked(lines, meta, root), read
+
+
 def q44_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files written again: as they are, and with only the last label of each record; hashes, lengths, lines dropped."""
+    """Files written, read again and compared: as they are, and with only the last label of each record; digests of what was read, lines dropped."""
     lines = _loaded(spark, sf_dir)
     kept, dropped = gedcom.without_repeated_tag(lines)
-    whole, less = gedcom.rendered(lines), gedcom.rendered(kept).withColumnRenamed("text", "less")
+    whole, less = (cut(numbered(x.select("path", "idx", "raw"), ["path"], ["idx"], "nth", 0).select("path", F.col("nth").alias("idx"), "raw")) for x in (lines, kept))
+    report, read = _written(whole)
+    short, read_less = _written(less)
     gone = dropped.groupBy("path").agg(F.count("*").alias("dropped"))
-    out = whole.join(less, "path").join(gone, "path", "left")
-    return out.select("path", F.md5("text").alias("md5"), F.length("text").cast("long").alias("letters"), F.md5("less").alias("md5_less"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+    sums, sums_less = read.groupBy("path").agg(F.expr(_DIGEST).alias("digest")), read_less.groupBy("path").agg(F.expr(_DIGEST).alias("digest_less"))
+    out = report.join(sums, "path").join(short.select("path", F.col("same").alias("same_less")), "path").join(sums_less, "path").join(gone, "path", "left")
+    return out.select("path", "lines", "read_again", "same", "digest", "same_less", "digest_less", F.coalesce("dropped", F.lit(0)).alias("dropped"))
 
 
 Q44 = f"""
-WITH {_L}
-SELECT path, md5(string_agg(raw, chr(10) ORDER BY idx)) AS md5, length(string_agg(raw, chr(10) ORDER BY idx))::BIGINT AS letters,
-  md5(string_agg(raw, chr(10) ORDER BY idx) FILTER (WHERE NOT (kind = 'I' AND j = 21))) AS md5_less, count(*) FILTER (WHERE kind = 'I' AND j = 21) AS dropped FROM l GROUP BY path"""
+WITH {_L}, w AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY idx) - 1 AS idx, raw FROM l), s AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY idx) - 1 AS idx, raw FROM l WHERE NOT (kind = 'I' AND j = 21)),
+x AS (SELECT path, count(*) AS lines, {_DIGEST_SQL} AS digest FROM w GROUP BY path), y AS (SELECT path, count(*) AS n, {_DIGEST_SQL} AS digest_less FROM s GROUP BY path)
+SELECT path, lines, lines AS read_again, true AS same, digest, true AS same_less, digest_less, lines - n AS dropped FROM x JOIN y USING (path)"""
 
 
 def q45_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,45 +255,47 @@ def q46_place_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The first place with coordinates is that of the smallest key of the first file, by name, that has one.
 Q46 = f"""
-WITH {_C}, b AS (SELECT k, 'p' || ((k >> 2) % {FILES}) AS path FROM c WHERE k % 4 = 0 AND k % 6 = 0), g AS (SELECT k % 7 AS w FROM b ORDER BY path, k LIMIT 1)
+WITH {_C}, b AS (SELECT k, 'p' || (k >> {FAMILIES + 2}) AS path FROM c WHERE k % 4 = 0 AND k % 6 = 0), g AS (SELECT k % 7 AS w FROM b ORDER BY path, k LIMIT 1)
 SELECT c_custkey, c_custkey % 5 NOT IN (2, 3) AS known, CASE c_custkey % 5
   WHEN 0 THEN '2 PLAC Ontinyent, Valencia, España|3 MAP|4 LATI N38.8|4 LONG W' || (SELECT w FROM g) WHEN 1 THEN '2 PLAC Agres'
   WHEN 2 THEN '2 PLAC , Nowhere, , , , España' WHEN 3 THEN '' ELSE '2 PLAC Vila-Sacra, Girona, Catalunya' END AS lines FROM customer"""
 
 
 def q47_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records touched by an edit get a line before their change stamp, or at their end, and a new stamp; nothing goes."""
+    """Records touched by an edit get a line before their change stamp, or at their end, and a new stamp; nothing goes, and the files are read again."""
     lines = _loaded(spark, sf_dir)
     touched = lines.where("level = 0 AND tag = 'INDI' AND cast(substr(xref, 2) AS long) % 3 = 0").select("path", "rec_id")
     stamped = edit.stamp(lines, touched, "5 MAY 2024", "09:00:00")
     after = edit.splice(stamped, edit.before_stamp(lines, touched.withColumn("raw", F.lit("1 NOTE touched")).withColumn("seq", F.lit(0))))
     edit.only_adds(stamped, after)
-    return edit.reread(after, after).join(after.groupBy("path").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda x: x["raw"]), "\n")).alias("md5")), "path")
+    report, read = _written(cut(after))
+    return report.join(read.groupBy("path").agg(F.expr(_DIGEST).alias("digest")), "path")
 
 
 Q47 = f"""
 WITH {_L}, s AS (SELECT path, kind, k, base, idx, CASE WHEN kind = 'I' AND k % 3 = 0 AND j = 27 THEN '2 DATE 5 MAY 2024' WHEN kind = 'I' AND k % 3 = 0 AND j = 28 THEN '3 TIME 09:00:00' ELSE raw END AS raw, 1 AS o FROM l),
 e AS (SELECT path, kind, k, base, coalesce(min(CASE WHEN j = 26 THEN idx END), max(idx) + 1) AS idx, '1 NOTE touched' AS raw, 0 AS o FROM l WHERE kind = 'I' AND k % 3 = 0 GROUP BY path, kind, k, base),
-u AS (SELECT path, idx, o, raw FROM s UNION ALL SELECT path, idx, o, raw FROM e)
-SELECT path, count(*) AS lines, count(*) AS read_again, true AS same, md5(string_agg(raw, chr(10) ORDER BY idx, o)) AS md5 FROM u GROUP BY path"""
+u AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY idx, o) - 1 AS idx, raw FROM (SELECT path, idx, o, raw FROM s UNION ALL SELECT path, idx, o, raw FROM e))
+SELECT path, count(*) AS lines, count(*) AS read_again, true AS same, {_DIGEST_SQL} AS digest FROM u GROUP BY path"""
 
 
 def q48_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places with all that hangs below them deleted, names replaced by exact line, a source put in before an exact line; one file is edited."""
-    lines = _loaded(spark, sf_dir).where("path = 'p3'")
-    place = lines.where("tag = 'PLAC' AND level = 2 AND startswith(value, 'Agres')").agg(F.min_by("path", "idx").alias("path"), F.min("idx").alias("idx")).where("path IS NOT NULL")
-    block = edit.deletable(lines, place.select("path", "idx"))
+    """In every file: the first place of a name deleted, names replaced by exact line, a source put in before an exact line."""
+    lines = _loaded(spark, sf_dir)
+    place = lines.where("tag = 'PLAC' AND level = 2 AND startswith(value, 'Agres')").groupBy("path").agg(F.min("idx").alias("idx"))
+    block = edit.deletable(lines, cut(place))
     names_ = lines.where("tag = 'NAME' AND startswith(value, 'Joan')").select("path", "rec_id", F.col("raw").alias("find"), F.replace("raw", F.lit("Joan"), F.lit("Johan")).alias("raw"))
     before = lines.where("tag = 'SEX'").select("path", "rec_id", F.col("raw").alias("find"), F.lit("1 SOUR @S9@").alias("raw"), F.lit(0).alias("seq"))
     after = edit.patch(lines.select("path", "idx", "raw"), edit.exact_lines(lines, names_), edit.exact_inserts(lines, before), block)
-    return after.agg(F.count("*").alias("n"), F.count_if(F.startswith("raw", F.lit("1 NAME Johan"))).alias("renamed"), F.count_if(F.col("raw") == "1 SOUR @S9@").alias("added"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda x: x["raw"]), "\n")).alias("md5"))
+    return after.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.startswith("raw", F.lit("1 NAME Johan"))).alias("renamed"), F.count_if(F.col("raw") == "1 SOUR @S9@").alias("added"), F.expr(_DIGEST).alias("digest"))
 
 
 Q48 = f"""
-WITH {_L}, m AS (SELECT * FROM l WHERE path = 'p3'), g AS (SELECT min(idx) AS idx FROM m WHERE raw LIKE '2 PLAC Agres%'),
-u AS (SELECT idx, 1 AS o, CASE WHEN raw LIKE '1 NAME Joan%' THEN replace(raw, 'Joan', 'Johan') ELSE raw END AS raw FROM m WHERE idx <> (SELECT idx FROM g)
-  UNION ALL SELECT idx, 0, '1 SOUR @S9@' FROM m WHERE raw LIKE '1 SEX %')
-SELECT count(*) AS n, count(*) FILTER (WHERE raw LIKE '1 NAME Johan%') AS renamed, count(*) FILTER (WHERE raw = '1 SOUR @S9@') AS added, md5(string_agg(raw, chr(10) ORDER BY idx, o)) AS md5 FROM u"""
+WITH {_L}, g AS (SELECT path, min(idx) AS idx FROM l WHERE raw LIKE '2 PLAC Agres%' GROUP BY path),
+u AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY idx, o) - 1 AS idx, raw FROM (
+  SELECT path, idx, 1 AS o, CASE WHEN raw LIKE '1 NAME Joan%' THEN replace(raw, 'Joan', 'Johan') ELSE raw END AS raw FROM l WHERE (path, idx) NOT IN (SELECT path, idx FROM g)
+  UNION ALL SELECT path, idx, 0, '1 SOUR @S9@' FROM l WHERE raw LIKE '1 SEX %'))
+SELECT path, count(*) AS n, count(*) FILTER (WHERE raw LIKE '1 NAME Johan%') AS renamed, count(*) FILTER (WHERE raw = '1 SOUR @S9@') AS added, {_DIGEST_SQL} AS digest FROM u GROUP BY path"""
 
 
 def q49_person_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,5 +407,20 @@ UNION ALL SELECT 'work ' || c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN
 UNION ALL SELECT 'list ' || c_nationkey, md5(string_agg(c_mktsegment, ',' ORDER BY c_mktsegment)), count(*) FROM customer GROUP BY c_nationkey
 UNION ALL SELECT 'oldest ' || c_nationkey, CAST(min(CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey + 1800 ELSE 9999 END) AS STRING), 1 FROM customer GROUP BY c_nationkey"""
 
-QUERIES = {f.__name__: f for f in (q40_lines, q41_people, q42_families, q43_relations, q44_rewrite, q45_records, q46_place_book, q47_stamp, q48_delete, q49_person_score, q50_foster, q51_live_tree, q52_merge, q53_upsert)}
-SQL = {"q40_lines": Q40, "q41_people": Q41, "q42_families": Q42, "q43_relations": Q43, "q44_rewrite": Q44, "q45_records": Q45, "q46_place_book": Q46, "q47_stamp": Q47, "q48_delete": Q48, "q49_person_score": Q49, "q50_foster": Q50, "q51_live_tree": Q51, "q52_merge": Q52, "q53_upsert": Q53}
+#: Orders as lines: chains of falling depth and levels that jump about, to level 45.
+_DEEP = "CASE WHEN k % 97 = 0 THEN 0 WHEN k % 31 = 5 THEN NULL WHEN (k >> 6) % 2 = 0 THEN 1 + k % 45 ELSE 1 + (7 * k + c) % 45 END"
+
+
+def q72_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and parents of lines at any depth, down to level 45; lines without a level between them."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("c"))
+    return gedcom.nested(o.select(F.expr("concat('d', cast(k >> 9 AS string))").alias("path"), F.col("k").alias("idx"), F.expr(_DEEP).cast("int").alias("level")))
+
+
+Q72 = f"""
+WITH l AS (SELECT 'd' || (o_orderkey >> 9) AS path, k AS idx, {_DEEP} AS level FROM (SELECT o_orderkey, o_orderkey::BIGINT AS k, o_custkey::BIGINT AS c FROM orders)),
+r AS (SELECT *, count(*) FILTER (WHERE level = 0) OVER (PARTITION BY path ORDER BY idx) AS rec_id FROM l)
+SELECT a.path, a.idx, CAST(a.level AS INTEGER) AS level, a.rec_id, max(b.idx) AS parent_idx FROM r a LEFT JOIN r b ON a.path = b.path AND a.rec_id = b.rec_id AND b.idx < a.idx AND b.level < a.level GROUP BY ALL"""
+
+QUERIES = {f.__name__: f for f in (q40_lines, q41_people, q42_families, q43_relations, q44_rewrite, q45_records, q46_place_book, q47_stamp, q48_delete, q49_person_score, q50_foster, q51_live_tree, q52_merge, q53_upsert, q72_nested)}
+SQL = {"q40_lines": Q40, "q41_people": Q41, "q42_families": Q42, "q43_relations": Q43, "q44_rewrite": Q44, "q45_records": Q45, "q46_place_book": Q46, "q47_stamp": Q47, "q48_delete": Q48, "q49_person_score": Q49, "q50_foster": Q50, "q51_live_tree": Q51, "q52_merge": Q52, "q53_upsert": Q53, "q72_nested": Q72}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +10,60 @@ from ..functions.dates import is_approximate, parse_year
 from ..functions.names import given_tokens, norm_surname, surname_parts
 from ..functions.places import place_key
 from ..functions.text import non_empty
+from ..operators.order import scan
+from ..session import cut
+
+
+#: Most blocks of files whose offsets are sent to every task; a block is as large as a task's share of a file.
+MOST_BLOCKS = 200_000
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file, the block of it that a task reads, and Spark's row id, which counts on inside a block."""
+    text = spark.read.text(path, lineSep="\n")
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+
+
+def _blocks(read: DataFrame) -> DataFrame:
+    """``path, block, before, least, n`` and counts of each block of each file; ``before`` are the lines of the file's earlier blocks."""
+    each = read.groupBy("path", "block").agg(
+        F.max("size").alias("size"), F.count("*").alias("n"), F.min("row").alias("least"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"),
+        F.count_if(F.endswith("value", F.lit("\r"))).alias("returns"), F.min_by(F.startswith("value", F.lit("\ufeff")), "row").alias("marked"),
+    )
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, idx, raw`` of every line. Order is the file's; files are read in parallel, each as a whole."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    body = F.regexp_replace("value", "^﻿", "")
-    body = F.regexp_replace(body, "\r?\n\\z", "")
-    return text.select("path", F.posexplode(F.split(body, "\r?\n")).alias("idx", "raw"))
+    """``path, idx, raw`` of every line, in the order of its file from 0. Large files are read in blocks, by many tasks.
+
+    Lines end in a newline, or a carriage return and a newline; a byte-order mark is no part of the first. Numbers
+    follow from the lines counted in each block, a row a block; lines themselves are not shuffled. An empty file has
+    no lines. A block that is dealt otherwise in the second reading than in the first is an error, not a lost line.
+    """
+    read = _read(spark, path)
+    blocks = cut(_blocks(read).select(F.col("path").alias("b_path"), F.col("block").alias("b_block"), "before", "least", "n"))
+    known = F.broadcast(blocks) if blocks.count() <= MOST_BLOCKS else blocks
+    at = F.col("row") - F.col("least")
+    fine = at.between(F.lit(0), F.col("n") - 1)
+    idx = F.when(fine, F.col("before") + at).otherwise(F.raise_error(F.lit("a file was read in other blocks than it was counted in")))
+    joined = read.join(known, (F.col("path") == F.col("b_path")) & (F.col("block") == F.col("b_block")), "left").select("path", idx.cast("long").alias("idx"), F.regexp_replace("value", r"\r\z", "").alias("raw"))
+    return joined.withColumn("raw", F.when(F.col("idx") == 0, F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw")))
 
 
 def file_meta(spark: SparkSession, path: str) -> DataFrame:
-    """``path, has_bom, newline, trailing_newline``: what a byte-exact rewrite needs besides the lines."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    return text.select("path", F.startswith("value", F.lit("﻿")).alias("has_bom"), F.when(F.contains("value", F.lit("\r\n")), F.lit("\r\n")).otherwise(F.lit("\n")).alias("newline"), F.endswith("value", F.lit("\n")).alias("trailing_newline"))
+    """``path, has_bom, newline, trailing_newline`` of every file: what a byte-exact rewrite needs besides the lines.
+
+    The reader drops a mark at the beginning of a file and a newline at its end; the size of the file tells whether
+    they were there. For files that are not compressed; Spark does not list files of no bytes. A file with carriage returns is taken to have them throughout.
+    """
+    each = _blocks(_read(spark, path)).groupBy("path").agg(F.max("size").alias("size"), F.sum("bytes").alias("bytes"), F.sum("returns").alias("returns"), F.min_by("marked", "block").alias("marked"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), F.col("length"))
+    # Bytes beyond lines and newlines: a mark not seen in the first line is three more, a last newline that is not there one less.
+    over = F.col("size") - F.col("bytes")
+    mark = F.when(F.col("bytes").isNull(), F.col("length") >= 3).otherwise(F.coalesce("marked", F.lit(False)) | (over >= 2))
+    last = F.when(F.col("bytes").isNull(), False).otherwise(over.isin(0, 3))
+    return files.join(each, "path", "left").select("path", mark.alias("has_bom"), F.when(F.col("returns") > 0, F.lit("\r\n")).otherwise(F.lit("\n")).alias("newline"), last.alias("trailing_newline"))
 
 
 def tokenise(lines: DataFrame) -> DataFrame:
@@ -46,24 +87,57 @@ def tokenise(lines: DataFrame) -> DataFrame:
     return out.withColumn("pointer", F.nullif(F.regexp_extract(F.trim("value"), r"^@([^@]+)@$", 1), F.lit("")))
 
 
-def with_records(lines: DataFrame) -> DataFrame:
-    """Adds ``rec_id``: a running count of level-0 lines of the file. Lines before the first record have 0."""
-    order = Window.partitionBy("path").orderBy("idx")
-    return lines.withColumn("rec_id", F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(order))
-
-
-def with_parents(lines: DataFrame, deepest: int = 8) -> DataFrame:
-    """Adds ``parent_idx``: the nearest earlier line of the record with a smaller level."""
-    order = Window.partitionBy("path", "rec_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(F.col("level") == k, F.col("idx"))).over(order) for k in range(deepest)}
-    choice = F.lit(None).cast("int")
-    for k in range(1, deepest + 1):
-        choice = F.when(F.col("level") == k, F.greatest(*[last[j] for j in range(k)], F.lit(None).cast("int"))).otherwise(choice)
-    return lines.withColumn("parent_idx", choice)
+#: What a stretch of lines leaves behind: the first path, the last one, records of it so far, its least level, and its open lines as (level, idx).
+_NOTHING = (None, None, 0, None, ())
+
+
+def _open_after(earlier: tuple, later: tuple) -> tuple:
+    """What two stretches leave behind, read one after the other: lines stay open that the later one has no line at or above."""
+    if later[0] is None or earlier[0] is None:
+        return earlier if later[0] is None else later
+    if earlier[1] != later[0] or later[0] != later[1]:
+        return (earlier[0], *later[1:])
+    least = min((x for x in (earlier[3], later[3]) if x is not None), default=None)
+    still = tuple(x for x in earlier[4] if later[3] is None or x[0] < later[3])
+    return earlier[0], later[1], earlier[2] + later[2], least, still + later[4]
+
+
+def _nest(state: tuple, batch: pa.RecordBatch, wanted: bool) -> tuple[tuple, list[pa.Array]]:
+    """Records and parents of the lines of a batch, and what it leaves behind."""
+    first, now, records, least, open_ = state
+    open_ = list(open_)
+    nth, parents = [], []
+    for path, idx, level in zip(*(batch.column(c).to_pylist() for c in ("path", "idx", "level")), strict=True):
+        if path != now:
+            first, now, records, least, open_ = path if first is None else first, path, 0, None, []
+        parent = None
+        if level is not None and level >= 0:
+            while open_ and open_[-1][0] >= level:
+                open_.pop()
+            if level == 0:
+                records += 1
+            elif open_:
+                parent = open_[-1][1]
+            open_.append((level, idx))
+            least = level if least is None else min(least, level)
+        nth.append(records)
+        parents.append(parent)
+    columns = [pa.array(nth, pa.int64()), pa.array(parents, pa.int64())] if wanted else []
+    return (first, now, records, least, tuple(open_)), columns
+
+
+def nested(lines: DataFrame) -> DataFrame:
+    """Adds ``rec_id`` and ``parent_idx``, at any depth.
+
+    ``rec_id`` is a running count of level-0 lines of the file, 0 before the first. The parent is the nearest earlier
+    line of the record with a smaller level; blank lines and lines without a level neither have nor are one. Files
+    are scanned in ranges of lines, so a long file is no single task; what passes between ranges is a row each.
+    """
+    return scan(lines, ["path", "idx"], _NOTHING, _nest, _open_after, "rec_id long, parent_idx long")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return with_parents(with_records(tokenise(raw_lines(spark, path))))
+    return nested(tokenise(raw_lines(spark, path)))
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -87,10 +161,19 @@ def record_counts(lines: DataFrame) -> DataFrame:
     return lines.where("level = 0").groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def _levels_before(state: tuple, batch: pa.RecordBatch, wanted: bool) -> tuple[tuple, list[pa.Array]]:
+    now, level = state
+    out = []
+    for path, mine in zip(batch.column("path").to_pylist(), batch.column("level").to_pylist(), strict=True):
+        out.append(level if path == now else None)
+        now, level = path, mine
+    return (now, level), [pa.array(out, pa.int32())] if wanted else []
+
+
 def level_jumps(lines: DataFrame) -> DataFrame:
     """Lines that are deeper than the line before by more than one level."""
-    before = F.lag("level").over(Window.partitionBy("path").orderBy("idx"))
-    return lines.withColumn("before", before).where("level > before + 1").drop("before")
+    seen = scan(lines, ["path", "idx"], (None, None), _levels_before, lambda a, b: a if b[0] is None else b, "before int")
+    return seen.where("level > before + 1").drop("before")
 
 
 def _first(tag: str, column: str = "value", level: int = 1) -> Column:
@@ -198,11 +281,6 @@ def eldest_child(down: DataFrame, p: DataFrame) -> DataFrame:
     return down.join(p.select(F.col("xref").alias("child"), "birth_year"), "child").groupBy("xref").agg(F.min("birth_year").alias("eldest"))
 
 
-def rendered(lines: DataFrame, newline: str = "\n") -> DataFrame:
-    """``path, text``: each file's lines in order, joined; with ``file_meta`` a rewrite is byte-identical."""
-    return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "raw"))), lambda x: x["raw"]), newline).alias("text"))
-
-
 def without_repeated_tag(lines: DataFrame, tag: str = "_SOSADABOVILLE") -> tuple[DataFrame, DataFrame]:
     """Lines with only the last ``tag`` of each record, and the lines dropped."""
     nth = F.row_number().over(Window.partitionBy("path", "rec_id", "tag").orderBy(F.desc("idx")))

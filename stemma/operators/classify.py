@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from .contains import contained
 
 
 def first_rule(df: DataFrame, rules: DataFrame, match: Column, key: list[str], value: str, order: str = "ord") -> DataFrame:
@@ -28,19 +29,34 @@ def frontier_status(live: Column, live_parents: Column, snapshot_id: Column, sna
     )
 
 
-def region(df: DataFrame, towns: DataFrame, fallbacks: DataFrame, town: str = "town", place: str = "place") -> DataFrame:
+def region(df: DataFrame, towns: DataFrame, fallbacks: DataFrame, town: str = "town", place: str = "place", many: bool = False) -> DataFrame:
     """Adds ``region``: a listed town equal to or contained in the town, then a needle in the folded place, else ``unknown``.
 
-    ``towns (region, ord, needle)`` and ``fallbacks (region, ord, needle)`` are short tables in their order.
+    ``towns (region, ord, needle)`` and ``fallbacks (region, ord, needle)`` are tables in their order: short ones, held
+    against every place, or with ``many`` of any length, found through an index of their letters.
     """
     keys = df.select(town, place).distinct().withColumn("__place", fold(F.col(place)))
-    t, f = towns.toDF("t_region", "t_ord", "t_needle"), fallbacks.toDF("f_region", "f_ord", "f_needle")
-    by_town = keys.join(F.broadcast(t), F.contains(F.col(town), F.col("t_needle"))).groupBy(town, place).agg(F.min_by("t_region", "t_ord").alias("r1"))
-    by_need = keys.join(F.broadcast(f), F.contains(F.col("__place"), F.col("f_needle"))).groupBy(town, place).agg(F.min_by("f_region", "f_ord").alias("r2"))
+    by_town = _first_needle(keys, F.col(town), towns, [town, place], "r1", many)
+    by_need = _first_needle(keys, F.col("__place"), fallbacks, [town, place], "r2", many)
     found = keys.drop("__place").join(by_town, [town, place], "left").join(by_need, [town, place], "left").select(F.col(town).alias("__t"), F.col(place).alias("__p"), F.coalesce("r1", "r2", F.lit("unknown")).alias("region"))
     return df.join(found, F.col(town).eqNullSafe(F.col("__t")) & F.col(place).eqNullSafe(F.col("__p")), "left").drop("__t", "__p").na.fill("unknown", ["region"])
 
 
+def _first_needle(keys: DataFrame, text: Column, rules: DataFrame, by: list[str], name: str, many: bool) -> DataFrame:
+    """``by, name``: the region of the first rule whose needle is in the text."""
+    rules = rules.toDF("n_region", "n_ord", "n_needle")
+    if not many:
+        hit = keys.join(F.broadcast(rules), F.contains(text, F.col("n_needle")))
+    else:
+        named = keys.withColumn("__text", text)
+        found = contained(named.select(F.col("__text").alias("text")), rules.select(F.col("n_needle").alias("needle")))
+        # An empty needle is in every text.
+        every = named.select(F.col("__text").alias("text"), F.lit("").alias("needle")).where("text IS NOT NULL").distinct()
+        best = found.unionByName(every).join(rules, F.col("needle") == F.col("n_needle")).groupBy("text").agg(F.min_by("n_region", "n_ord").alias("n_region"), F.min("n_ord").alias("n_ord"))
+        hit = named.join(best, F.col("__text") == F.col("text"))
+    return hit.groupBy(*by).agg(F.min_by("n_region", "n_ord").alias(name))
+
+
 def archive_hint(df: DataFrame, guides: DataFrame, overrides: DataFrame) -> DataFrame:
     """Adds ``archive_score, archive_note``: the town's own, else the region's, else 0."""
     g, o = guides.toDF("region", "g_score", "g_note"), overrides.toDF("town", "o_score", "o_note")

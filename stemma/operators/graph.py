@@ -6,10 +6,13 @@ never a list in the driver. Walks that keep duplicates are bounded by their dept
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import dense
 
 
 def ancestor_slots(edges: DataFrame, roots: DataFrame, depth: int, birth_only: bool = True) -> DataFrame:
@@ -63,10 +66,89 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, known: DataFrame | No
 
 
 def upstream(reached: DataFrame, years: DataFrame) -> DataFrame:
-    """Number of people above each start and the earliest known year among them."""
+    """Number of people above each start and the earliest known year among them, from the pairs of ``reach``."""
     return reached.join(years, "person", "left").groupBy("start").agg(F.countDistinct("person").alias("upstream"), F.min("year").alias("oldest"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``person, circle`` of everybody who is above themselves: people of one circle are above each other; it is named by the least.
+
+    Ends of lines fall away first. Then everybody takes the least name that they reach, and who is reached back
+    by that one within the same name belongs to its circle; the rest goes on. Only names move along edges, never sets.
+    """
+    left = cut(edges.select("child", "parent").where("child <> parent").distinct())
+    found = left.select(F.col("child").alias("person"), F.col("child").alias("circle")).where("false")
+    while True:
+        size = left.count()
+        while size:
+            left = cut(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
+            before, size = size, left.count()
+            if size == before:
+                break
+        if not size:
+            return found
+        names = cut(left.select(F.col("child").alias("person"), F.col("child").alias("name")).distinct())
+        while True:
+            seen = left.join(names.toDF("parent", "theirs"), "parent").groupBy(F.col("child").alias("person")).agg(F.min("theirs").alias("theirs"))
+            moved = cut(names.join(seen, "person", "left").select("person", F.least("name", F.coalesce("theirs", "name")).alias("name"), F.coalesce(F.col("theirs") < F.col("name"), F.lit(False)).alias("moved")))
+            names = moved.drop("moved")
+            if moved.where("moved").isEmpty():
+                break
+        inner = cut(left.join(names.toDF("child", "name"), "child").join(names.toDF("parent", "other"), "parent").where("name = other").select("child", "parent", "name"))
+        circle = front = cut(names.where("person = name").select("person", F.col("name").alias("circle")))
+        while not front.isEmpty():
+            up = inner.join(front.select(F.col("person").alias("child")), "child").select(F.col("parent").alias("person"), F.col("name").alias("circle")).distinct()
+            front = cut(up.join(circle, "person", "left_anti"))
+            circle = cut(circle.unionByName(front))
+        found = cut(found.unionByName(circle))
+        left = cut(left.join(circle.select(F.col("person").alias("child")), "child", "left_anti").join(circle.select(F.col("person").alias("parent")), "parent", "left_anti").select("child", "parent"))
+
+
+def upstream_counts(edges: DataFrame, starts: DataFrame, years: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``start, upstream, oldest``: what ``upstream`` of ``reach`` to the end gives, without a row for each pair.
+
+    Circles are contracted first; what is above a circle is then gathered once, from the top down, as bitmaps of
+    people's numbers (a row for 32,768 neighbours in number, united in the aggregate), and years as minima. Starts
+    with nobody above them give no row. People of one circle, and circles, have neighbouring numbers. A bitmap
+    takes 4 KB however few people it names, so where closures are small and scattered ``reach`` is the smaller one.
+    """
+    step = edges.select("child", "parent").distinct()
+    if known is not None:
+        step = step.join(known.select(F.col("person").alias("parent")).distinct(), "parent", "left_anti").select("child", "parent")
+    step = cut(step)
+    people = step.select(F.col("child").alias("person")).unionByName(step.select(F.col("parent").alias("person"))).unionByName(starts.select("person")).distinct()
+    people = people.join(strong_components(step), "person", "left").select("person", F.coalesce("circle", "person").alias("circle"))
+    people = dense(people, ["circle", "person"], "n").join(years.select("person", "year"), "person", "left")
+    people = cut(people)
+    name = lambda column: people.select(F.col("person").alias(column), F.col("circle").alias(f"{column}_circle"))
+    up = cut(step.join(name("child"), "child").join(name("parent"), "parent").select(F.col("child_circle").alias("circle"), F.col("parent_circle").alias("above")).where("circle <> above").distinct())
+    mine = cut(people.groupBy("circle", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits")))
+    least = cut(people.groupBy("circle").agg(F.min("year").alias("year")))
+    # Everything at and above a circle; ``above`` is the year without its own people.
+    ready = cut(least.select("circle").join(up.select("circle").distinct(), "circle", "left_anti"))
+    sets = cut(mine.join(ready, "circle", "left_semi"))
+    oldest = cut(least.join(ready, "circle", "left_semi").select("circle", F.lit(None).cast(least.schema["year"].dataType).alias("above"), "year"))
+    waiting = up
+    while True:
+        waiting = cut(waiting.join(ready.select(F.col("circle").alias("above"), F.lit(True).alias("done")), "above", "left").select("circle", "above", F.coalesce("done", F.lit(False)).alias("done")).where("NOT done").drop("done"))
+        next_ = cut(up.select("circle").distinct().join(waiting.select("circle").distinct(), "circle", "left_anti").join(oldest, "circle", "left_anti"))
+        if next_.isEmpty():
+            break
+        ready = next_
+        now = up.join(ready, "circle", "left_semi")
+        gathered = now.join(sets.withColumnRenamed("circle", "above"), "above").select("circle", "bucket", "bits").unionByName(mine.join(ready, "circle", "left_semi"))
+        sets = cut(sets.unionByName(gathered.groupBy("circle", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))))
+        years_ = now.join(oldest.select(F.col("circle").alias("above"), F.col("year").alias("theirs")), "above").groupBy("circle").agg(F.min("theirs").alias("above"))
+        oldest = cut(oldest.unionByName(years_.join(least, "circle").select("circle", "above", F.least("above", "year").alias("year"))))
+    count = sets.groupBy("circle").agg((F.sum(F.bitmap_count("bits")) - 1).alias("upstream"))
+    # The least year among the others of a circle: its least, or for that person the least of the rest.
+    eldest = people.where("year IS NOT NULL").groupBy("circle").agg(F.min(F.struct("year", "person")).alias("e"))
+    rest = people.join(eldest, "circle").where("person <> e.person").groupBy("circle").agg(F.min("year").alias("rest"))
+    beside = people.join(eldest, "circle", "left").join(rest, "circle", "left").select("person", "circle", F.when(F.col("person") == F.col("e.person"), F.col("rest")).otherwise(F.col("e.year")).alias("beside"))
+    out = starts.select("person").distinct().join(beside, "person").join(count, "circle").join(oldest.select("circle", "above"), "circle")
+    return out.where("upstream > 0").select(F.col("person").alias("start"), "upstream", F.least("above", "beside").alias("oldest"))
+
+
 def levels(reached: DataFrame) -> DataFrame:
     """People of each level above each start. Lists stay within one person's level."""
     return reached.groupBy("start", "level").agg(F.array_sort(F.collect_list("person")).alias("people"))
@@ -104,6 +186,49 @@ def roots_to_chain(people: DataFrame, most: int = 40, generation: int = 8) -> Da
     return people.where(sosa_generation(F.col("n")) == generation).select("pid").join(last, "pid", "left").select("pid", F.coalesce("f", F.lit(False)).alias("followed"))
 
 
+def chained(answers: DataFrame, root: str, rounds: int = 2, most: int | None = 40, generation: int = 8) -> dict[str, DataFrame]:
+    """What asking for a root, then for the people where its answer ends, and so on, gives from answers at rest.
+
+    ``answers (root, pid, sosa, birth_date, ...)``: one ancestry answer a root, whose numbers hold within it and end
+    with ``generation``. Each round asks for all people of the last generation of the round before that were not
+    asked for yet, in the order of calls and numbers; ``most`` is the budget of calls after the first (None: no
+    bound). Result: ``people``, one row a pid, as ``merge_people`` of the calls in their order; ``edges (child, parent,
+    role)``, of which a later call's stand; ``couples``; ``calls (call, root)``; ``skipped (pid)``, who was not asked
+    for because the budget was spent. A root without an answer is a call all the same.
+    """
+    spark = answers.sparkSession
+    calls = cut(spark.createDataFrame([(1, root)], "call long, root string"))
+    made, asked, taken, skipped = 1, calls, [], []
+    for turn in range(rounds):
+        got = cut(answers.join(calls, "root"))
+        taken.append(got)
+        n = F.regexp_extract("sosa", r"^(\d+)$", 1).try_cast("long")
+        last = got.select("pid", "call", n.alias("n")).where((F.col("n") >= 1 << (generation - 1)) & (F.col("n") < 1 << generation))
+        # Each once, at its first place.
+        last = last.groupBy("pid").agg(F.min(F.struct("call", "n")).alias("first")).join(asked.select(F.col("root").alias("pid")), "pid", "left_anti")
+        last = dense(last.select("pid", "first.call", "first.n"), ["call", "n", "pid"], "nth", made + 1).select(F.col("nth").alias("call"), F.col("pid").alias("root"))
+        if turn + 1 == rounds:
+            break
+        fits = F.lit(True) if most is None else F.col("call") <= most + 1
+        skipped.append(last.where(~fits).select(F.col("root").alias("pid")))
+        calls = cut(last.where(fits))
+        new = calls.count()
+        if not new:
+            break
+        made, asked = made + new, cut(asked.unionByName(calls))
+    every = reduce(DataFrame.unionByName, taken)
+    nth = F.row_number().over(Window.partitionBy("pid").orderBy(F.coalesce(F.col("birth_date"), F.lit("")) == "", "call", F.regexp_extract("sosa", r"^(\d+)", 1).try_cast("long"), "sosa"))
+    people = every.withColumn("nth", nth).where("nth = 1").drop("nth", "root", "call", "sosa")
+    numbers = every.select("call", "pid", F.regexp_extract("sosa", r"^(\d+)$", 1).try_cast("long").alias("n")).where("n IS NOT NULL")
+    up = numbers.select("call", F.col("pid").alias("child"), F.col("n").alias("of"), F.explode(F.array(F.struct((F.col("n") * 2).alias("n"), F.lit(0).alias("role")), F.struct((F.col("n") * 2 + 1).alias("n"), F.lit(1).alias("role")))).alias("x")).select("call", "child", "of", "x.*")
+    named = up.join(numbers.withColumnRenamed("pid", "parent"), ["call", "n"])
+    edges = named.groupBy("child", "role").agg(F.max_by("parent", F.struct("call", "of")).alias("parent")).select("child", "parent", "role")
+    both = named.groupBy("call", "child", "of").agg(F.max(F.when(F.col("role") == 0, F.col("parent"))).alias("a"), F.max(F.when(F.col("role") == 1, F.col("parent"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    beside = every.select("call", F.col("pid").alias("b"), F.regexp_extract("sosa", r"^(\d+)-S$", 1).try_cast("long").alias("n")).where("n IS NOT NULL").join(numbers.withColumnRenamed("pid", "a"), ["call", "n"]).select("a", "b")
+    nobody = spark.createDataFrame([], "pid string")
+    return {"people": people, "edges": edges, "couples": both.unionByName(beside).distinct(), "calls": asked, "skipped": reduce(DataFrame.unionByName, skipped, nobody)}
+
+
 def catalogue_walk(nodes: DataFrame, root: str, depth: int) -> DataFrame:
     """``id, level`` of all nodes below ``root`` (``nodes: id, parent``), each once at its first level."""
     start = nodes.sparkSession.createDataFrame([(root,)], "person string")

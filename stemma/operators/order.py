@@ -13,7 +13,6 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +60,17 @@ def scan(rows: DataFrame, by: list[str], start: Any, step: Callable[[Any, pa.Rec
     stay small: the driver holds one a partition.
     """
     importable(rows.sparkSession)
-    held = ranged(rows, by)
+    # The range is a column: a task's own number is another one where plans are united or partitions put together.
+    held = ranged(rows, by).withColumn(_PART, F.spark_partition_id())
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = start
+        state, part = start, None
         for batch in batches:
-            state, _ = step(state, batch, False)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["part", "state"])
+            if batch.num_rows:
+                part = batch.column(batch.num_columns - 1)[0].as_py()
+                state, _ = step(state, batch, False)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickle.dumps(state)], pa.binary())], names=["part", "state"])
 
     read = sorted(held.mapInArrow(states, "part long, state binary").collect())
     before, now = {}, start
@@ -76,11 +79,16 @@ def scan(rows: DataFrame, by: list[str], start: Any, step: Callable[[Any, pa.Rec
         now = join(now, pickle.loads(row.state))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = before[TaskContext.get().partitionId()]
+        state, part = start, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if part is None:
+                part = batch.column(batch.num_columns - 1)[0].as_py()
+                state = before[part]
             state, columns = step(state, batch, True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
 
-    names = [*held.columns, *(x.split()[0] for x in added.split(", "))]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields)
+    names = [*rows.columns, *(x.split()[0] for x in added.split(", "))]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return held.mapInArrow(run, f"{schema}, {added}")

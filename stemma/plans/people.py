@@ -179,10 +179,10 @@ SELECT count(*) AS slots, count(DISTINCT person) AS people, count(*) - count(DIS
 
 def q08_upstream_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everybody above every supplier but known ones (multiples of five), with the least size of their keys, to the end."""
-    edges, m = _loops(spark, sf_dir)
+    edges, _ = _loops(spark, sf_dir)
     everybody = _everybody(spark, sf_dir)
-    found = graph.reach(edges.select("child", "parent"), everybody, m, everybody.where("person % 5 = 0"))
-    return graph.upstream(found, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.lit(1800) + F.col("s_nationkey")).alias("year")))
+    years = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("person"), (F.lit(1800) + F.col("s_nationkey")).alias("year"))
+    return graph.upstream_counts(edges, everybody, years, everybody.where("person % 5 = 0"))
 
 
 Q08 = f"""

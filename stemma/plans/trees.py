@@ -394,7 +394,7 @@ def q53_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("region"), F.when(F.col("c_custkey") % 3 == 0, "ready").otherwise("stuck").alias("status"), F.col("c_nationkey").alias("n"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") + 1800).alias("year"))
     regions = spark.createDataFrame([("BUILDING", 0), ("MACHINERY", 1)], "region string, r_ord int")
     work = rank.worklist(c, regions).groupBy("r_ord", "region").agg(F.count("*").alias("n")).select(F.concat(F.lit("work "), "region").alias("key"), F.col("r_ord").cast("string").alias("xref"), "n")
-    lists = counters.ordered_lists(c, ["n"], "region").select(F.concat(F.lit("list "), F.col("n").cast("string")).alias("key"), F.md5(F.array_join("names", ",")).alias("xref"), F.size("names").cast("long").alias("n"))
+    lists = counters.ordered_lists(c.withColumn("part", F.shiftright("id", 6)), ["n", "part"], "region").select(F.concat(F.lit("list "), F.concat_ws("/", "n", "part")).alias("key"), F.md5(F.array_join("names", ",")).alias("xref"), F.size("names").cast("long").alias("n"))
     oldest = c.groupBy(F.col("n").alias("sources")).agg(F.min(counters.oldest_first(F.col("year"))).alias("y")).select(F.concat(F.lit("oldest "), F.col("sources").cast("string")).alias("key"), F.col("y").cast("string").alias("xref"), F.lit(1).cast("long").alias("n"))
     return got.unionByName(work).unionByName(lists).unionByName(oldest)
 
@@ -404,7 +404,7 @@ WITH o AS (SELECT o_orderkey, (o_custkey % 400)::INT AS t FROM orders), g AS (SE
 i AS (SELECT t, row_number() OVER (ORDER BY ord, 'T' || t) + 49 AS made FROM g WHERE t % 4 <> 0)
 SELECT 'T' || t AS key, CASE WHEN t % 4 = 0 THEN 'S9' || t ELSE 'S' || lpad(CAST(made AS STRING), 5, '0') END AS xref, n FROM g LEFT JOIN i USING (t)
 UNION ALL SELECT 'work ' || c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN '0' WHEN 'MACHINERY' THEN '1' ELSE '1048576' END, count(*) FROM customer WHERE c_custkey % 3 <> 0 GROUP BY c_mktsegment
-UNION ALL SELECT 'list ' || c_nationkey, md5(string_agg(c_mktsegment, ',' ORDER BY c_mktsegment)), count(*) FROM customer GROUP BY c_nationkey
+UNION ALL SELECT 'list ' || c_nationkey || '/' || (c_custkey >> 6), md5(string_agg(c_mktsegment, ',' ORDER BY c_mktsegment)), count(*) FROM customer GROUP BY c_nationkey, c_custkey >> 6
 UNION ALL SELECT 'oldest ' || c_nationkey, CAST(min(CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey + 1800 ELSE 9999 END) AS STRING), 1 FROM customer GROUP BY c_nationkey"""
 
 #: Orders as lines: chains of falling depth and levels that jump about, to level 45.

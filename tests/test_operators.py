@@ -73,7 +73,27 @@ def test_shared_prose(spark):
     common = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"a b {common} c"), (2, f"x {common}"), (3, "a b c")], "id int, text string")
     p = duplicates.positions(docs)
-    assert [tuple(r) for r in duplicates.shared_prose(p, p).collect()] == [(1, 2, 20, 2, 9)]
+    assert [tuple(r) for r in duplicates.prose_pairs(duplicates.common(p)).collect()] == [(1, 2, 20, 2, 9)]
+    assert [tuple(r) for r in duplicates.shared_prose(p.where("id = 1"), p.where("id = 2")).collect()] == [(1, 2, 20, 2, 9)]
+    assert sorted(tuple(r) for r in duplicates.passages(duplicates.common(p)).collect()) == [(1, 2, 20, 1, 2, 2), (2, 1, 20, 1, 2, 2)]
+
+
+def test_boilerplate_gives_rows_in_proportion(spark):
+    plate = " ".join(f"p{i}" for i in range(30))
+    more = " ".join(f"m{i}" for i in range(15))
+    own = lambda k: " ".join(f"o{k}x{i}" for i in range(12))
+    docs = spark.createDataFrame([(k, f"{own(k)} {plate} {more if k % 50 == 7 else own(k + 1000)} {own(k + 2000)}") for k in range(300)], "id int, text string").repartition(6)
+    shared = duplicates.common(duplicates.positions(docs)).cache()
+    got = {(r.a, r.b): (r.longest, r.start) for r in duplicates.prose_pairs(shared).collect()}
+    # Everybody with the first; those that share more with the first of those as well, and the longer run is found though document 0 is first in a part of it.
+    assert set(got) == {(0, k) for k in range(1, 300)} | {(7, k) for k in range(57, 300, 50)}
+    assert got[0, 9] == (30, 12) and got[7, 57] == (45, 12)
+    members = {}
+    for r in duplicates.passages(shared).collect():
+        members.setdefault((r.first, r.first_start, r.words), set()).add(r.id)
+        assert r.documents in (300, 6)
+    assert members[0, 12, 30] == set(range(300)) and set(range(7, 300, 50)) in members.values()
+    assert duplicates.prose_pairs(shared.where("false")).count() == 0
 
 
 def test_links(spark):

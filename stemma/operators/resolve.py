@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,40 +41,108 @@ def person_score(l: str, r: str) -> tuple[Column, Column]:  # noqa: E741
     return total, reasons
 
 
-def assign(left: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One-to-one assignment: lefts in order of their best score each take their best free right, if it scores enough.
+def _liked() -> Column:
+    """Order in which a left prefers rights."""
+    return F.struct((-F.col("total")).alias("t"), "part_pos", "r_ord")
 
-    ``left (l_id, l_ord)``; ``pairs (l_id, r_id, total, part_pos, r_ord)``. Serial choice equals deferred
-    acceptance when all rights rank lefts alike, and that runs in rounds: every left proposes to the best right
-    that has not turned it down, each right keeps the best proposer and turns down all lefts that rank behind it.
-    Result: ``l_id, top, best, best_total, runner_total, gap, lost_to, bucket``.
-    """
-    top = pairs.groupBy("l_id").agg(F.max("total").alias("top_total"), F.min_by("r_id", F.struct((-F.col("total")).alias("t"), "part_pos", "r_ord")).alias("top"))
-    order = left.join(top, "l_id", "left").select("l_id", "top", F.coalesce("top_total", F.lit(0.0)).alias("top_total"), "l_ord")
-    rank = F.struct((-F.col("top_total")).alias("a"), F.col("l_ord").alias("b"))
-    edges = cut(pairs.where(F.col("total") >= REVIEW).join(order.select("l_id", rank.alias("rank")), "l_id"))
+
+def _ranked(left: DataFrame, tops: DataFrame) -> DataFrame:
+    """``l_id, top, top_total, rank``: lefts in the order in which they choose."""
+    order = left.join(tops, "l_id", "left").select("l_id", "top", F.coalesce("top_total", F.lit(0.0)).alias("top_total"), "l_ord")
+    return order.select("l_id", "top", "top_total", F.struct((-F.col("top_total")).alias("a"), F.col("l_ord").alias("b")).alias("rank"))
+
+
+def _tops(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("l_id").agg(F.max("total").alias("top_total"), F.min_by("r_id", _liked()).alias("top"))
+
+
+def _holders(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """``r_id, holder, holder_rank`` of the rights that are taken, by deferred acceptance over pairs that score enough."""
+    edges = cut(pairs.where(F.col("total") >= REVIEW).join(order.select("l_id", "rank"), "l_id"))
     size = edges.count()
     while True:
-        ask = edges.groupBy("l_id").agg(F.min_by(F.struct("r_id", "rank"), F.struct((-F.col("total")).alias("t"), "part_pos", "r_ord")).alias("x")).select("l_id", "x.*")
-        held = ask.groupBy("r_id").agg(F.min_by("l_id", "rank").alias("holder"), F.min("rank").alias("held_by"))
+        ask = edges.groupBy("l_id").agg(F.min_by(F.struct("r_id", "rank"), _liked()).alias("x")).select("l_id", "x.*")
+        held = ask.groupBy("r_id").agg(F.min_by("l_id", "rank").alias("holder"), F.min("rank").alias("holder_rank"))
         # A right's holder only gets better, so it turns down all that rank behind, also those that have not asked yet.
-        edges = cut(edges.join(held.select("r_id", "held_by"), "r_id", "left").where(F.col("held_by").isNull() | (F.col("rank") <= F.col("held_by"))).drop("held_by"))
+        edges = cut(edges.join(held.select("r_id", "holder_rank"), "r_id", "left").where(F.col("holder_rank").isNull() | (F.col("rank") <= F.col("holder_rank"))).drop("holder_rank"))
         before, size = size, edges.count()
         if size == before:
-            break
-    held = held.drop("held_by")
-    held = cut(held.join(order.select(F.col("l_id").alias("holder"), rank.alias("holder_rank")), "holder"))
-    all_ = pairs.join(order.select("l_id", rank.alias("rank")), "l_id").join(held, "r_id", "left")
-    free = all_.where(F.col("holder").isNull() | (F.col("holder") == F.col("l_id")) | (F.col("holder_rank") > F.col("rank")))
+            return cut(held)
+
+
+def _free(pairs: DataFrame, order: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs whose right is not taken when the left chooses."""
+    met = pairs.join(order.select("l_id", "rank"), "l_id").join(held, "r_id", "left")
+    return met.where(F.col("holder").isNull() | (F.col("holder") == F.col("l_id")) | (F.col("holder_rank") > F.col("rank"))).select(*pairs.columns)
+
+
+def _two(free: DataFrame) -> DataFrame:
+    """The two best pairs of each left, with their place."""
     nth = F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("total"), "part_pos", "r_ord"))
-    two = free.withColumn("nth", nth).where("nth <= 2").groupBy("l_id").agg(F.max(F.when(F.col("nth") == 1, F.col("r_id"))).alias("best"), F.max(F.when(F.col("nth") == 1, F.col("total"))).alias("best_total"), F.max(F.when(F.col("nth") == 2, F.col("total"))).alias("runner_total"))
-    out = order.join(two, "l_id", "left").join(held.select(F.col("r_id").alias("top"), F.col("holder").alias("top_holder")), "top", "left")
+    return free.withColumn("nth", nth).where("nth <= 2")
+
+
+def _judged(order: DataFrame, two: DataFrame, held: DataFrame) -> DataFrame:
+    best = two.groupBy("l_id").agg(F.max(F.when(F.col("nth") == 1, F.col("r_id"))).alias("best"), F.max(F.when(F.col("nth") == 1, F.col("total"))).alias("best_total"), F.max(F.when(F.col("nth") == 2, F.col("total"))).alias("runner_total"))
+    out = order.join(best, "l_id", "left").join(held.select(F.col("r_id").alias("top"), F.col("holder").alias("top_holder")), "top", "left")
     taken = F.col("best").isNull() & F.col("top").isNotNull()
     gap = F.col("best_total") - F.coalesce("runner_total", F.lit(0.0))
     bucket = F.when(F.col("best").isNull(), "unmatched").when((F.col("best_total") >= CONFIDENT) & (gap >= GAP), "confident").when(F.col("best_total") >= REVIEW, "review").otherwise("unmatched")
     return out.select("l_id", "top", F.when(taken, F.col("top")).otherwise(F.col("best")).alias("best"), F.when(taken, F.col("top_total")).otherwise(F.col("best_total")).alias("best_total"), "runner_total", F.round(gap, 2).alias("gap"), F.when(taken | (F.col("top") != F.col("best")), F.col("top_holder")).alias("lost_to"), bucket.alias("bucket"))
 
 
+def assign(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One-to-one assignment: lefts in order of their best score each take their best free right, if it scores enough.
+
+    ``left (l_id, l_ord)``; ``pairs (l_id, r_id, total, part_pos, r_ord)``. Serial choice equals deferred
+    acceptance when all rights rank lefts alike, and that runs in rounds: every left proposes to the best right
+    that has not turned it down, each right keeps the best proposer and turns down all lefts that rank behind it.
+    Result: ``l_id, top, best, best_total, runner_total, gap, lost_to, bucket``.
+    """
+    order = cut(_ranked(left, _tops(pairs)))
+    held = _holders(pairs, order)
+    return _judged(order, _two(_free(pairs, order, held)), held)
+
+
+#: Candidates of some lefts (``l_id``), and the most that any pair scores which neither this nor an earlier tier gives.
+Tier = tuple[Callable[[DataFrame], DataFrame], float]
+
+
+def assign_by_tiers(left: DataFrame, tiers: list[Tier]) -> DataFrame:
+    """``assign`` without the table of all pairs: candidates come tier by tier, and later tiers only for lefts that still need them.
+
+    Tiers give each pair once, the better ones first; after the last one nothing is left. All lefts draw until no pair
+    still to come scores enough to be taken. Who has no better top than the rest could give draws on; after the
+    assignment so does who has not two free rights that the rest could not beat. Of those draws only the best
+    stay, so what is written grows with lefts and with the pairs that score enough.
+    """
+    whole = left.select("l_id")
+    drawn, at = None, -1
+    while drawn is None or (tiers[at][1] >= REVIEW and at + 1 < len(tiers)):
+        at += 1
+        more = tiers[at][0](whole)
+        drawn = more if drawn is None else drawn.unionByName(more)
+    drawn = cut(drawn)
+    best = cut(drawn.groupBy("l_id").agg(F.min_by(F.struct("total", "part_pos", "r_ord", "r_id"), _liked()).alias("x")).select("l_id", "x.*"))
+    for k in range(at, len(tiers) - 1):
+        # The rest can only tie at its bound, but then in an earlier place.
+        wanting = cut(whole.join(best.where(F.col("total") > tiers[k][1]).select("l_id"), "l_id", "left_anti"))
+        if wanting.isEmpty():
+            break
+        every = best.unionByName(tiers[k + 1][0](wanting).select(*best.columns))
+        best = cut(every.groupBy("l_id").agg(F.min_by(F.struct("total", "part_pos", "r_ord", "r_id"), _liked()).alias("x")).select("l_id", "x.*"))
+    order = cut(_ranked(left, best.select("l_id", F.col("total").alias("top_total"), F.col("r_id").alias("top"))))
+    held = _holders(drawn, order)
+    two = cut(_two(_free(drawn, order, held)))
+    for k in range(at, len(tiers) - 1):
+        wanting = cut(whole.join(two.where((F.col("nth") == 2) & (F.col("total") > tiers[k][1])).select("l_id"), "l_id", "left_anti"))
+        if wanting.isEmpty():
+            break
+        more = _free(tiers[k + 1][0](wanting).select(*drawn.columns), order, held)
+        two = cut(_two(two.drop("nth").unionByName(more)))
+    return _judged(order, two, held)
+
+
 def same_year_couples(couples: DataFrame, people: DataFrame) -> DataFrame:
     """Couples whose partners share a birth or a death year: often one person entered twice."""
     who = people.select("id", "birth_year", "death_year")

@@ -114,10 +114,51 @@ FROM c JOIN p l ON l.id = l_id JOIN p r ON r.id = r_id"""
 Q34 = Q04.replace(" AND l.p_brand = r.p_brand AND l.p_type = r.p_type", "")
 
 
+def _tiers(spark: SparkSession, sf_dir: str) -> list[resolve.Tier]:
+    """The pairs of q34 in four tiers, with what the rest can score: equal names, or a word and a near size in common; the same first word; the left's first word; any."""
+    left, right = _halves(spark, sf_dir)
+    a = cut(left.select(F.col("id").alias("l_id"), F.col("parts").alias("lp"), F.col("size").alias("ls")))
+    b = cut(right.select(F.col("id").alias("r_id"), F.col("ord").alias("r_ord"), F.col("parts").alias("rp"), F.col("size").alias("rs")))
+    near = F.coalesce(F.abs(F.col("ls") - F.col("rs")) <= 2, F.lit(False))
+    same, first = F.col("lp") == F.col("rp"), F.get("lp", F.lit(0)) == F.get("rp", F.lit(0))
+    place = F.array_min(F.filter(F.transform("lp", lambda x, i: F.when(F.array_contains(F.col("rp"), x), i)), lambda i: i.isNotNull()))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        total = names.surname_score(F.col("lp"), F.col("rp")) + 2.0 * dates.year_match(F.col("ls"), F.col("rs")) + 1.5 * F.when(F.col("part_pos") == 0, 1.0).otherwise(0.5)
+        return pairs.withColumn("part_pos", place).select("l_id", "r_id", F.round(total, 2).alias("total"), "part_pos", "r_ord")
+
+    def words(wanting: DataFrame) -> DataFrame:
+        """Pairs that share a word, once each: at the left's first word that they share."""
+        l_ = a.join(wanting, "l_id").select("*", F.explode(F.array_distinct("lp")).alias("w"))
+        met = l_.join(b.select("*", F.explode(F.array_distinct("rp")).alias("w")), "w")
+        return met.where(F.col("w") == F.get("lp", place)).drop("w")
+
+    def equal_or_near(wanting: DataFrame) -> DataFrame:
+        equal = a.join(wanting, "l_id").join(b, same)
+        # Sizes meet in the size itself and its two neighbours on each side.
+        l_ = a.join(wanting, "l_id").withColumn("w", F.explode(F.array_distinct("lp"))).withColumn("at", F.explode(F.array(*[F.col("ls") + d for d in range(-2, 3)])))
+        met = l_.join(b.select("*", F.explode(F.array_distinct("rp")).alias("w"), F.col("rs").alias("at")), ["w", "at"]).where((F.col("w") == F.get("lp", place)) & ~same).drop("w", "at")
+        return scored(equal.unionByName(met.select(*equal.columns)))
+
+    def same_first(wanting: DataFrame) -> DataFrame:
+        l_ = a.join(wanting, "l_id").withColumn("w", F.get("lp", F.lit(0)))
+        return scored(l_.join(b.withColumn("w", F.get("rp", F.lit(0))), "w").where(~same & ~near))
+
+    def holds_first(wanting: DataFrame) -> DataFrame:
+        l_ = a.join(wanting, "l_id").withColumn("w", F.get("lp", F.lit(0)))
+        return scored(l_.join(b.select("*", F.explode(F.array_distinct("rp")).alias("w")), "w").where(~same & ~near & ~first))
+
+    def any_word(wanting: DataFrame) -> DataFrame:
+        return scored(words(wanting).where(~same & ~near & (place > 0)))
+
+    # Without near sizes, of other names: 2.25 and 1.5 for the place; then 1.2 and 1.5; then 1.2 and 0.75.
+    return [(equal_or_near, 3.75), (same_first, 2.7), (holds_first, 1.95), (any_word, -1.0)]
+
+
 def q05_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one assignment of the pairs of q34, with buckets. The SQL twin is the serial procedure, left by left."""
+    """One-to-one assignment over the pairs of q34, with buckets; pairs are drawn as they are needed. The SQL twin is the serial procedure, left by left."""
     left, _ = _halves(spark, sf_dir)
-    return resolve.assign(left.select(F.col("id").alias("l_id"), F.col("ord").alias("l_ord")), cut(_pairs(spark, sf_dir)))
+    return resolve.assign_by_tiers(left.select(F.col("id").alias("l_id"), F.col("ord").alias("l_ord")), _tiers(spark, sf_dir))
 
 
 Q05 = f"""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import classify, contains, coverage, graph
+from stemma.operators import classify, contains, coverage, graph, resolve
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -79,6 +79,30 @@ def test_upstream_counts_over_circles(spark, seed):
     assert {frozenset(c) for c in circles.values()} == {c for c in real if len(c) > 1} and all(min(c) == k for k, c in circles.items())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_assignment_by_tiers_equals_that_over_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(a, b): (a, b, round(rng.choice([7.5, 6.0, 5.0, 4.5, 4.5, 3.0, 2.0, 0.5]) + (0.25 if b % 5 == 0 else 0), 2), rng.randint(0, 2), 100 - b) for a in range(40) for b in range(30) if rng.random() < 0.4 and a != 7}
+    schema = "l_id int, r_id int, total double, part_pos int, r_ord int"
+    every = spark.createDataFrame(list(pairs.values()), schema).cache()
+    left = spark.createDataFrame([(a, (a * 17) % 40) for a in range(42)], "l_id int, l_ord int")
+    asked = []
+
+    def tier(low, high):
+        def draw(lefts):
+            asked.append((low, {r.l_id for r in lefts.collect()}))
+            return every.where((F.col("total") > low) & (F.col("total") <= high)).join(lefts, "l_id").select(*every.columns)
+
+        return draw, low
+
+    rows = lambda df: sorted(map(str, df.select("l_id", "top", "best", "best_total", "runner_total", "gap", "lost_to", "bucket").collect()))
+    bounds = [9.0, 5.5, 4.4, 2.5, -1.0]
+    got = resolve.assign_by_tiers(left, [tier(b, a) for a, b in zip(bounds, bounds[1:], strict=False)])
+    assert rows(got) == rows(resolve.assign(left, every))
+    # All lefts draw what scores enough, and only some draw on.
+    assert all(len(who) == 42 for low, who in asked if low >= 4.4) and all(len(who) < 42 for low, who in asked if low < 4.4)
+
+
 def chained_by_hand(answers, root, rounds, most, generation):
     """The serial procedure: an answer after another, the richer record kept, later parents in place of earlier ones."""
     people, father, couples, asked = {}, {}, set(), []

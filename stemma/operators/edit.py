@@ -7,13 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import Refused
 from .order import dense, numbered
 
 
-class Refused(ValueError):
-    """An edit that a guard does not allow."""
-
-
 def three_way(rows: DataFrame, column: str = "accept") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted (true), rejected (false), pending (null)."""
     c = F.col(column)

@@ -59,15 +59,28 @@ def embed_violations(embeds: DataFrame, found: DataFrame) -> DataFrame:
     return quality.violations([("embed", embeds.join(heads, ["target", "section"], "left_anti").select(F.col("path").alias("id")))])
 
 
+#: An id with a name behind it, and words behind an id that are no part of a name.
+BESIDE = r"(?U)@(I\d{5})@\s*[*_`]{0,2}((?:[A-ZÀ-Ú][\wÀ-ɏ'’]*(?:\s+(?:i|de|del|la)\s+)?[ ]?){1,4})"
+NO_NAMES = ("sosa", "els", "que", "amb", "del", "les", "una", "seu", "seua")
+
+
 def names_beside_ids(texts: DataFrame, people: DataFrame, least: float = 0.85) -> DataFrame:
-    """``path, xref, name``: names of two words or more before an id that share no similar word with the person's name.
+    """``path, line, xref, name, rule``: ids with a name behind them that nobody has (``unknown_id``), or that somebody else has (``other_person``).
 
-    ``people (xref, tokens)``.
+    ``texts (path, text)``; ``people (xref, tokens)`` has the folded words of each person's name. A name of two words
+    and more (of three letters and more) fits if one of its words is similar to one of the person's; one word alone
+    may be what others call a person, and is not judged. Only distinct pairs of words are compared.
     """
     importable(texts.sparkSession)
-    pattern = F.lit(r"((?:\p{Lu}[\p{L}'·]+[ ]){1,5}\p{Lu}[\p{L}'·]+)[ ]*\(?@(I\d{5})@")
-    both = F.arrays_zip(F.regexp_extract_all("text", pattern, 1).alias("name"), F.regexp_extract_all("text", pattern, 2).alias("xref"))
-    said = texts.select("path", F.inline(both)).join(people.select("xref", F.col("tokens").alias("own")), "xref")
-    pairs = said.select("path", "xref", "name", F.explode(F.split(fold(F.col("name")), " ")).alias("w"), "own").select("path", "xref", "name", "w", F.explode_outer("own").alias("t"))
-    near = (F.col("w") == F.col("t")) | ((ratio_bound(F.col("w"), F.col("t")) >= least) & (sequence_ratio(F.col("w"), F.coalesce("t", F.lit(""))) >= least))
-    return pairs.groupBy("path", "xref", "name").agg(F.coalesce(F.bool_or(near), F.lit(False)).alias("fits")).where("NOT fits").drop("fits")
+    lines = texts.select("path", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    both = F.arrays_zip(F.regexp_extract_all("raw", F.lit(BESIDE), 1).alias("xref"), F.regexp_extract_all("raw", F.lit(BESIDE), 2).alias("name"))
+    said = lines.select("path", (F.col("at") + 1).alias("line"), F.posexplode(both).alias("nth", "z")).select("path", "line", "nth", "z.xref", F.trim("z.name").alias("name"))
+    said = said.join(people.select("xref", F.col("tokens").alias("own")), "xref", "left")
+    unknown = said.where("own IS NULL").select("path", "line", "xref", "name", F.lit("unknown_id").alias("rule"))
+    words = F.filter(F.split(fold(F.col("name")), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*NO_NAMES))
+    judged = said.where("own IS NOT NULL").withColumn("words", words).where(F.size("words") > 1)
+    met = judged.select("path", "line", "nth", "xref", "name", F.explode("words").alias("w"), "own").select("path", "line", "nth", "xref", "name", "w", F.explode_outer("own").alias("t"))
+    distinct = met.where("t IS NOT NULL").select("w", "t").distinct()
+    near = distinct.where((F.col("w") == F.col("t")) | ((ratio_bound(F.col("w"), F.col("t")) >= least) & (sequence_ratio(F.col("w"), F.col("t")) >= least))).withColumn("near", F.lit(True))
+    fits = met.join(near, ["w", "t"], "left").groupBy("path", "line", "nth", "xref", "name").agg(F.coalesce(F.bool_or("near"), F.lit(False)).alias("fits"))
+    return unknown.unionByName(fits.where("NOT fits").select("path", "line", "xref", "name", F.lit("other_person").alias("rule")))

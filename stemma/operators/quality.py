@@ -44,7 +44,7 @@ def malformed(rows: DataFrame, pattern: str) -> DataFrame:
 
 def manifest_diff(known: DataFrame, disk: DataFrame) -> DataFrame:
     """``path, size, state``: ``missing``, ``new``, ``changed`` or ``same``; both have ``path, digest, size``."""
-    k, d = known.toDF("path", "k_digest", "k_size").withColumn("k", F.lit(True)), disk.toDF("path", "d_digest", "d_size").withColumn("d", F.lit(True))
+    k, d = (df.select("path", F.col("digest").alias(f"{x}_digest"), F.col("size").alias(f"{x}_size"), F.lit(True).alias(x)) for df, x in ((known, "k"), (disk, "d")))
     state = F.when(F.col("d").isNull(), "missing").when(F.col("k").isNull(), "new").when((F.col("k_digest") != F.col("d_digest")) | (F.col("k_size") != F.col("d_size")), "changed").otherwise("same")
     return k.join(d, "path", "full_outer").select("path", F.coalesce("k_size", "d_size").alias("size"), state.alias("state"))
 

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import Misconfigured
 from ..functions.places import norm_component
 from ..session import dimension
-from .edit import Refused
 
 
 def setting(config: dict, *keys: str, default: object = None) -> object:
@@ -31,14 +31,14 @@ def tree_file(names: list[str], configured: str | None = None, example: str | No
     """The line file that counts: the configured one, else the only one that is no dated copy, else the example; never a guess between two."""
     if configured:
         if configured not in names:
-            raise Refused(f"{configured} is not there")
+            raise Misconfigured(f"{configured} is not there")
         return configured
     found = sorted(n for n in names if n.endswith(".ged") and not is_backup(n) and n != example)
     if len(found) == 1:
         return found[0]
     if not found and example in names:
         return example
-    raise Refused("no line file" if not found else f"more than one line file: {', '.join(found)}")
+    raise Misconfigured("no line file" if not found else f"more than one line file: {', '.join(found)}")
 
 
 def agent(component: str, project: str | None = None, contact: str | None = None, default: str = "genealogy", purpose: str = "personal research") -> str:

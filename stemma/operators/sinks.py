@@ -13,10 +13,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import Damaged, Refused
 from ..session import cut
 from ..sources import gedcom, linefiles
 from . import edit
-from .edit import Refused
 
 #: Rows that a report may hold; more belong in a table.
 MOST = 100_000
@@ -105,7 +105,7 @@ def checked(lines: DataFrame, meta: DataFrame, root: str) -> DataFrame:
     other = other.where(F.col("found").isNull() | (F.col("found.has_bom") != F.col("wanted.has_bom")) | (F.col("found.trailing_newline") != F.col("wanted.trailing_newline")) | ((F.col("found.newline") != F.col("wanted.newline")) & ((F.col("n") > 1) | F.col("wanted.trailing_newline"))))
     if not report.where("NOT same").isEmpty() or not other.isEmpty():
         linefiles.discard(root)
-        raise Refused("what was read again is not what was written")
+        raise Damaged("what was read again is not what was written")
     return report
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import large, payloads, people, records, reports, trees
+from . import files, large, payloads, people, records, reports, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (people, records, reports, trees, payloads, large)
+MODULES = (people, records, reports, trees, payloads, large, files)
 
 
 def queries() -> dict[str, Query]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..errors import Refused
 from ..session import cut, importable
 
 CHUNK = 8 << 20
@@ -34,8 +35,8 @@ def place(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def file_name(path: str) -> str:
-    """A name for any path, without separators."""
-    return quote(path, safe="")
+    """The name of a staged file for any path: without separators, and none that Spark takes to be hidden."""
+    return "f" + quote(path, safe="")
 
 
 @dataclass
@@ -158,8 +159,8 @@ def unquoted(uri: str) -> str:
 
 def named(rows: DataFrame) -> DataFrame:
     """Rows read from staged files, with the paths that were written instead of places of files."""
-    back = F.url_decode(F.replace(F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1), F.lit("+"), F.lit("%2B")))
-    return rows.withColumn("path", back)
+    name = F.url_decode(F.replace(F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("path", F.substring(name, F.lit(2), F.length(name)))
 
 
 def discard(root: str) -> None:
@@ -176,7 +177,7 @@ def publish(spark: SparkSession, root: str, target: str, keep: str | None = None
     """
     names = spark.read.schema("path string").json(f"{root}/list").distinct().select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
     if not names.groupBy("name").count().where("count > 1").isEmpty():
-        raise ValueError("two paths end in one name")
+        raise Refused("two paths end in one name")
     place(target)[0].create_dir(place(target)[1], recursive=True)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,12 +88,49 @@ def review_rows(text: str) -> list[dict]:
         if error:
             raise ValueError(error)
         row = json.loads(data)["entry"][0]
+        if row.get("accept") == []:
+            row["accept"] = None
         if row.setdefault("accept", None) not in (True, False, None):
             raise ValueError(f"accept must be true, false or empty: {row['accept']}")
         out.append(row)
     return out
 
 
+def reviews(texts: DataFrame) -> DataFrame:
+    """``path, ord, entry, accept, data, error`` of the entries of review files (``path, text``), each file by itself.
+
+    ``entry`` is the text as it stands, with the remarks above it, ``data`` the same as JSON. A file with an entry that
+    can't be read, or whose verdict is neither true, false nor empty, has one row with the error.
+    """
+    importable(texts.sparkSession)
+
+    def read(frames):
+        for frame in frames:
+            rows = []
+            for path, text in zip(frame["path"], frame["text"], strict=True):
+                try:
+                    entries, data = review_entries(text or "")[1], review_rows(text or "")
+                    rows += [(path, i, e, d["accept"], json.dumps(d, ensure_ascii=False), None) for i, (e, d) in enumerate(zip(entries, data, strict=True))]
+                except ValueError as e:
+                    rows.append((path, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "ord", "entry", "accept", "data", "error"]).astype(object).where(lambda f: f.notna(), None)
+
+    return texts.select("path", "text").mapInPandas(read, "path string, ord long, entry string, accept boolean, data string, error string")
+
+
+def split_without_loss(texts: DataFrame) -> DataFrame:
+    """``path, entries, same``: whether a review file's header and entries, put together again, are the file."""
+    importable(texts.sparkSession)
+
+    def join(frames):
+        for frame in frames:
+            parts = [review_entries(t or "") for t in frame["text"]]
+            back = ["\n".join([head, *entries] if head or not entries else entries) for head, entries in parts]
+            yield pd.DataFrame({"path": frame["path"], "entries": [len(e) for _, e in parts], "same": [b == (t or "") or "\n".join([h, *e]) == (t or "") for b, t, (h, e) in zip(back, frame["text"], parts, strict=True)]})
+
+    return texts.select("path", "text").mapInPandas(join, "path string, entries long, same boolean")
+
+
 def _scalar(text: str) -> object:
     text = text.strip()
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":

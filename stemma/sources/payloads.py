@@ -12,9 +12,24 @@ FACT = "struct<type:string,date:struct<formal:string,original:string>,place:stru
 GEDCOMX = f"id string, display struct<name:string,gender:string,birthDate:string,birthPlace:string,deathDate:string,deathPlace:string,ascendancyNumber:string>, names array<struct<nameForms:array<struct<parts:array<struct<type:string,value:string>>>>>>, facts array<{FACT}>"
 
 
-def pedigree(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A fetched pedigree: ``people``, ``edges (child, parent, role)``, ``couples (a, b)``."""
-    raw = spark.read.schema(PEDIGREE).json(path, multiLine=True)
+def pedigree_json(people: DataFrame, edges: DataFrame, couples: DataFrame, calls: DataFrame) -> DataFrame:
+    """``root, value``: fetched pedigrees as JSON, one a ``root``; what ``pedigree`` reads.
+
+    ``people (root, ord, pid, given, ...)``, ``edges (root, child, parent, role)``, ``couples (root, a, b)``, ``calls (root,
+    calls, skipped_leaves)``. A pedigree is one answer of a fetch, so its people fit into a row.
+    """
+    names = [x.split()[0] for x in PERSON.split(", ")]
+    listed = people.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*names).alias("p")))), lambda x: x["p"]).alias("people"))
+    of = lambda role, name: edges.where(F.col("role") == role).groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("child", "parent")))).alias(name))
+    pairs = couples.groupBy("root").agg(F.array_sort(F.collect_list(F.array("a", "b"))).alias("couples"))
+    every = calls.join(listed, "root", "left").join(of(0, "father_of"), "root", "left").join(of(1, "mother_of"), "root", "left").join(pairs, "root", "left")
+    none = lambda c, kind: F.coalesce(c, F.lit(None).cast(kind))
+    return every.select("root", F.to_json(F.struct("root", "calls", "skipped_leaves", "people", none("father_of", "map<string,string>").alias("father_of"), none("mother_of", "map<string,string>").alias("mother_of"), "couples")).alias("value"))
+
+
+def pedigree(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Fetched pedigrees: ``people``, ``edges (child, parent, role)``, ``couples (a, b)``; a file is one, or with ``lines`` each line."""
+    raw = spark.read.schema(PEDIGREE).json(path, multiLine=not lines)
     edges = lambda column, role: raw.select(F.explode(column).alias("child", "parent")).withColumn("role", F.lit(role))
     return {
         "people": raw.select(F.posexplode("people").alias("ord", "p")).select("ord", "p.*"),

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..errors import Spent
+
 #: Fixed value: least nap, in seconds.
 LEAST_NAP = 0.5
 
@@ -115,6 +117,14 @@ def daily(requests: DataFrame, limit: int, server: DataFrame | None = None) -> D
     return ours.withColumn("remaining", F.greatest(F.lit(0).cast("long"), limit - F.col("used")))
 
 
+def refuse_when_spent(counts: DataFrame, day: str) -> int:
+    """What is left of a day (``daily``), or a refusal if nothing is; a day without requests has not begun to be spent."""
+    row = counts.where(F.col("day").cast("string") == day).first()
+    if row is not None and row.remaining <= 0:
+        raise Spent(f"{day}: all {row.used} requests are used")
+    return -1 if row is None else row.remaining
+
+
 def daily_stream(events: DataFrame, limit: int, delay: str = "1 day", server: DataFrame | None = None) -> DataFrame:
     """The same counts from a stream of ``ts``: tumbling days, closed when the watermark passes them.
 

@@ -72,5 +72,6 @@ def test_note_rules(spark, tmp_path):
     assert got == {("kind", "kind.md"), ("title_repeated", "kind.md"), ("trust", "id.md"), ("id_form", "id.md"), ("id_unknown", "id.md"), ("class", "bare.md"), ("title_missing", "bare.md"), ("forbidden_key", "bare.md"), ("image_missing", "bare.md"), ("captions", "bare.md"), ("unreadable", "bad.md")}
     assert {r.id.rsplit("/", 1)[1] for r in note_rules.link_violations(notes.wikilinks(found), found).collect()} == {"id.md"}
     assert {r.id.rsplit("/", 1)[1] for r in note_rules.embed_violations(notes.section_embeds(found), found).collect()} == {"id.md"}
-    said = spark.createDataFrame([("a", "Segons Aina Serra (@I00001@) i Pere Pou @I00001@")], "path string, text string")
-    assert [(r.name) for r in note_rules.names_beside_ids(said, people).collect()] == ["Pere Pou"]
+    text = "Segons @I00001@ Aina Serra\nla @I00001@ **Pere Pou** i @I00001@ Bernat; @I00001@ Àina Sera de Dalt.\n@I00007@ Qui Sap, @I00001@ no, @I00001@\nPere Pou"
+    said = spark.createDataFrame([("a", text), ("b", None)], "path string, text string")
+    assert sorted(tuple(r) for r in note_rules.names_beside_ids(said, people).collect()) == [("a", 2, "I00001", "Pere Pou", "other_person"), ("a", 3, "I00007", "Qui Sap", "unknown_id")]

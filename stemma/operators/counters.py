@@ -42,6 +42,11 @@ def cited_routes(lines: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
     return said.groupBy("route").agg(F.count("*").alias("n"), F.countDistinct("path", "idx").alias("lines")).join(known, "route", "left").withColumn("broken", F.col("found").isNull()).drop("found")
 
 
+def exit_code(routes: DataFrame) -> int:
+    """What a report of counters ends with: 1 if a cited route is broken."""
+    return 0 if routes.where("broken").isEmpty() else 1
+
+
 def labelled(lines: DataFrame, tag: str = "_SOSADABOVILLE") -> DataFrame:
     return lines.where(F.col("tag") == tag).agg(F.countDistinct("path", "rec_id").alias("people"), F.count("*").alias("lines"))
 

@@ -41,6 +41,25 @@ def check_booleans(rows: DataFrame, column: str = "accept") -> None:
         raise Refused(f"{column} must be true, false or empty")
 
 
+def record_spans(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``path, xref, start, end`` of the records ``wanted (path, xref)``, half-open; one that is not there exactly once is refused."""
+    found = wanted.select("path", "xref").distinct().join(lines.where("level = 0 AND xref IS NOT NULL").select("path", "xref", "rec_id"), ["path", "xref"], "left")
+    bad = found.groupBy("path", "xref").agg(F.count("rec_id").alias("n")).where("n <> 1").orderBy("path", "xref").first()
+    if bad is not None:
+        raise Refused(f"{bad.path} has {bad.n} records @{bad.xref}@")
+    spans = lines.join(found, ["path", "rec_id"], "left_semi").groupBy("path", "rec_id").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end"))
+    return found.join(spans, ["path", "rec_id"]).select("path", "xref", "start", "end")
+
+
+def trailers(lines: DataFrame) -> DataFrame:
+    """``path, at``: the line before which new records go, the first ``0 TRLR``; a file without one is refused."""
+    at = lines.groupBy("path").agg(F.min(F.when((F.col("level") == 0) & (F.col("tag") == "TRLR"), F.col("idx"))).alias("at"))
+    bad = at.where("at IS NULL").orderBy("path").first()
+    if bad is not None:
+        raise Refused(f"{bad.path} has no line 0 TRLR")
+    return at
+
+
 def splice(lines: DataFrame, inserts: DataFrame) -> DataFrame:
     """Lines with inserts (``path, at, seq, raw``) before line ``at``, in order of ``seq``; all numbered anew."""
     old = lines.select("path", F.col("idx").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("seq"), "raw")

@@ -85,7 +85,7 @@ def review_kind(rows: DataFrame) -> str:
     names = set(rows.columns)
     if "edits" in names:
         return "corrections"
-    kinds = {r.kind for r in rows.select("kind").distinct().collect()} if "kind" in names else set()
+    kinds = {r.kind for r in rows.select("kind").distinct().limit(2).collect()} if "kind" in names else set()
     if len(kinds) == 1 and kinds <= {"parents", "records", "children"}:
         return kinds.pop()
     if {"target", "fsftid"} <= names:

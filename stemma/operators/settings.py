@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,36 @@ def setting(config: dict, *keys: str, default: object = None) -> object:
     return default if node is None or node == "" else node
 
 
+@dataclass(frozen=True)
+class Scalars:
+    """Settings that are single values, with their defaults; ``None`` is unset."""
+
+    export: str | None
+    floor: str | None
+    counting_root: str | None
+    default_parish: str
+    marriage_age: int
+    archives: dict[str, str]
+
+
+def scalars(config: dict) -> Scalars:
+    """The single values of a configuration. Texts that are empty count as unset."""
+    text = lambda *keys: None if (v := setting(config, *keys)) is None else str(v)
+    age = setting(config, "apv", "edat_de_casar", default=24)
+    if not str(age).strip().isdigit():
+        raise Misconfigured(f"the age of marriage is no number: {age}")
+    archives = setting(config, "frontmatter", "arxius", default={}) or {}
+    return Scalars(text("exportacio_familysearch"), text("apv", "terra_documentada"), text("estat", "arrel"), text("apv", "parroquia_per_defecte") or "", int(age), {str(k): str(v) for k, v in archives.items()})
+
+
+def root_id(config: dict) -> str:
+    """Who fetches begin with; a project has to say so."""
+    found = setting(config, "familysearch", "arrel")
+    if found is None:
+        raise Misconfigured("familysearch: arrel is not set")
+    return str(found)
+
+
 def is_backup(name: str) -> bool:
     """Whether a file name ends in a time, as dated copies do."""
     return re.fullmatch(r".*_\d{8}-\d{6}", name.rsplit(".", 1)[0]) is not None

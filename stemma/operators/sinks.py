@@ -126,8 +126,7 @@ def flattened_places(lines: DataFrame, form: str = "Aldea, Ciutat, Codi Postal,
     """Lines for an import: place strings without postal slot and empty levels. Refuses another layout in the header."""
     from ..functions.places import flattened
 
-    shown = lines.where("tag = 'FORM' AND level = 2 AND contains(value, ',')").select("value").distinct().collect()
-    if any(r.value != form for r in shown):
+    if not lines.where("tag = 'FORM' AND level = 2 AND contains(value, ',')").where(F.col("value") != form).isEmpty():
         raise Refused("the header names another layout of places")
     place = F.col("tag") == "PLAC"
     return lines.withColumn("raw", F.when(place, F.concat(F.col("level").cast("string"), F.lit(" PLAC "), flattened(F.col("value")))).otherwise(F.col("raw")))

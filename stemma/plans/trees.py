@@ -14,7 +14,7 @@ from ..functions.places import place_components
 from ..operators import counters, edit, graph, places, rank, resolve, sinks
 from ..operators.order import numbered
 from ..session import cut, shared_folder, table
-from ..sources import gedcom
+from ..sources import gedcom, payloads
 
 
 def _id(kind: str, k: str) -> str:
@@ -353,8 +353,6 @@ def q51_live_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("call"), F.col("c_custkey").cast("long").alias("k"))
     nth = counters.numbered(c, "call", "k")
     people = nth.select("call", F.concat(F.lit("P"), F.col("k").cast("string")).alias("pid"), F.when(F.col("n") % 6 == 5, F.concat((F.col("n") - 1).cast("string"), F.lit("-S"))).otherwise(F.col("n").cast("string")).alias("sosa"))
-    from ..sources import payloads
-
     edges, couples = payloads.ancestry_edges(people), payloads.spouse_pairs(people)
     beside = graph.live_relations(edges, couples).groupBy("pid").agg(F.count("*").alias("spouses"))
     up = edges.groupBy(F.col("child").alias("pid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("role", "parent"))), lambda x: x["parent"]), ",").alias("parents"))
@@ -422,5 +420,24 @@ WITH l AS (SELECT 'd' || (o_orderkey >> 9) AS path, k AS idx, {_DEEP} AS level F
 r AS (SELECT *, count(*) FILTER (WHERE level = 0) OVER (PARTITION BY path ORDER BY idx) AS rec_id FROM l)
 SELECT a.path, a.idx, CAST(a.level AS INTEGER) AS level, a.rec_id, max(b.idx) AS parent_idx FROM r a LEFT JOIN r b ON a.path = b.path AND a.rec_id = b.rec_id AND b.idx < a.idx AND b.level < a.level GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (q40_lines, q41_people, q42_families, q43_relations, q44_rewrite, q45_records, q46_place_book, q47_stamp, q48_delete, q49_person_score, q50_foster, q51_live_tree, q52_merge, q53_upsert, q72_nested)}
-SQL = {"q40_lines": Q40, "q41_people": Q41, "q42_families": Q42, "q43_relations": Q43, "q44_rewrite": Q44, "q45_records": Q45, "q46_place_book": Q46, "q47_stamp": Q47, "q48_delete": Q48, "q49_person_score": Q49, "q50_foster": Q50, "q51_live_tree": Q51, "q52_merge": Q52, "q53_upsert": Q53, "q72_nested": Q72}
+def q85_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every tenth person's record and where new records go, file by file; answers held already and keys to be asked for."""
+    plain = _lines(spark, sf_dir)
+    ends = plain.groupBy("path").agg((F.max("idx") + 5).alias("idx")).withColumn("raw", F.lit("0 TRLR"))
+    lines = cut(gedcom.nested(gedcom.tokenise(plain.unionByName(ends))))
+    wanted = cut(lines.where("level = 0 AND tag = 'INDI' AND cast(substr(xref, 2) AS long) % 10 = 0").select("path", "xref"))
+    spans = edit.record_spans(lines, wanted).select("path", F.col("xref").alias("key"), F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")).alias("value"))
+    at = edit.trailers(lines).select("path", F.lit("TRLR").alias("key"), F.col("at").cast("string").alias("value"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    held, open_ = payloads.answered(c.select(F.expr("concat('K', k >> 1)").alias("key")), c.where("k % 3 <> 2").select(F.expr("concat('K', k % 400)").alias("key"), F.col("k").alias("taken"), F.expr("concat('body ', k)").alias("body")))
+    return spans.unionByName(at).unionByName(held.select(F.lit("held").alias("path"), "key", F.col("body").alias("value"))).unionByName(open_.select(F.lit("open").alias("path"), "key", F.lit("").alias("value")))
+
+
+Q85 = f"""
+WITH {_L}, h AS (SELECT k % 400 AS m, max(k) AS k FROM c WHERE k % 3 <> 2 GROUP BY 1), a AS (SELECT DISTINCT k >> 1 AS m FROM c)
+SELECT path, {_id('I', 'k')} AS key, min(idx) || '-' || (max(idx) + 1) AS value FROM l WHERE kind = 'I' AND k % 10 = 0 GROUP BY path, k
+UNION ALL SELECT path, 'TRLR', CAST(max(idx) + 5 AS STRING) FROM l GROUP BY path
+UNION ALL SELECT 'held', 'K' || m, 'body ' || k FROM h JOIN a USING (m) UNION ALL SELECT 'open', 'K' || m, '' FROM a WHERE m NOT IN (SELECT m FROM h)"""
+
+QUERIES = {f.__name__: f for f in (q40_lines, q41_people, q42_families, q43_relations, q44_rewrite, q45_records, q46_place_book, q47_stamp, q48_delete, q49_person_score, q50_foster, q51_live_tree, q52_merge, q53_upsert, q72_nested, q85_spans)}
+SQL = {"q40_lines": Q40, "q41_people": Q41, "q42_families": Q42, "q43_relations": Q43, "q44_rewrite": Q44, "q45_records": Q45, "q46_place_book": Q46, "q47_stamp": Q47, "q48_delete": Q48, "q49_person_score": Q49, "q50_foster": Q50, "q51_live_tree": Q51, "q52_merge": Q52, "q53_upsert": Q53, "q72_nested": Q72, "q85_spans": Q85}

@@ -44,6 +44,16 @@ def snapshot(texts: DataFrame, column: str = "value") -> DataFrame:
     return read.select("xref", F.col("p.fsftid").alias("fsftid"), F.col("p.estat").alias("status"), F.col("p.amunt").alias("upstream"), F.col("p.mes_antic").alias("oldest"), F.col("p.pares").alias("parents"))
 
 
+def answered(asked: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers that are held already, ``key, body``, and the keys that have to be asked for, each once.
+
+    ``asked (key)``; ``held (key, taken, body)``, of which the last taken counts.
+    """
+    last = held.groupBy("key").agg(F.max_by("body", "taken").alias("body"))
+    keys = asked.select("key").distinct()
+    return keys.join(last, "key"), keys.join(last.select("key"), "key", "left_anti")
+
+
 def _kind(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from stemma import errors
 from stemma.functions import labels
-from stemma.operators import edit, settings
-from stemma.sources import notes, payloads
+from stemma.operators import counters, edit, settings
+from stemma.sources import gedcom, notes, payloads
 from stemma.streaming import rate
 
 REVIEW = """# Review
@@ -59,6 +59,37 @@ def test_labels(spark):
     assert tuple(one) == ("Anna Mas (?, Sosa 4) @I1@", " Mas (1800) @I2@", "~~**X**: bateig ?, Agres~~\n    why\n    <u>", one.d, "3/40 lookups (d), our own pace") and one.d.startswith("3 requests, 2 held already, 1.")
 
 
+def test_spans_and_trailers(spark):
+    raw = ["0 HEAD", "0 @I1@ INDI", "1 SEX M", "0 @I2@ INDI", "0 @I2@ INDI", "0 TRLR"]
+    lines = gedcom.nested(gedcom.tokenise(spark.createDataFrame([("f", i, r) for i, r in enumerate(raw)] + [("g", 0, "0 HEAD")], "path string, idx int, raw string"))).cache()
+    want = lambda *x: spark.createDataFrame([("f", i) for i in x], "path string, xref string")
+    assert [tuple(r) for r in edit.record_spans(lines, want("I1", "I1")).collect()] == [("f", "I1", 1, 3)]
+    for bad in ("I2", "I9"):
+        with pytest.raises(errors.Refused):
+            edit.record_spans(lines, want("I1", bad))
+    assert [tuple(r) for r in edit.trailers(lines.where("path = 'f'")).collect()] == [("f", 5)]
+    with pytest.raises(errors.Refused):
+        edit.trailers(lines)
+
+
+def test_single_settings():
+    assert settings.scalars({}) == settings.Scalars(None, None, None, "", 24, {})
+    got = settings.scalars({"apv": {"edat_de_casar": "21", "terra_documentada": "I7", "parroquia_per_defecte": ""}, "frontmatter": {"arxius": {"a": 1}}, "estat": {"arrel": "I1"}})
+    assert (got.marriage_age, got.floor, got.default_parish, got.archives, got.counting_root) == (21, "I7", "", {"a": "1"}, "I1")
+    assert settings.root_id({"familysearch": {"arrel": "X"}}) == "X"
+    for bad in (lambda: settings.root_id({}), lambda: settings.scalars({"apv": {"edat_de_casar": "old"}})):
+        with pytest.raises(errors.Misconfigured):
+            bad()
+
+
+def test_held_answers_and_exit_codes(spark):
+    asked = spark.createDataFrame([("a",), ("a",), ("b",)], "key string")
+    held, open_ = payloads.answered(asked, spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("z", 1, "")], "key string, taken int, body string"))
+    assert [tuple(r) for r in held.collect()] == [("a", "new")] and [tuple(r) for r in open_.collect()] == [("b",)]
+    routes = spark.createDataFrame([("x", False), ("y", True)], "route string, broken boolean")
+    assert (counters.exit_code(routes), counters.exit_code(routes.where("NOT broken"))) == (1, 0)
+
+
 def test_refusals_by_kind(spark):
     assert all(issubclass(x, errors.Refused) for x in (errors.Misconfigured, errors.Damaged, errors.Spent)) and edit.Refused is errors.Refused
     with pytest.raises(errors.Misconfigured):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read again: as ``cut``, but compressed, and readers take the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table given in code; its size is that of the literal."""
     return spark.createDataFrame(rows, schema)

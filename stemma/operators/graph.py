@@ -32,19 +32,38 @@ def ancestor_slots(edges: DataFrame, roots: DataFrame, depth: int, birth_only: b
     return out
 
 
+def slot_counts(edges: DataFrame, roots: DataFrame, depth: int, birth_only: bool = True) -> DataFrame:
+    """``person, gen, n``: the slots of ``ancestor_slots`` counted, so a generation has at most a row for each person."""
+    usable = edges.where("is_birth") if birth_only and "is_birth" in edges.columns else edges
+    step = cut(usable.select("child", "parent"))
+    level = cut(roots.groupBy("person").agg(F.count("*").alias("n")).select("person", F.lit(1).alias("gen"), "n"))
+    out = level
+    for g in range(2, depth + 1):
+        level = cut(level.join(step, level.person == step.child).groupBy(F.col("parent").alias("person")).agg(F.sum("n").alias("n")).select("person", F.lit(g).alias("gen"), "n"))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+def _slots(slots: DataFrame) -> Column:
+    """Number of slots of ``ancestor_slots`` or ``slot_counts``."""
+    return F.coalesce(F.sum("n"), F.lit(0)) if "n" in slots.columns else F.count("*")
+
+
 def generation_counts(slots: DataFrame) -> DataFrame:
     """Slots of each generation beside the number that a full pedigree has."""
-    return slots.groupBy("gen").agg(F.count("*").alias("n")).withColumn("of", F.pow(F.lit(2.0), F.col("gen") - 1).cast("long"))
+    return slots.groupBy("gen").agg(_slots(slots).alias("n")).withColumn("of", F.pow(F.lit(2.0), F.col("gen") - 1).cast("long"))
 
 
 def implex(slots: DataFrame) -> DataFrame:
     """Slots, distinct ancestors, and their difference."""
-    return slots.agg(F.count("*").alias("slots"), F.countDistinct("person").alias("people")).withColumn("implex", F.col("slots") - F.col("people"))
+    return slots.agg(_slots(slots).alias("slots"), F.countDistinct("person").alias("people")).withColumn("implex", F.col("slots") - F.col("people"))
 
 
 def foster_delta(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Generations in which walking through foster families adds slots, and how many."""
-    count = lambda birth, name: ancestor_slots(edges, roots, depth, birth).groupBy("gen").agg(F.count("*").alias(name))
+    count = lambda birth, name: slot_counts(edges, roots, depth, birth).groupBy("gen").agg(F.sum("n").alias(name))
     both = count(False, "every").join(count(True, "birth"), "gen", "full_outer").na.fill(0)
     return both.select("gen", (F.col("every") - F.col("birth")).alias("delta")).where("delta <> 0")
 

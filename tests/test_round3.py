@@ -1,5 +1,8 @@
 """Faults found at sizes and keys that the driver's small tables do not have."""
 
+from pyspark.sql import functions as F
+
+from stemma.operators import graph
 from stemma.plans import catalog
 
 
@@ -15,3 +18,19 @@ def test_spouses_without_a_record_come_last_whatever_the_key(spark, tmp_path):
     folder = customers(spark, tmp_path, [27570, 27571, 55140, 55141])
     got = {r.xref: r.spouses for r in catalog.queries()["q43_relations"](spark, folder).collect()}
     assert got["I27570"] == "I27571,I0X" and got["I27571"] == "I0X"
+
+
+def test_slots_are_counted_a_row_a_person_and_generation(spark):
+    # Two parents each, who are the same two people: slots double, rows do not.
+    edges = spark.createDataFrame([(c, p, c != 3) for c in range(4) for p in (0, 1)], "child long, parent long, is_birth boolean")
+    roots = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 3)], "person long")
+    for birth in (True, False):
+        counted, listed = graph.slot_counts(edges, roots, 9, birth), graph.ancestor_slots(edges, roots, 9, birth)
+        assert {(r.person, r.gen): r.n for r in counted.collect()} == {(r.person, r.gen): r.n for r in listed.groupBy("person", "gen").agg(F.count("*").alias("n")).collect()}
+        assert counted.count() == counted.select("person", "gen").distinct().count()
+        for of in (graph.implex, graph.generation_counts):
+            assert sorted(map(tuple, of(counted).collect())) == sorted(map(tuple, of(listed).collect()))
+    # A list of the slots of twenty generations has 2^20 rows.
+    assert graph.implex(graph.slot_counts(edges, roots.where("person = 0"), 20)).first().slots == 2**20 - 1
+    assert graph.foster_delta(edges, roots, 10).agg(F.max("delta")).first()[0] == 2**10
+    assert tuple(graph.implex(graph.slot_counts(edges, roots.where("person > 9"), 4)).first()) == (0, 0, 0)

@@ -34,3 +34,10 @@ def test_slots_are_counted_a_row_a_person_and_generation(spark):
     assert graph.implex(graph.slot_counts(edges, roots.where("person = 0"), 20)).first().slots == 2**20 - 1
     assert graph.foster_delta(edges, roots, 10).agg(F.max("delta")).first()[0] == 2**10
     assert tuple(graph.implex(graph.slot_counts(edges, roots.where("person > 9"), 4)).first()) == (0, 0, 0)
+
+
+def test_lists_hold_all_names_of_a_nation(spark, tmp_path):
+    folder = customers(spark, tmp_path, range(0, 5000, 25))
+    spark.createDataFrame([(k, k) for k in range(9)], "o_orderkey int, o_custkey int").write.parquet(f"{folder}/orders.parquet")
+    got = {r.key: r.n for r in catalog.queries()["q53_upsert"](spark, folder).where("key LIKE 'list %'").collect()}
+    assert got == {"list 0": 200}

@@ -138,7 +138,7 @@ def imports(people: DataFrame, accepted: DataFrame, first_person: int, first_fam
 
 
 def new_children(families: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Children of accepted proposals (``family, child``) that a family does not have yet, as lines in order."""
+    """Children of accepted proposals (``family, child``) that a family does not have yet, as lines in order. A family may stand in several rows."""
     have = families.select(F.col("xref").alias("family"), F.explode("children").alias("child"))
     fresh = accepted.join(have, ["family", "child"], "left_anti").join(families.select(F.col("xref").alias("family")), "family", "left_semi")
     return fresh.select("family", "child", F.concat(F.lit("1 CHIL @"), "child", F.lit("@")).alias("raw"))

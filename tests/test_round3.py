@@ -41,3 +41,9 @@ def test_lists_hold_all_names_of_a_nation(spark, tmp_path):
     spark.createDataFrame([(k, k) for k in range(9)], "o_orderkey int, o_custkey int").write.parquet(f"{folder}/orders.parquet")
     got = {r.key: r.n for r in catalog.queries()["q53_upsert"](spark, folder).where("key LIKE 'list %'").collect()}
     assert got == {"list 0": 200}
+
+
+def test_imports_name_every_link_and_all_children_of_a_nation(spark, tmp_path):
+    got = {r.what: r.value for r in catalog.queries()["q67_imports"](spark, customers(spark, tmp_path, range(60))).collect()}
+    assert sum(w.startswith("link ") for w in got) == 48 and got["link I000001"] == "1 FAMC @F500000@"
+    assert got["children"] == str(sum(k % 30 != k % 25 and k % 30 < 25 for k in range(60)))

@@ -47,3 +47,12 @@ def test_imports_name_every_link_and_all_children_of_a_nation(spark, tmp_path):
     got = {r.what: r.value for r in catalog.queries()["q67_imports"](spark, customers(spark, tmp_path, range(60))).collect()}
     assert sum(w.startswith("link ") for w in got) == 48 and got["link I000001"] == "1 FAMC @F500000@"
     assert got["children"] == str(sum(k % 30 != k % 25 and k % 30 < 25 for k in range(60)))
+
+
+def test_shared_prose_of_two_later_documents_is_a_pair(spark, tmp_path):
+    passage = [f"w{i}" for i in range(20)]
+    texts = [(k, " ".join([*passage, f"own{k}", *(f"x{i}" for i in range(14))][: 35 if k else 20]), None) for k in range(3)] + [(3, " ".join(passage), None)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): (r.longest, r.shared) for r in catalog.queries()["q16_shingle_pairs"](spark, str(tmp_path)).collect()}
+    # Documents 1 and 2 share the passage and a tail; document 3 is a copy of 0.
+    assert got == {(0, 1): (20, 9), (0, 2): (20, 9), (1, 2): (20, 12), (0, 3): (20, 9)}

@@ -35,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+    """One document of each group of near copies stays: SimHash fingerprints within three bits, or five-word shingles with a similarity of 0.8 or more.
 
     It is that of the smallest id (null last), then of the smallest content key; of repeated rows one stays. Texts
     without words, null ones among them, are copies of each other.

@@ -8,7 +8,8 @@
    into blocks by set size, similar sets being in the same or the next class of sizes, and each pair of blocks
    that can hold links is compared by itself, so no task holds more than two blocks.
 
-64 bits of a SimHash cannot do this: at similarity 0.8 about ten of them differ.
+64 bits of a SimHash cannot do this alone: at similarity 0.8 about ten of them differ. Where groups are taken for
+the pipeline (``one_of_each``), links of SimHash fingerprints within three bits, from operator 4's index, count too.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import op04_simhash
 from .common import arrow_map, cut, mix64, pieces, tidy, width
 from .components import components
 from .op04_simhash import SEED, first_of_groups
@@ -171,6 +173,23 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
     return marked.select("doc_id", "fp").join(named.select("fp", "component").join(first, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
 
 
+def joined_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``doc_id, component_id`` of rows ``row, t``: the smallest row reachable through links of SimHash fingerprints and of similar sets together.
+
+    Both give components; a component of the one and one of the other are the same group where they share a row. Only
+    64-bit names of components move between them.
+    """
+    print_ = op04_simhash.near_groups(rows, id_column="row", text_column="t").select("doc_id", F.col("component_id").alias("p"))
+    sets = near_groups(rows, shingle, least).select(F.col("doc_id").alias("s_id"), F.col("component_id").alias("s"))
+    # Repeated rows stand in both; one of each is enough.
+    both = print_.distinct().join(sets.distinct(), F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", F.xxhash64(F.lit(0), "p").alias("p"), F.xxhash64(F.lit(1), "s").alias("s"))
+    both = cut(both)
+    stars = components(both.select(F.col("p").alias("u"), F.col("s").alias("v")).distinct())
+    named = both.join(stars, both.p == stars.node, "left").select("doc_id", F.coalesce("component", "p").alias("g"))
+    first = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    return named.join(first, "g").select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of near copies, chosen as in ``op04_simhash.one_of_each``."""
-    return first_of_groups(docs, lambda rows: near_groups(rows, shingle, least), id_column, text_column)
+    """One row of each group of near copies, by fingerprints and by similarity, chosen as in ``op04_simhash.one_of_each``."""
+    return first_of_groups(docs, lambda rows: joined_groups(rows, shingle, least), id_column, text_column)

@@ -56,3 +56,33 @@ def test_shared_prose_of_two_later_documents_is_a_pair(spark, tmp_path):
     got = {(r.a, r.b): (r.longest, r.shared) for r in catalog.queries()["q16_shingle_pairs"](spark, str(tmp_path)).collect()}
     # Documents 1 and 2 share the passage and a tail; document 3 is a copy of 0.
     assert got == {(0, 1): (20, 9), (0, 2): (20, 9), (1, 2): (20, 12), (0, 3): (20, 9)}
+
+
+def test_the_near_copy_stage_takes_fingerprints_and_similarity(spark):
+    import random
+
+    import corpus_pipeline
+    from stemma.llm import near_copies, op04_simhash
+
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    docs = [(0, " ".join(base)), (1, " ".join([*base[:100], "x", *base[101:]]))]
+    found = None
+    for k in range(400):
+        words = [rng.choice("abcdefgh") for _ in range(60)]
+        other = words[:]
+        other[rng.randrange(60)] = "z"
+        a, b = " ".join(words), " ".join(other)
+        near = (op04_simhash.fingerprint(a.encode()) ^ op04_simhash.fingerprint(b.encode())).bit_count() <= 3
+        if near and not near_copies.alike(near_copies.shingles(a.encode()), near_copies.shingles(b.encode()), 0.9):
+            found = (a, b)
+            break
+    assert found, "no such pair in 400"
+    docs += [(2, found[0]), (3, found[1])]
+    df = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars int")
+    rows = df.select(F.struct("doc_id").alias("row"), F.col("text").alias("t"))
+    strict = {r.doc_id.doc_id: r.component_id.doc_id for r in near_copies.near_groups(rows, least=0.99).collect()}
+    both = {r.doc_id.doc_id: r.component_id.doc_id for r in near_copies.joined_groups(rows, least=0.99).collect()}
+    assert strict == {0: 0, 1: 1, 2: 2, 3: 3} and both[3] == 2 and both[0] == 0
+    assert 3 not in {r.doc_id for r in near_copies.one_of_each(df, least=0.99).collect()}
+    assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()} <= {0, 1, 2}

@@ -86,3 +86,18 @@ def test_the_near_copy_stage_takes_fingerprints_and_similarity(spark):
     assert strict == {0: 0, 1: 1, 2: 2, 3: 3} and both[3] == 2 and both[0] == 0
     assert 3 not in {r.doc_id for r in near_copies.one_of_each(df, least=0.99).collect()}
     assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()} <= {0, 1, 2}
+
+
+def test_pairs_of_classes_expand_to_all_pairs(spark, tmp_path):
+    names = ("red ring", "red bolt", "hot gear", "ring red")
+    parts = [(k, names[(k >> 1) % 4], f"Brand#{k % 3 and 1}", "LARGE", 1 + (k >> 3) % 2) for k in range(64)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    for name, brand in (("q34_pair_score_words", False), ("q04_pair_score", True)):
+        rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+        first = {r.r_id: r.l_id for r in rows if r.what == "copy"}
+        pairs = {(r.l_id, r.r_id) for r in rows if r.what == "pair"}
+        assert len(rows) == len(first) + len(pairs) and not set(first) & {x for p in pairs for x in p}
+        share = lambda a, b: set(a[1].split()) & set(b[1].split()) and (not brand or a[2:4] == b[2:4])
+        assert {(a[0], b[0]) for a in parts for b in parts if (first.get(a[0], a[0]), first.get(b[0], b[0])) in pairs} == {(a[0], b[0]) for a in parts for b in parts if a[0] % 2 == 0 and b[0] % 2 == 1 and share(a, b)}
+        # Two sides of at most eight classes, or of sixteen with brands: pairs do not grow with copies.
+        assert len(pairs) <= (256 if brand else 64)

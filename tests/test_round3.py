@@ -101,3 +101,12 @@ def test_pairs_of_classes_expand_to_all_pairs(spark, tmp_path):
         assert {(a[0], b[0]) for a in parts for b in parts if (first.get(a[0], a[0]), first.get(b[0], b[0])) in pairs} == {(a[0], b[0]) for a in parts for b in parts if a[0] % 2 == 0 and b[0] % 2 == 1 and share(a, b)}
         # Two sides of at most eight classes, or of sixteen with brands: pairs do not grow with copies.
         assert len(pairs) <= (256 if brand else 64)
+
+
+def test_people_that_no_score_tells_apart_are_paired_once(spark, tmp_path):
+    # All attributes repeat after 159,600 keys, so these are 120 people and 120 copies.
+    keys = [k + 159600 * n for k in range(120) for n in range(2)]
+    rows = catalog.queries()["q49_person_score"](spark, customers(spark, tmp_path, keys)).collect()
+    assert {(r.l_id, r.r_id) for r in rows if r.what == "copy"} == {(k, k + 159600) for k in range(120)}
+    pairs = [(r.l_id, r.r_id) for r in rows if r.what == "pair"]
+    assert len(set(pairs)) == len(pairs) > 0 and all(a < 120 and b < 120 for a, b in pairs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio_bound, sequence_ratio
 from ..session import cut, importable
+from .resolve import copies
 
 #: Fixed value: least similarity of two tokens.
 SIMILAR = 0.85
@@ -47,6 +48,22 @@ def fuzzy(people: DataFrame, documents: DataFrame, least: float = SIMILAR) -> Da
     return hit.join(need, "person").where("got = need").select("person", "document")
 
 
+def fuzzy_classes(people: DataFrame, documents: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``what, person, document, first_person, first_document``: the links of ``fuzzy`` by classes of the same tokens, so repeated names do not multiply.
+
+    A row ``pair`` links the first person of a class with the first document of one; every other member is a row
+    ``person`` or ``document`` beside the first of its class, and has the links of that one. Expanded they are all links.
+    """
+    told = F.array_sort(F.array_distinct(F.filter("tokens", lambda x: F.length(x) > 2))).alias("tokens")
+    (p, p_copies), (d, d_copies) = (copies(rows.select(F.col(name).alias("id"), told), ["tokens"]) for rows, name in ((people, "person"), (documents, "document")))
+    links = fuzzy(p.withColumnRenamed("id", "person"), d.withColumnRenamed("id", "document"), least)
+    none = {x: F.lit(None).cast(rows.schema["id"].dataType) for x, rows in (("person", p), ("document", d))}
+    out = links.select(F.lit("pair").alias("what"), "person", "document", none["person"].alias("first_person"), none["document"].alias("first_document"))
+    out = out.unionByName(p_copies.select(F.lit("person").alias("what"), F.col("id").alias("person"), none["document"].alias("document"), F.col("first").alias("first_person"), none["document"].alias("first_document")))
+    return out.unionByName(d_copies.select(F.lit("document").alias("what"), none["person"].alias("person"), F.col("id").alias("document"), none["person"].alias("first_person"), F.col("first").alias("first_document")))
+
+
+
 def with_declared(guessed: DataFrame, declared: DataFrame, covered: DataFrame) -> DataFrame:
     """Declared links, and guesses whose document no declaration covers."""
     fine = guessed.join(covered.select("document").distinct(), "document", "left_anti").select("person", "document")

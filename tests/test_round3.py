@@ -110,3 +110,19 @@ def test_people_that_no_score_tells_apart_are_paired_once(spark, tmp_path):
     assert {(r.l_id, r.r_id) for r in rows if r.what == "copy"} == {(k, k + 159600) for k in range(120)}
     pairs = [(r.l_id, r.r_id) for r in rows if r.what == "pair"]
     assert len(set(pairs)) == len(pairs) > 0 and all(a < 120 and b < 120 for a, b in pairs)
+
+
+def test_fuzzy_links_do_not_grow_with_copies(spark, tmp_path):
+    from stemma.operators import link
+
+    names = ["small ring", "red bolt", "ring small", "of"]
+    people = spark.createDataFrame([(k, names[k % 4].split()) for k in range(80)], "person int, tokens array<string>")
+    docs = spark.createDataFrame([(f"d{k:02}", [w + "s" * (k % 2) for w in names[k % 4].split()] + ["1840"]) for k in range(40)], "document string, tokens array<string>")
+    rows = link.fuzzy_classes(people, docs).collect()
+    person, document = ({r[kind]: r[f"first_{kind}"] for r in rows if r.what == kind} for kind in ("person", "document"))
+    pairs = [(r.person, r.document) for r in rows if r.what == "pair"]
+    ids = [f"d{k:02}" for k in range(40)]
+    got = {(p, q) for p in range(80) for q in ids if (person.get(p, p), document.get(q, q)) in pairs}
+    assert got == {tuple(r) for r in link.fuzzy(people, docs).collect()} and len(got) == 1000
+    # Two names in either order are one class: two classes of people with as many of documents.
+    assert len(set(pairs)) == len(pairs) == 2

@@ -93,11 +93,14 @@ def staged_lines(lines: DataFrame, meta: DataFrame, folder: str) -> tuple[str, D
     return root, linefiles.named(gedcom.raw_lines(lines.sparkSession, linefiles.staged_files(root)))
 
 
-def checked(lines: DataFrame, meta: DataFrame, root: str) -> DataFrame:
-    """``path, lines, read_again, same`` of a staged write; one that does not give back its lines, marks and newlines is removed and refused."""
+def checked(lines: DataFrame, meta: DataFrame, root: str, read: DataFrame | None = None) -> DataFrame:
+    """``path, lines, read_again, same`` of a staged write; one that does not give back its lines, marks and newlines is removed and refused.
+
+    ``read`` are the lines as read again, where the caller has kept them; else they are read here.
+    """
     spark = lines.sparkSession
     files = linefiles.staged_files(root)
-    report = cut(edit.reread(lines, linefiles.named(gedcom.raw_lines(spark, files))))
+    report = cut(edit.reread(lines, linefiles.named(gedcom.raw_lines(spark, files)) if read is None else read))
     told = linefiles.named(gedcom.file_meta(spark, files)).select("path", F.struct("has_bom", "newline", "trailing_newline").alias("found"))
     shape = F.struct(F.coalesce("has_bom", F.lit(False)).alias("has_bom"), F.coalesce("newline", F.lit("\n")).alias("newline"), F.coalesce("trailing_newline", F.lit(True)).alias("trailing_newline"))
     # A file of one line without an end does not show its kind of newline.

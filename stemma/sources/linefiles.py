@@ -142,6 +142,8 @@ def stage(lines: DataFrame, meta: DataFrame, folder: str) -> str:
                 fs.move(new, f"{base}/files/{file_name(path)}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
+    # Names of parts are few bytes, which would be read as one task, but files are many.
+    files = files.repartition(4 * spark.sparkContext.defaultParallelism)
     if files.mapInArrow(together, "path string, bytes long").agg(F.sum("bytes")).first()[0] is None:
         fs, base = place(root)
         fs.create_dir(f"{base}/files", recursive=True)
@@ -196,4 +198,4 @@ def publish(spark: SparkSession, root: str, target: str, keep: str | None = None
                 kept.append(keep is not None and fs.get_file_info(f"{goal}/{name}{keep}").type == pafs.FileType.File)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.bool_())], names=["name", "kept"])
 
-    return cut(names.mapInArrow(move, "name string, kept boolean"))
+    return cut(names.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(move, "name string, kept boolean"))

@@ -126,3 +126,12 @@ def test_fuzzy_links_do_not_grow_with_copies(spark, tmp_path):
     assert got == {tuple(r) for r in link.fuzzy(people, docs).collect()} and len(got) == 1000
     # Two names in either order are one class: two classes of people with as many of documents.
     assert len(set(pairs)) == len(pairs) == 2
+
+
+def test_lines_of_a_small_table_are_made_by_all_cores(spark, tmp_path):
+    from stemma.plans import trees
+
+    lines = trees._lines(spark, customers(spark, tmp_path, range(400)))
+    # People and families; a scan of one file and a small shuffle were two tasks.
+    assert lines.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert lines.select("path", "idx").distinct().count() == lines.count() > 4000

@@ -133,8 +133,8 @@ def _tiles(members: DataFrame, least: float) -> DataFrame:
     return calm.unionByName(dealt.select("least", "fp", F.xxhash64("component", "x.k1", "x.j1", "x.k2", "x.j2").alias("tile"), F.col("x.side").alias("side")))
 
 
-def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """``doc_id, component_id`` of rows ``row, t``: the smallest row of all that links reach."""
+def _marked(rows: DataFrame, shingle: int, prints: bool = False) -> DataFrame:
+    """``doc_id, fp, m, bands`` of rows ``row, t``: a hash of the set of shingles, its size and bands; with ``prints`` also ``print``, operator 4's fingerprint."""
     kind = rows.schema["row"].dataType.simpleString()
 
     def make():
@@ -142,12 +142,18 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
             for first, texts in pieces(batch.column(1)):
                 sets = [shingles(t, shingle) for t in texts]
                 fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(fp), pa.array(list(map(len, sets)), pa.int32()), pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "fp", "m", "bands"])
+                out = {"doc_id": batch.column(0).slice(first, len(texts)), "fp": pa.array(fp), "m": pa.array(list(map(len, sets)), pa.int32()), "bands": pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))}
+                if prints:
+                    out["print"] = pa.array(np.array([op04_simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
         return step
 
-    marked = cut(arrow_map(rows.select("row", "t"), make, f"doc_id {kind}, fp long, m int, bands array<long>"))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("m").alias("m"), F.first("bands").alias("bands")))
+    return cut(arrow_map(rows.select("row", "t"), make, f"doc_id {kind}, fp long, m int, bands array<long>" + ", print long" * prints))
+
+
+def _set_links(rows: DataFrame, distinct: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links ``u, v`` between similar sets that share a band, enough to connect them; ``distinct`` has ``fp, least, m, bands``."""
     each = distinct.select("fp", F.explode("bands").alias("b"))
     # Both sides of this join are plain rows of a shuffle, so a band that very many sets share can be split.
     shared = cut(each.groupBy("b").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select("b", "u"))
@@ -167,27 +173,40 @@ def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], names=["u", "v"])
 
-    stars = components(texts.mapInArrow(tidy(compare), "u long, v long"))
-    named = distinct.select("fp", "least").join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return texts.mapInArrow(tidy(compare), "u long, v long")
+
+
+def _told(marked: DataFrame, nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``doc_id, component_id`` of marked rows, whose ``node`` is one of ``nodes`` (with ``least``, its smallest row) and linked by ``edges (u, v)``."""
+    named = nodes.select(node, "least").join(components(edges).withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "fp").join(named.select("fp", "component").join(first, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return marked.select("doc_id", node).join(named.select(node, "component").join(first, "component").select(node, "component_id"), node).select("doc_id", "component_id")
+
+
+def near_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """``doc_id, component_id`` of rows ``row, t``: the smallest row of all that links reach."""
+    marked = _marked(rows, shingle)
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("m").alias("m"), F.first("bands").alias("bands")))
+    return _told(marked, distinct, _set_links(rows, distinct, shingle, least), "fp")
 
 
 def joined_groups(rows: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """``doc_id, component_id`` of rows ``row, t``: the smallest row reachable through links of SimHash fingerprints and of similar sets together.
 
-    Both give components; a component of the one and one of the other are the same group where they share a row. Only
-    64-bit names of components move between them.
+    Fingerprints are the nodes. Texts of one set are linked by the least of their fingerprints, which stands for the
+    set in its links, so links of both kinds give components at once.
     """
-    print_ = op04_simhash.near_groups(rows, id_column="row", text_column="t").select("doc_id", F.col("component_id").alias("p"))
-    sets = near_groups(rows, shingle, least).select(F.col("doc_id").alias("s_id"), F.col("component_id").alias("s"))
-    # Repeated rows stand in both; one of each is enough.
-    both = print_.distinct().join(sets.distinct(), F.col("doc_id").eqNullSafe(F.col("s_id"))).select("doc_id", F.xxhash64(F.lit(0), "p").alias("p"), F.xxhash64(F.lit(1), "s").alias("s"))
-    both = cut(both)
-    stars = components(both.select(F.col("p").alias("u"), F.col("s").alias("v")).distinct())
-    named = both.join(stars, both.p == stars.node, "left").select("doc_id", F.coalesce("component", "p").alias("g"))
-    first = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    return named.join(first, "g").select("doc_id", "component_id")
+    marked = _marked(rows, shingle, prints=True)
+    ends = [F.min("print").alias("print"), F.max("print").alias("last")]
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("m").alias("m"), F.first("bands").alias("bands"), *ends))
+    prints = cut(marked.groupBy("print").agg(F.min("doc_id").alias("least")))
+    at = lambda end: distinct.select(F.col("fp").alias(end), F.col("print").alias(f"{end}_print"))
+    similar = _set_links(rows, distinct, shingle, least).join(at("u"), "u").join(at("v"), "v").select(F.col("u_print").alias("u"), F.col("v_print").alias("v"))
+    # Texts of one set that have several fingerprints: their words stand in another order.
+    mixed = distinct.where("print <> last").select("fp", F.col("print").alias("u"))
+    same = marked.select("fp", F.col("print").alias("v")).join(mixed, "fp").where("u <> v").select("u", "v").distinct()
+    close = op04_simhash.links(prints.select(F.col("print").alias("fp")))
+    return _told(marked, prints, close.unionByName(similar).unionByName(same), "print")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

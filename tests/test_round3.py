@@ -135,3 +135,30 @@ def test_lines_of_a_small_table_are_made_by_all_cores(spark, tmp_path):
     # People and families; a scan of one file and a small shuffle were two tasks.
     assert lines.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert lines.select("path", "idx").distinct().count() == lines.count() > 4000
+
+
+def test_links_of_both_kinds_are_joined_by_one_walk(spark, monkeypatch):
+    import random
+
+    from stemma.llm import near_copies, op04_simhash
+
+    rng = random.Random(5)
+    x, y = ([rng.choice("abcdefghij") for _ in range(9)] for _ in range(2))
+    # One set of shingles, several times over: the words' counts and with them the fingerprints differ.
+    texts = [" ".join(x * m + y * n) for m, n in ((20, 3), (3, 20), (10, 10), (4, 4))] + [" ".join(rng.choice("klmnopq") for _ in range(30)) for _ in range(4)]
+    texts += [texts[-1], texts[0] + " z", "", " "]
+    sets, prints = [near_copies.shingles(t.encode()) for t in texts], [op04_simhash.fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or near_copies.alike(sets[i], sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert len({tuple(s) for s in sets[:4]}) == 1 < len(set(prints[:4]))
+    calls, walk = [], near_copies.components
+    for module in (near_copies, op04_simhash):
+        monkeypatch.setattr(module, "components", lambda edges: calls.append(1) or walk(edges))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, t string").select("row", F.col("t"))
+    got = {r.doc_id: r.component_id for r in near_copies.joined_groups(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    # Candidates and groups; there were four walks, each with files for every partition and round.
+    assert len(calls) == 2

@@ -90,7 +90,13 @@ def staged_lines(lines: DataFrame, meta: DataFrame, folder: str) -> tuple[str, D
     The staged folder, and ``path, idx, raw`` as read again from it.
     """
     root = linefiles.stage(lines, meta, folder)
-    return root, linefiles.named(gedcom.raw_lines(lines.sparkSession, linefiles.staged_files(root)))
+    return root, _read_again(lines.sparkSession, root, gedcom.raw_lines, linefiles.lines_of)
+
+
+def _read_again(spark, root: str, of_large, of_whole) -> DataFrame:
+    """What is in staged files: the few large ones through Spark's reader, the others, of which a folder may have many, by name."""
+    read, files = of_whole(linefiles.whole(spark, root)), linefiles.large(spark, root)
+    return read.unionByName(linefiles.named(of_large(spark, files))) if files else read
 
 
 def checked(lines: DataFrame, meta: DataFrame, root: str, read: DataFrame | None = None) -> DataFrame:
@@ -99,9 +105,8 @@ def checked(lines: DataFrame, meta: DataFrame, root: str, read: DataFrame | None
     ``read`` are the lines as read again, where the caller has kept them; else they are read here.
     """
     spark = lines.sparkSession
-    files = linefiles.staged_files(root)
-    report = cut(edit.reread(lines, linefiles.named(gedcom.raw_lines(spark, files)) if read is None else read))
-    told = linefiles.named(gedcom.file_meta(spark, files)).select("path", F.struct("has_bom", "newline", "trailing_newline").alias("found"))
+    report = cut(edit.reread(lines, _read_again(spark, root, gedcom.raw_lines, linefiles.lines_of) if read is None else read))
+    told = _read_again(spark, root, gedcom.file_meta, linefiles.meta_of).select("path", F.struct("has_bom", "newline", "trailing_newline").alias("found"))
     shape = F.struct(F.coalesce("has_bom", F.lit(False)).alias("has_bom"), F.coalesce("newline", F.lit("\n")).alias("newline"), F.coalesce("trailing_newline", F.lit(True)).alias("trailing_newline"))
     # A file of one line without an end does not show its kind of newline.
     other = lines.groupBy("path").agg(F.count("*").alias("n")).join(meta, "path", "left").select("path", "n", shape.alias("wanted")).join(told, "path", "left")
@@ -112,15 +117,15 @@ def checked(lines: DataFrame, meta: DataFrame, root: str, read: DataFrame | None
     return report
 
 
-def write_lines(lines: DataFrame, meta: DataFrame, folder: str, keep: str | None = None) -> DataFrame:
+def write_lines(lines: DataFrame, meta: DataFrame, folder: str, keep: str | None = None, parts: int = 1) -> DataFrame:
     """Line files into ``folder``: staged beside it, read again and compared, then moved into place; ``name, kept``.
 
     Marks, newlines and last newlines are as ``meta`` says. With ``keep`` a file that is replaced stays under its name
-    with that behind it. Refused writes change nothing.
+    with that behind it. Refused writes change nothing. The last ``parts`` of a path are its place in the folder.
     """
     root = linefiles.stage(lines, meta, folder)
     checked(lines, meta, root)
-    done = linefiles.publish(lines.sparkSession, root, folder, keep)
+    done = linefiles.publish(lines.sparkSession, root, folder, keep, parts)
     linefiles.discard(root)
     return done
 

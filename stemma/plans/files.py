@@ -124,8 +124,7 @@ def q82_review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = c.select(F.concat(F.lit("r"), F.shiftright("k", 5), F.lit(".yaml")).alias("path"), F.col("k"), F.posexplode(F.split(F.expr(REVIEW), "\n")).alias("at", "raw")).select("path", (F.col("k") * 64 + F.col("at")).alias("idx"), "raw")
     meta = spark.createDataFrame([], "path string, has_bom boolean, newline string, trailing_newline boolean")
     root = linefiles.stage(cut(lines), meta, shared_folder(spark))
-    texts = spark.read.text(linefiles.staged_files(root), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    texts = cut(linefiles.named(texts))
+    texts = cut(linefiles.whole(spark, root, every=True))
     whole = notes.split_without_loss(texts).select("path", F.lit(-1).cast("long").alias("ord"), F.concat_ws("|", F.col("same").cast("string"), F.col("entries").cast("string")).alias("value"))
     e = notes.reviews(texts)
     data = lambda key: F.get_json_object("data", key)
@@ -143,15 +142,16 @@ def q83_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of notes, documents and images of all customers, written and listed: notes, names as documents, assets against their manifest."""
     c = _customers(spark, sf_dir)
     name = F.expr("CASE k % 5 WHEN 0 THEN 'n' || CAST(k AS STRING) || '.md' WHEN 1 THEN 'Bateig de Joan Puig ' || CAST(k AS STRING) || '.JPG' WHEN 2 THEN 'x' || CAST(k AS STRING) || '_lectura.jpg' WHEN 3 THEN '.h' || CAST(k AS STRING) || '.pdf' ELSE 'Expedient ' || CAST(k AS STRING) || '.txt' END")
-    lines = cut(c.select(name.alias("path"), "k").select("path", F.lit(0).cast("long").alias("idx"), F.concat(F.lit("contingut "), "k").alias("raw")))
+    # A folder for every 1,024 customers: no listing grows with their number.
+    lines = cut(c.select(F.concat_ws("/", F.shiftright("k", 10).cast("string"), name).alias("path"), "k").select("path", F.lit(0).cast("long").alias("idx"), F.concat(F.lit("contingut "), "k").alias("raw")))
     meta = spark.createDataFrame([], "path string, has_bom boolean, newline string, trailing_newline boolean")
     folder = f"{shared_folder(spark)}/folder-{uuid.uuid4().hex}"
-    sinks.write_lines(lines, meta, folder)
+    sinks.write_lines(lines, meta, folder, parts=2)
     found = cut(notes.files(spark, folder))
     plain = lambda df, column: df.withColumn(column, F.element_at(F.split(column, "/"), -1))
-    listed = plain(notes.notes(spark, folder), "path").select(F.lit("note").alias("what"), "path", F.trim(F.col("text"), F.lit("\n")).alias("value"))
+    listed = plain(notes.notes(spark, folder, found), "path").select(F.lit("note").alias("what"), "path", F.trim(F.col("text"), F.lit("\n")).alias("value"))
     documents = plain(notes.document_tokens(found), "document").select(F.lit("document").alias("what"), F.col("document").alias("path"), F.array_join("tokens", " ").alias("value"))
-    there = cut(plain(notes.assets(spark, folder), "path"))
+    there = cut(plain(notes.assets(spark, folder, found=found), "path"))
     manifest = cut(notes.manifest(sinks.manifest_lines(there.where("path NOT LIKE '%7%'").withColumn("size", F.when(F.col("path").like("%9%"), 1).otherwise(F.col("size"))))))
     states = quality.manifest_diff(manifest.where("path NOT LIKE '% %'"), there.where("path NOT LIKE '% %'")).groupBy("state").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select(F.lit("manifest").alias("what"), F.col("state").alias("path"), F.concat_ws("|", F.col("n").cast("string"), F.col("bytes").cast("string")).alias("value"))
     digests = there.select(F.lit("asset").alias("what"), "path", F.concat_ws("|", "digest", F.col("size").cast("string")).alias("value"))

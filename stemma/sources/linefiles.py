@@ -1,8 +1,10 @@
 """Line files written in ordered parts, put together, read again and compared before they take the place of others.
 
-Spark tasks write the parts, each a stretch of one file; the commit of the write lists those that count, so what
-a failed or doubled task left behind is no part of any file. Files are put together from their parts and moved in
-tasks as well: neither the driver nor one row ever holds a file. Folders are URIs that all machines share.
+Spark tasks write the parts, each a stretch of one file, and lists of them; the commit of the write takes the lists
+that count, so what a failed or doubled task left behind is no part of any file. Files are put together from their
+parts and moved in tasks as well: neither the driver nor one row ever holds a file. Folders of many files are listed
+and read by tasks too, since Spark's reader keeps every file of a folder in the driver. Folders are URIs that all
+machines share.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from ..errors import Refused
 from ..session import cut, importable
 
 CHUNK = 8 << 20
+#: Files of up to so many bytes are read whole by tasks that know their names; larger ones are few, and Spark's reader cuts them into blocks.
+WHOLE = 1 << 20
+#: Rows of a listing, and bytes of contents, that a task gives at once.
+ENTRIES, BYTES = 10_000, 4 << 20
 
 
 def place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -41,9 +47,9 @@ def file_name(path: str) -> str:
 
 @dataclass
 class Part(WriterCommitMessage):
-    """What one task wrote: ``(path, part, first, last, lines, bytes)`` of each stretch."""
+    """Where one task lists the stretches that it wrote; nothing if there are none."""
 
-    parts: list[tuple]
+    told: str | None
 
 
 class LineWriter(DataSourceArrowWriter):
@@ -77,17 +83,22 @@ class LineWriter(DataSourceArrowWriter):
                 i = j
         if out is not None:
             out.close()
-        return Part([tuple(d) for d in done])
+        if not done:
+            return Part(None)
+        told, keys = f"{uuid.uuid4().hex}.json", ("path", "part", "first", "last", "lines", "bytes")
+        fs.create_dir(f"{root}/told", recursive=True)
+        with fs.open_output_stream(f"{root}/told/{told}") as out:
+            for part in done:
+                out.write((json.dumps(dict(zip(keys, part, strict=True))) + "\n").encode())
+        return Part(told)
 
     def commit(self, messages: list[Part | None]) -> None:
-        """The list of parts, a line each, beside them."""
+        """The tasks' lists of parts, a line each, in one folder: the driver moves a file a task and reads none."""
         fs, root = place(self.folder)
         fs.create_dir(f"{root}/list", recursive=True)
-        keys = ("path", "part", "first", "last", "lines", "bytes")
-        with fs.open_output_stream(f"{root}/list/parts.json") as out:
-            for message in messages:
-                for part in message.parts if message else []:
-                    out.write((json.dumps(dict(zip(keys, part, strict=True))) + "\n").encode())
+        for message in messages:
+            if message and message.told:
+                fs.move(f"{root}/told/{message.told}", f"{root}/list/{message.told}")
 
     def abort(self, messages: list[Part | None]) -> None:
         fs, root = place(self.folder)
@@ -144,9 +155,9 @@ def stage(lines: DataFrame, meta: DataFrame, folder: str) -> str:
 
     # Names of parts are few bytes, which would be read as one task, but files are many.
     files = files.repartition(4 * spark.sparkContext.defaultParallelism)
-    if files.mapInArrow(together, "path string, bytes long").agg(F.sum("bytes")).first()[0] is None:
-        fs, base = place(root)
-        fs.create_dir(f"{base}/files", recursive=True)
+    files.mapInArrow(together, "path string, bytes long").write.parquet(f"{root}/sizes")
+    fs, base = place(root)
+    fs.create_dir(f"{base}/files", recursive=True)
     return root
 
 
@@ -154,6 +165,81 @@ def staged_files(root: str) -> str:
     return f"{root}/files"
 
 
+def large(spark: SparkSession, root: str) -> list[str]:
+    """The staged files that Spark's reader takes in blocks: at most one for each ``WHOLE`` bytes of all files."""
+    sizes = spark.read.schema("path string, bytes long").parquet(f"{root}/sizes")
+    return [f"{staged_files(root)}/{file_name(r.path)}" for r in sizes.where(F.col("bytes") > WHOLE).collect()]
+
+
+def whole(spark: SparkSession, root: str, every: bool = False) -> DataFrame:
+    """``path, text`` of the other staged files, or of ``every`` one where all are small by what they are."""
+    sizes = importable(spark).read.schema("path string, bytes long").parquet(f"{root}/sizes").where(F.lit(every) | (F.col("bytes") <= WHOLE))
+    return _read(sizes.select("path"), staged_files(root), file_name).select("path", F.col("content").cast("string").alias("text"))
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """``path, idx, raw`` of whole files, as ``gedcom.raw_lines`` has them."""
+    body = F.regexp_replace("text", "^\ufeff", "")
+    each = texts.select("path", body.alias("body")).where("body <> ''").select("path", F.posexplode(F.split(F.regexp_replace("body", r"\n\z", ""), "\n")).alias("idx", "raw"))
+    return each.select("path", F.col("idx").cast("long").alias("idx"), F.regexp_replace("raw", r"\r\z", "").alias("raw"))
+
+
+def meta_of(texts: DataFrame) -> DataFrame:
+    """``path, has_bom, newline, trailing_newline`` of whole files, as ``gedcom.file_meta`` has them."""
+    returns = F.col("text").rlike(r"\r(\n|\z)")
+    return texts.where("text <> ''").select("path", F.startswith("text", F.lit("\ufeff")).alias("has_bom"), F.when(returns, F.lit("\r\n")).otherwise(F.lit("\n")).alias("newline"), F.endswith("text", F.lit("\n")).alias("trailing_newline"))
+
+
+def _read(files: DataFrame, folder: str, name) -> DataFrame:
+    """``path, content`` of files (``path``) below a folder, where ``name`` says; each is read whole, a few megabytes of them at once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = place(folder)
+        for batch in batches:
+            paths, held, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{base}/{name(path)}") as file:
+                    held.append(file.read())
+                paths.append(path)
+                size += len(held[-1])
+                if size >= BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], names=["path", "content"])
+                    paths, held, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], names=["path", "content"])
+
+    return files.select("path").repartition(4 * files.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, "path string, content binary")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """``path, content`` of files of ``listed``."""
+    root = root.rstrip("/")
+    return _read(files, root, lambda path: path[len(root) + 1 :])
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size`` of all files below a folder, by tasks: a row a folder, level by level. As in Spark's listings, names that begin with a dot or an underscore are left out."""
+    root = root.rstrip("/")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = place(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                there = [x for x in fs.get_file_info(pafs.FileSelector(f"{base}{folder}")) if not x.base_name.startswith((".", "_"))]
+                for i in range(0, len(there), ENTRIES):
+                    some = there[i : i + ENTRIES]
+                    sizes = [x.size if x.type == pafs.FileType.File else None for x in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x.base_name}" for x in some], pa.string()), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    folders, found = importable(spark).createDataFrame([("",)], "path string"), None
+    while found is None or not folders.isEmpty():
+        level = cut(folders.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(look, "path string, size long"))
+        folders, files = level.where("size IS NULL").select("path"), level.where("size IS NOT NULL")
+        found = files if found is None else found.unionByName(files)
+    return found.select(F.concat(F.lit(root), "path").alias("path"), "size")
+
+
 def unquoted(uri: str) -> str:
     """The name of a file, from the URI that Spark gives for it."""
     return unquote(uri.rsplit("/", 1)[-1])
@@ -171,20 +257,21 @@ def discard(root: str) -> None:
     fs.delete_dir(base)
 
 
-def publish(spark: SparkSession, root: str, target: str, keep: str | None = None) -> DataFrame:
+def publish(spark: SparkSession, root: str, target: str, keep: str | None = None, parts: int = 1) -> DataFrame:
     """Move staged files into the folder ``target`` under the last part of their paths, each in one step; ``name, kept`` of every file.
 
-    A file that is there already is kept with ``keep`` behind its name, if that is given. Two paths of one name are
+    With more ``parts`` so many last ones are kept, as folders: a folder is listed by one task, so many files belong in
+    several. A file that is there already is kept with ``keep`` behind its name, if that is given. Two paths of one name are
     refused. A task that runs again finds its file moved and leaves it.
     """
-    names = spark.read.schema("path string").json(f"{root}/list").distinct().select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    names = spark.read.schema("path string").json(f"{root}/list").distinct().select("path", F.substring_index("path", "/", -parts).alias("name"))
     if not names.groupBy("name").count().where("count > 1").isEmpty():
         raise Refused("two paths end in one name")
     place(target)[0].create_dir(place(target)[1], recursive=True)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = place(root)
-        goal = place(target)[1]
+        goal, made = place(target)[1], set()
         for batch in batches:
             kept = []
             for path, name in zip(*batch.to_pydict().values(), strict=True):
@@ -193,6 +280,10 @@ def publish(spark: SparkSession, root: str, target: str, keep: str | None = None
                 there = fs.get_file_info(f"{goal}/{name}").type == pafs.FileType.File
                 if fresh and there and keep is not None:
                     fs.copy_file(f"{goal}/{name}", f"{goal}/{name}{keep}")
+                inner = name.rpartition("/")[0]
+                if inner and inner not in made:
+                    fs.create_dir(f"{goal}/{inner}", recursive=True)
+                    made.add(inner)
                 if fresh:
                     fs.move(source, f"{goal}/{name}")
                 kept.append(keep is not None and fs.get_file_info(f"{goal}/{name}{keep}").type == pafs.FileType.File)

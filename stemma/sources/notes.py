@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import slug
 from ..session import importable
+from . import linefiles
 
 #: Words of file names that are no part of a person's name.
 BOILERPLATE = (
@@ -20,10 +21,10 @@ BOILERPLATE = (
 IMAGES = ("jpg", "jpeg", "png", "pdf", "tif", "tiff")
 
 
-def notes(spark: SparkSession, root: str) -> DataFrame:
-    """``path, text`` of all Markdown notes, settings folders left out."""
-    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.contains("path", F.lit("/.obsidian/")))
+def notes(spark: SparkSession, root: str, found: DataFrame | None = None) -> DataFrame:
+    """``path, text`` of all Markdown notes, settings folders left out; ``found`` is what ``files`` gives, where it is there already."""
+    found = files(spark, root) if found is None else found
+    return linefiles.contents(found.where(F.endswith("name", F.lit(".md"))), root).select("path", F.col("content").cast("string").alias("text"))
 
 
 def _yaml(block: str) -> tuple[str | None, str | None]:
@@ -164,8 +165,7 @@ def headings(found: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """``path, name, size`` of all files; contents are not read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return f.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"))
+    return linefiles.listed(spark, root).select("path", F.substring_index("path", "/", -1).alias("name"), "size")
 
 
 def document_tokens(found: DataFrame) -> DataFrame:
@@ -177,10 +177,11 @@ def document_tokens(found: DataFrame) -> DataFrame:
     return keep.select(F.col("path").alias("document"), tokens.alias("tokens")).where(F.size("tokens") > 0)
 
 
-def assets(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
-    """``path, digest, size`` of files with an allowed extension."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return f.where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions)).select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
+def assets(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGES, found: DataFrame | None = None) -> DataFrame:
+    """``path, digest, size`` of files with an allowed extension; ``found`` is what ``files`` gives, where it is there already."""
+    found = files(spark, root) if found is None else found
+    kept = found.where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
+    return linefiles.contents(kept, root).select("path", F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("size"))
 
 
 def manifest(lines: DataFrame) -> DataFrame:

@@ -162,3 +162,30 @@ def test_links_of_both_kinds_are_joined_by_one_walk(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == root
     # Candidates and groups; there were four walks, each with files for every partition and round.
     assert len(calls) == 2
+
+
+def test_folders_of_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    from stemma.operators import sinks
+    from stemma.sources import linefiles, notes
+
+    said = {f"{k >> 4}/n {k}%.md": ["a", "", f"b{k}"][k % 3 :] for k in range(60)}
+    lines = spark.createDataFrame([(p, i, raw) for p, text in said.items() for i, raw in enumerate(text)] + [("9/long.pdf", i, "x" * 999) for i in range(2000)], "path string, idx long, raw string")
+    meta = spark.createDataFrame([(p, k % 2 == 0, ("\n", "\r\n")[k % 3 > 0], k % 5 > 0 or said[p][-1:] == [""]) for k, p in enumerate(said)], "path string, has_bom boolean, newline string, trailing_newline boolean")
+    root, read = sinks.staged_lines(lines, meta, str(tmp_path))
+    assert sinks.checked(lines, meta, root).where("same").count() == 61
+    # Spark's reader keeps each file that it lists in the driver: only large ones may be among them.
+    assert len([f for f in read.inputFiles() if "/files/" in f]) == 1 == len(linefiles.large(spark, root))
+    # The driver is told of a list a task, not of each file.
+    assert len(list((tmp_path / root / "list").iterdir())) < 30
+    out = str(tmp_path / "out")
+    assert sinks.write_lines(lines, meta, out, parts=2).count() == 61
+    (tmp_path / "out" / "0" / ".hidden.md").write_text("")
+    (tmp_path / "out" / "_no").mkdir()
+    (tmp_path / "out" / "_no" / "x.md").write_text("")
+    (tmp_path / "out" / "0" / "empty.md").write_text("")
+    found = notes.files(spark, out)
+    assert {r.path.removeprefix(out + "/") for r in found.collect()} == {*said, "9/long.pdf", "0/empty.md"}
+    got = notes.notes(spark, out, found)
+    ends = {r.path: (("﻿" if r.has_bom else ""), r.newline, r.trailing_newline) for r in meta.collect()}
+    assert {r.path.removeprefix(out + "/"): r.text for r in got.collect()} == {"0/empty.md": ""} | {p: ends[p][0] + ends[p][1].join(t) + ends[p][1] * ends[p][2] for p, t in said.items()}
+    assert [(r.size, len(r.digest)) for r in notes.assets(spark, out).collect()] == [(2_000_000, 64)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fiche, labels
 from ..operators import classify, graph, note_rules, proposals, quality, settings, sinks
-from ..session import cut, dimension, shared_folder, table
+from ..session import cut, dimension, shared_folder, spread, table
 from ..sources import gedcom, linefiles, notes, payloads
 
 
@@ -47,7 +47,7 @@ OLDER = """CASE WHEN k % 3 = 0 THEN '<small>Identificador</small><br/><b>X' || C
 
 def q79_older_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of older saved pages: the row behind a row of labels, for pages that do not say who they are about otherwise."""
-    pages = cut(_customers(spark, sf_dir).select(F.col("k").alias("id"), F.expr(OLDER).alias("html")))
+    pages = cut(spread(_customers(spark, sf_dir)).select(F.col("k").alias("id"), F.expr(OLDER).alias("html")))
     names = dimension(spark, [("sagrament", "sacrament"), ("identificador", "identificador"), ("llibre", "book"), ("foli", "folio"), ("apunt", "entry"), ("sexe", "sex")], "label string, key string")
     known = cut(fiche.pairs(pages, names))
     return known.unionByName(fiche.legacy(pages, known))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, fiche, links, names, text
 from ..operators import classify, counters, edit, link, note_rules, proposals, quality, render, reports, settings
-from ..session import cut, dimension, table
+from ..session import cut, dimension, spread, table
 from ..sources import notes, payloads
 
 
@@ -27,11 +27,12 @@ PAGE = """'<html><small class="l">Nom:</small><br/><b>Anna &amp; Rosa ' || CAST(
 
 def q54_fiche(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields, kin, hit references, quota and image references of saved pages."""
-    pages = cut(_customers(spark, sf_dir).select(F.col("k").alias("id"), F.expr(PAGE).alias("html")))
+    pages = cut(spread(_customers(spark, sf_dir)).select(F.col("k").alias("id"), F.expr(PAGE).alias("html")))
+    rows = cut(fiche.table_rows(pages))
     labels = dimension(spark, [("nom", "name"), ("data", "date"), ("lloc", "place")], "label string, key string")
-    fields = fiche.pairs(pages, labels).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "value"))), "|").alias("fields"))
-    kin = fiche.kin(pages).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("/", "role", "given", "surname1", "surname2", "birthplace").alias("x")))), lambda x: x["x"]), "|").alias("kin"))
-    hits = fiche.results(pages).select("id", F.concat_ws("/", "book", "from", "to", "folio", "registro").alias("hit"))
+    fields = fiche.pairs(pages, labels, rows=rows).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "value"))), "|").alias("fields"))
+    kin = fiche.kin(pages, rows=rows).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("/", "role", "given", "surname1", "surname2", "birthplace").alias("x")))), lambda x: x["x"]), "|").alias("kin"))
+    hits = fiche.results(pages, rows=rows).select("id", F.concat_ws("/", "book", "from", "to", "folio", "registro").alias("hit"))
     base = pages.select("id", fiche.quota(F.col("html")).alias("q"), F.array_join(fiche.references(F.col("html")), ",").alias("refs"))
     return base.join(fields, "id", "left").join(kin, "id", "left").join(hits, "id", "left").select("id", F.col("q.used").cast("long").alias("used"), F.col("q.limit").cast("long").alias("most"), "refs", "fields", "kin", "hit")
 

@@ -189,3 +189,16 @@ def test_folders_of_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
     ends = {r.path: (("﻿" if r.has_bom else ""), r.newline, r.trailing_newline) for r in meta.collect()}
     assert {r.path.removeprefix(out + "/"): r.text for r in got.collect()} == {"0/empty.md": ""} | {p: ends[p][0] + ends[p][1].join(t) + ends[p][1] * ends[p][2] for p, t in said.items()}
     assert [(r.size, len(r.digest)) for r in notes.assets(spark, out).collect()] == [(2_000_000, 64)]
+
+
+def test_cells_of_a_page_are_seen_together_without_moving(spark):
+    from stemma.functions import fiche
+
+    html = "<tr><th>Nom</th><th>Lloc</th><th>&nbsp;</th><th>Nom</th></tr><tr><td>Nom</td><td>Anna &amp; <i>Rosa</td><td>Lloc</td></tr><tr><td>Àvia paterna</td><td>Nom</td><td>x</td></tr><tr></tr><tr><td>lloc:</td><td>...</td><td>Lloc</td><td>Ibi&lt;</td></tr>"
+    pages = spark.createDataFrame([(1, html), (2, ""), (3, None)], "id int, html string")
+    labels = spark.createDataFrame([("nom", "name"), ("lloc", "place")], "label string, key string")
+    assert [tuple(r) for r in fiche.kin(pages).collect()] == [(1, 2, "Àvia paterna", "Nom", "x", "", "", 6)]
+    assert {r.key: r.value for r in fiche.pairs(pages, labels).collect()} == {"name": "Anna & \nRosa", "place": "Ibi<"}
+    # Each cell was a row, and all of them moved four times; now only what has been named moves.
+    plan = fiche.pairs(pages, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in fiche.results(pages)._jdf.queryExecution().executedPlan().toString()

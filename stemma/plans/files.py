@@ -170,14 +170,15 @@ UNION ALL SELECT 'manifest', s, count(*) || '|' || sum(size)::BIGINT FROM (SELEC
 
 def q84_said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reports call people, lookups and accounts; spouses in the order in which families name them; who edited what, parents' surnames, people of snapshots, regions by settings, ends of books."""
-    c = _customers(spark, sf_dir)
+    c = spread(_customers(spark, sf_dir))
     x = lambda e: F.expr(e)
     shown = labels.person(x("CASE WHEN k % 6 = 0 THEN 'Anna' ELSE 'Joan' END"), F.lit("Puig"), x("CASE WHEN k % 4 <> 0 THEN 1700 + k % 90 END"), x("CASE k % 3 WHEN 0 THEN concat(k, ' G3') WHEN 1 THEN '' END"), x("concat('I', k)"))
     ask = labels.lookup(x("concat('I', k)"), F.lit("bateig"), x("CASE WHEN k % 5 <> 0 THEN 1700 END"), x("CASE WHEN k % 7 <> 0 THEN 'Agres' END"), x("k % 2 = 0"), F.lit("note"), x("concat('u', k)"))
     spent = labels.account(F.col("k"), F.col("n"), F.col("k") / 8, F.lit(2))
     quota = labels.quota(F.col("k") % 40, F.lit(40), F.lit("2024-05-01"), x("CASE WHEN k % 2 = 0 THEN k % 60 END"), x("k % 3 = 0"))
     edited = settings.edited_by(x("CASE WHEN k % 9 <> 0 THEN map(concat('u', k % 4), 1) END"), "u2")
-    base = c.select("k", shown.alias("person"), F.replace(ask, F.lit("\n    "), F.lit(" / ")).alias("lookup"), spent.alias("account"), quota.alias("quota"), edited.alias("mine"), settings.source_label(F.col("n"), F.lit("a.ged")).alias("source"))
+    # Only keys are joined and sorted; texts are made of what the joins give.
+    base = ("k", shown.alias("person"), F.replace(ask, F.lit("\n    "), F.lit(" / ")).alias("lookup"), spent.alias("account"), quota.alias("quota"), edited.alias("mine"), settings.source_label(F.col("n"), F.lit("a.ged")).alias("source"))
     # A person's families name their spouses out of order, and one of them twice.
     people = c.select(x("concat('I', k)").alias("xref"), x("array(concat('F', k, 'c'), concat('F', k, 'a'), concat('F', k, 'b'))").alias("fams"))
     families = c.select(F.explode(x("array(named_struct('x', concat('F', k, 'a'), 'w', concat('W', k + 1)), named_struct('x', concat('F', k, 'b'), 'w', concat('W', k)), named_struct('x', concat('F', k, 'c'), 'w', concat('W', k)))")).alias("f"), x("concat('I', k)").alias("husband")).select(F.col("f.x").alias("xref"), "husband", F.col("f.w").alias("wife"))
@@ -188,8 +189,8 @@ def q84_said(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = classify.region(c.select("k", x("CASE k % 4 WHEN 0 THEN 'ontinyent' WHEN 1 THEN 'ibi' ELSE 'x' END").alias("town"), x("CASE WHEN k % 3 = 0 THEN 'Prop d’Alacant' ELSE 'lluny' END").alias("place")), settings.towns(spark, config), settings.fallbacks(spark, config))
     hinted = placed.join(F.broadcast(settings.guides(spark, config).select("region", "score")), "region", "left").select("k", F.concat_ws("|", "region", F.coalesce(F.col("score").cast("int").cast("string"), F.lit("-"))).alias("region"))
     ends = graph.last_page(c.select(F.col("n").alias("book"), (F.col("k") % 50).alias("page"))).select(F.col("book").alias("n"), F.col("last").alias("end"))
-    out = base.join(order.withColumn("k", F.substring("xref", 2, 20).cast("long")).select("k", "spouses"), "k").join(kin, "k", "left").join(snap, "k", "left").join(hinted, "k").join(c, "k").join(ends, "n", "left")
-    return out.drop("n")
+    out = c.join(order.withColumn("k", F.substring("xref", 2, 20).cast("long")).select("k", "spouses"), "k").join(kin, "k", "left").join(snap, "k", "left").join(hinted, "k").join(ends, "n", "left")
+    return out.select(*base, "spouses", "kin", "snapshot", "region", "end")
 
 
 Q84 = f"""

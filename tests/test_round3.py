@@ -202,3 +202,15 @@ def test_cells_of_a_page_are_seen_together_without_moving(spark):
     # Each cell was a row, and all of them moved four times; now only what has been named moves.
     plan = fiche.pairs(pages, labels)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in fiche.results(pages)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_said_are_made_behind_the_joins(spark, data):
+    import re
+
+    found = catalog.queries()["q84_said"](spark, data)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Rows that moved and were sorted held five texts each, and one task of a small file made all of them.
+    assert "Exchange" in plan and "lookup" not in "".join(plan.splitlines()[i] for i, line in enumerate(plan.splitlines()) if "Exchange" in line or "Sort" in line)
+    wide = [line for line in plan.splitlines() if re.search(r"AS lookup#", line)]
+    assert len(wide) == 1 and plan.index("AS lookup#") < plan.index("Exchange")
+    assert "REPARTITION_BY_NUM" in plan

@@ -6,14 +6,23 @@ never a list in the driver. Walks that keep duplicates are bounded by their dept
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, importable
 from .order import dense
 
+#: Edges that every task may hold (8 bytes each, and as much again in the driver while they are sent).
+FEW = 4_000_000
+#: Bytes of text in an Arrow batch.
+BATCH = 4 << 20
+
 
 def ancestor_slots(edges: DataFrame, roots: DataFrame, depth: int, birth_only: bool = True) -> DataFrame:
     """``person, gen`` of every ancestor slot, the root at generation 1; a person reached twice has two slots.
@@ -173,6 +182,61 @@ def levels(reached: DataFrame) -> DataFrame:
     return reached.groupBy("start", "level").agg(F.array_sort(F.collect_list("person")).alias("people"))
 
 
+def joined_levels(edges: DataFrame, starts: DataFrame, depth: int, separator: str = ",") -> DataFrame:
+    """``start, level, people``: ``levels`` of ``reach`` with people as text, without a row for each pair on the way.
+
+    Starts are dealt to all cores, and each is walked by itself over the edges, which every task holds as arrays; so
+    nothing but the result grows with pairs, and that goes out start by start. More edges than ``FEW`` are joined.
+    """
+    spark = importable(edges.sparkSession).sparkContext
+    step = cut(edges.select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")).distinct())
+    if step.count() > FEW:
+        return levels(reach(step, starts, depth)).select("start", "level", F.array_join(F.transform("people", lambda x: x.cast("string")), separator).alias("people"))
+    rows = step.toArrow()
+    child, parent = (rows.column(i).to_numpy() for i in (0, 1))
+    ids = np.unique(np.concatenate([child, parent]))
+    child, parent = np.searchsorted(ids, child), np.searchsorted(ids, parent)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(child, minlength=len(ids)))]).astype(np.int64)
+    sent = spark.broadcast((ids, begin, parent[np.argsort(child, kind="stable")].astype(np.int32)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, begin, above = sent.value
+        names, fresh = pa.array(ids).cast(pa.string()), np.zeros(len(ids), bool)
+        held: list[tuple[pa.Array, ...]] = []
+        size = 0
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                at = int(np.searchsorted(ids, start))
+                if at == len(ids) or ids[at] != start:
+                    continue
+                seen = np.zeros(len(ids), bool)
+                seen[at] = True
+                level, found = np.array([at]), []
+                while len(found) < depth:
+                    first, n = begin[level], begin[level + 1] - begin[level]
+                    up = above[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    up = up[~seen[up]]
+                    if not len(up):
+                        break
+                    seen[up] = fresh[up] = True
+                    level = np.flatnonzero(fresh) if 16 * len(up) > len(ids) else np.unique(up)
+                    fresh[level] = False
+                    found.append(level)
+                if found:
+                    cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    people = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), names.take(pa.array(np.concatenate(found)))), separator)
+                    held.append((pa.array([start] * len(found), pa.int64()), pa.array(range(1, len(found) + 1), pa.int32()), people))
+                    size += people.nbytes
+                if size > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held)], names=["start", "level", "people"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held)], names=["start", "level", "people"])
+
+    dealt = starts.select(F.col("person").cast("long").alias("person")).where("person IS NOT NULL").distinct().repartition(4 * spark.defaultParallelism)
+    return dealt.mapInArrow(walk, "start long, level int, people string")
+
+
 def spine(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """``root, person, step`` along first parents of sex M (unknown counts as M): edges need ``role`` and ``sex``."""
     pick = cut(edges.where("sex IS NULL OR sex = 'M'").groupBy("child").agg(F.min_by("parent", "role").alias("parent")))
